@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scoring import calibrated
 from ..functions.text import strip
 
 _DEFAULTS = {"category": "General", "priority": "Medium", "department": "General Support"}
@@ -38,3 +39,20 @@ def extract_labels(df: DataFrame, output: str = "raw_output") -> DataFrame:
         for key, default in _DEFAULTS.items()
     }
     return df.withColumns({**fields, "raw_valid": valid}).drop("_labels")
+
+
+def confidence_by_output(outputs: DataFrame, probabilities: DataFrame, key: str,
+                         probability: str, valid: str) -> DataFrame:
+    """Confidence of each output from a long table of its token probabilities.
+
+    Only mean and minimum are kept per output, in partial aggregates, so an output with very many
+    tokens is not gathered anywhere. Sums are decimal and do not depend on order.
+    """
+    exact = F.col(probability).cast("decimal(18,8)")
+    stats = probabilities.groupBy(key).agg(
+        (F.sum(exact).cast("double") / F.count(exact)).alias("_mean"),
+        F.min(exact).cast("double").alias("_low"))
+    joined = outputs.join(stats, key, "left")
+    return joined.withColumn("confidence", calibrated(
+        F.coalesce("_mean", F.lit(1.0)), F.coalesce("_low", F.lit(1.0)), F.col(valid))
+    ).drop("_mean", "_low")

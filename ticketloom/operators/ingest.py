@@ -96,23 +96,36 @@ class EmptyReview(ValueError):
     """A single ticket came without usable text."""
 
 
-def triage_single(spark: SparkSession, ticket: dict, ticket_id: str, as_of: datetime,
+def accepted_requests(requests: DataFrame) -> DataFrame:
+    """Single requests with usable text: at least three characters, not only white space."""
+    review = F.coalesce(F.col("review"), F.lit(""))
+    return requests.filter((F.length(review) >= 3) & (strip(review) != ""))
+
+
+def triage_requests(requests: DataFrame, as_of: Column,
+                    threshold: float = fixed.CONFIDENCE_THRESHOLD) -> DataFrame:
+    """Single-ticket requests to stored tickets. Here a blank name, contact or time is missing."""
+    def filled(column: str, default: Column) -> Column:
+        return F.coalesce(F.nullif(F.col(column), F.lit("")), default)
+
+    day = F.date_format(as_of, "yyyyMMdd")
+    rows = accepted_requests(requests).withColumns({
+        "review": strip(F.col("review")),
+        "ticket_id": filled("ticket_id", F.concat(
+            F.lit("TCK-"), day, F.lit("-"), F.upper(F.substring("request_key", 1, 6)))),
+        "customer_name": filled("customer_name", F.lit(fixed.UNKNOWN_CUSTOMER)),
+        "contact_number": filled("contact_number", F.lit(fixed.UNKNOWN_CONTACT)),
+        "timestamp": filled("timestamp", iso_text(as_of)),
+    })
+    return as_stored(triage(rows, threshold), as_of)
+
+
+def triage_single(spark: SparkSession, ticket: dict, request_key: str, as_of: datetime,
                   threshold: float = fixed.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """One ticket through the same projection as a batch."""
-    review = (ticket.get("review") or "")
-    if len(review) < 3 or not review.strip():
+    """One request. ``request_key`` is a random hex text that makes the new id unique."""
+    names = ["ticket_id", "customer_name", "contact_number", "review", "timestamp"]
+    row = [ticket.get(n) for n in names] + [request_key]
+    request = spark.createDataFrame([row], ", ".join(f"{n} string" for n in names + ["request_key"]))
+    if accepted_requests(request).isEmpty():
         raise EmptyReview("Review complaint text cannot be empty.")
-    row = {
-        "ticket_id": ticket.get("ticket_id") or ticket_id,
-        "customer_name": ticket.get("customer_name") or fixed.UNKNOWN_CUSTOMER,
-        "contact_number": ticket.get("contact_number") or fixed.UNKNOWN_CONTACT,
-        "review": review.strip(),
-        "timestamp": ticket.get("timestamp") or as_of.isoformat(),
-    }
-    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} string" for c in row))
-    return as_stored(triage(df, threshold), F.lit(as_of).cast("timestamp_ntz"))
-
-
-def new_ticket_id(as_of: datetime, suffix: str) -> str:
-    """Id of a single ticket: day and a six-character upper-case suffix."""
-    return f"TCK-{as_of:%Y%m%d}-{suffix[:6].upper()}"
+    return triage_requests(request, F.lit(as_of).cast("timestamp_ntz"), threshold)

@@ -3,7 +3,7 @@ on how it is partitioned and any part of it can be rebuilt alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -74,10 +74,14 @@ def topup_targets(spark: SparkSession) -> DataFrame:
 
 
 def shortfalls(combinations: DataFrame) -> DataFrame:
-    """Top-up targets from combination counts: what each one lacks to the rounded-up mean."""
-    mean = combinations.agg(F.ceil(F.sum("tickets") / F.count(F.lit(1))).alias("_mean"))
-    return combinations.join(F.broadcast(mean)).select(
-        "category", "priority", "department", (F.col("_mean") - F.col("tickets")).cast("bigint").alias("n")
+    """Top-up targets from combination counts: what each one lacks to the rounded-up mean.
+
+    There is one row per label combination, so one task is enough.
+    """
+    everything = Window.partitionBy(F.lit(1))
+    mean = F.ceil(F.sum("tickets").over(everything) / F.count(F.lit(1)).over(everything))
+    return combinations.select(
+        "category", "priority", "department", (mean - F.col("tickets")).cast("bigint").alias("n")
     ).filter("n > 0")
 
 

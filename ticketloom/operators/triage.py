@@ -118,7 +118,11 @@ def with_safety(df: DataFrame, threshold: float = fixed.CONFIDENCE_THRESHOLD) ->
 
 def triage(df: DataFrame, threshold: float = fixed.CONFIDENCE_THRESHOLD, text: str = "review",
            model_version: str = fixed.MODEL_VERSION) -> DataFrame:
-    """Full triage: the input columns plus the thirteen output fields."""
+    """Full triage: the input columns plus the thirteen output fields.
+
+    Store the result before filtering on an output field. Spark would otherwise move the filter
+    below the projections and evaluate the rules a second time for it.
+    """
     scored = with_safety(with_confidence(with_keyword_labels(df, text), text), threshold)
     labels = F.concat(
         F.lit('{"category": "'), "predicted_category",

@@ -6,9 +6,11 @@ starts from identical inputs. Only the operators themselves are written twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import balanced
+
 # (complaint, true category, true priority, true department)
 STEMS = [
     ("My invoice shows a wrong charge and the payment amount looks incorrect", "Billing", "Medium", "Finance"),
@@ -93,6 +95,51 @@ RAW_COLUMNS = {
     "difficulty": _case("(o_orderkey % 4)", ["easy", "medium", "hard", "ambiguous"]),
 }
 
+METADATA_COLUMNS = {
+    "generation_batch": "'batch-' || o_orderstatus",
+    "generation_source": "'orders'",
+    "scenario_type": "o_orderpriority",
+    "teacher_model": "'none'",
+    "generation_timestamp": "CAST(CAST(o_orderdate AS DATE) AS STRING)",
+    "dataset_version": "'v1.0'",
+    "key_index": "CAST(o_custkey % 3 AS INT)",
+}
+
+# Uploaded rows with gaps in the optional columns, by order status.
+GAPPY_COLUMNS = {
+    "customer_name": "CASE o_orderstatus WHEN 'F' THEN NULL ELSE c_name END",
+    "contact_number": "CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN '' ELSE '  ' || o_orderstatus || '  ' END",
+    "timestamp": "CASE o_orderstatus WHEN 'O' THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
+}
+
+PHONE = (
+    "CASE c_nationkey % 5 WHEN 0 THEN '+91-' || lpad(CAST(c_custkey * 7919 AS STRING), 10, '9') "
+    "WHEN 1 THEN lpad(CAST(c_custkey AS STRING), 8, '0') WHEN 2 THEN CAST(c_custkey % 1000 AS STRING) "
+    "WHEN 3 THEN NULL ELSE 'ext ' || CAST(c_custkey AS STRING) || ' / ' || CAST(c_nationkey AS STRING) END"
+)
+
+# Category and department that need not fit together, one pair per line item.
+PAIR_COLUMNS = {
+    "category": _case("(l_partkey % 5)", _CATEGORY_LABELS),
+    "department": _case(
+        "(l_suppkey % 5)", ["Finance", "Technical", "Account", "Refunds", "General Support"]),
+}
+
+# JSON lines with every kind of defect the validation knows.
+_TEXT_FIELDS = ["ticket_id", "customer_name", "contact_number", "timestamp", "category", "priority"]
+RECORD_LINE = (
+    "'{\"fields\": {' || "
+    + " || ', ' || ".join(
+        f"'\"{f}\": \"' || " + (
+            "CASE WHEN id % 23 = 0 THEN 'Urgent' ELSE priority END" if f == "priority" else f"coalesce({f}, '')")
+        + " || '\"'" for f in _TEXT_FIELDS)
+    + " || CASE WHEN id % 19 = 0 THEN '' ELSE ', \"department\": \"' || department || '\"' END"
+    + " || ', \"review\": ' || CASE WHEN id % 29 = 0 THEN '5' WHEN id % 31 = 0 THEN '\" None \"' "
+    + "ELSE '\"' || review || '\"' END"
+    + " || '}, \"metadata\": {\"difficulty\": \"' || difficulty || '\"}' "
+    + "|| CASE WHEN id % 17 = 0 THEN '' ELSE '}' END"
+)
+
 DECISION_COLUMNS = {
     "id": "l_orderkey",
     "kind": "CASE l_linestatus WHEN 'O' THEN 'resolve' ELSE 'override' END",
@@ -126,17 +173,39 @@ def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded tickets without a customer name: one scan of ``orders``, no join."""
-    return project(table(spark, sf_dir, "orders"), RAW_COLUMNS)
+    return project(balanced(table(spark, sf_dir, "orders")), RAW_COLUMNS)
 
 
 def named_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded tickets with the customer name (null when the customer is unknown)."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders, customer = balanced(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
     joined = orders.join(customer.select("c_custkey", "c_name"),
                          orders.o_custkey == customer.c_custkey, "left")
     return project(joined, {**RAW_COLUMNS, "customer_name": "c_name"})
 
 
+def gappy_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded tickets whose name, contact or time may be missing."""
+    orders, customer = balanced(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
+    joined = orders.join(customer.select("c_custkey", "c_name"),
+                         orders.o_custkey == customer.c_custkey, "left")
+    return project(joined, {**RAW_COLUMNS, **GAPPY_COLUMNS})
+
+
+def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat labelled records: the eight fields, the metadata, and the numeric id."""
+    orders, customer = balanced(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
+    joined = orders.join(customer.select("c_custkey", "c_name"),
+                         orders.o_custkey == customer.c_custkey, "left")
+    return project(joined, {**RAW_COLUMNS, "customer_name": "c_name", **METADATA_COLUMNS})
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as numbered JSON lines, some of them defective."""
+    return named_tickets(spark, sf_dir).select(
+        F.expr("id + 1").alias("line_no"), F.expr(RECORD_LINE).alias("line"))
+
+
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(table(spark, sf_dir, "lineitem").filter(DECISION_FILTER), DECISION_COLUMNS)
 
@@ -145,5 +214,5 @@ def model_outputs(tickets: DataFrame) -> DataFrame:
     return tickets.withColumn("raw_output", F.expr(MODEL_OUTPUT))
 
 
-def as_of() -> "F.Column":
-    return F.lit(AS_OF).cast("timestamp_ntz")
+def as_of(moment: str = AS_OF) -> Column:
+    return F.lit(moment).cast("timestamp_ntz")

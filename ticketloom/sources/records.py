@@ -39,7 +39,7 @@ def write_records(df: DataFrame, path: str) -> None:
 
 def nest(df: DataFrame) -> DataFrame:
     """Flat columns to the nested record form."""
-    metadata = [F.col(c).cast("int") if c == "key_index" else F.col(c) for c in fixed.METADATA]
+    metadata = [F.col(c).cast("int").alias(c) if c == "key_index" else F.col(c) for c in fixed.METADATA]
     return df.select(F.struct(*fixed.FIELDS).alias("fields"), F.struct(*metadata).alias("metadata"))
 
 
