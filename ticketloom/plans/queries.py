@@ -548,7 +548,8 @@ def f5_near_dedup(spark, d):
 
 
 def _checked(spark, d):
-    return quality.flag_departments(quality.validate_records(data.record_lines(spark, d)))
+    checked = quality.flag_departments(quality.validate_records(data.record_lines(spark, d)))
+    return stored(checked, "checked")
 
 
 @query

@@ -1,19 +1,36 @@
-"""The ticket table: append-only parquet by day, and decisions beside it."""
+"""The ticket table: append-only parquet by month, and decisions beside it."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def append_tickets(tickets: DataFrame, path: str) -> None:
-    """Append tickets under their creation day, so that trend windows read only their days."""
-    (tickets.withColumn("created_day", F.col("created_at").cast("date"))
-     .write.mode("append").partitionBy("created_day").parquet(path))
-
+    """Append tickets under their creation month, so that trend windows read only their months.
 
-def read_tickets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    Rows are brought together by month, or each task would write a file per month. AQE splits a
+    month that is too large for one task. Within a file rows are in time order, so that a window
+    also skips row groups.
+    """
+    month = F.date_format("created_at", "yyyy-MM")
+    (tickets.withColumn("created_month", month).hint("rebalance", "created_month")
+     .sortWithinPartitions("created_month", "created_at")
+     .write.mode("append").partitionBy("created_month").parquet(path))
+
+
+def read_tickets(spark: SparkSession, path: str, since: datetime | None = None,
+                 until: datetime | None = None) -> DataFrame:
+    """Stored tickets, optionally of a time window: other months are not read."""
+    tickets = spark.read.parquet(path)
+    month, at = F.col("created_month").cast("string"), F.col("created_at")
+    if since is not None:
+        tickets = tickets.filter((month >= since.strftime("%Y-%m")) & (at >= F.lit(since).cast("timestamp_ntz")))
+    if until is not None:
+        tickets = tickets.filter((month <= until.strftime("%Y-%m")) & (at <= F.lit(until).cast("timestamp_ntz")))
+    return tickets.drop("created_month")
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
