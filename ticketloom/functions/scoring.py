@@ -16,17 +16,21 @@ _TWO_POW_64_MOD = (1 << 64) % fixed.JITTER_MODULUS
 _RANKS = 16
 
 
-def first_list_with_hits(lowered: Column, rules: list[tuple[str, list[str]]]) -> Column:
+def _word_array(words: list[str]) -> str:
+    return "array(" + ", ".join(f'"{w}"' for w in words) + ")"
+
+
+def first_list_with_hits(lowered: str, rules: list[tuple[str, list[str]]]) -> Column:
     """``hits * 16 + list number`` of the first list with a hit; below 16 when none has one.
 
-    A fold over the lists, so that lists after the first hit are not searched.
+    A fold over the lists, so that lists after the first hit are not searched. ``lowered`` names
+    a column: an expression would be evaluated again for every word.
     """
-    lists = F.array(*[
-        F.struct(F.lit(rank).alias("rank"), F.array(*[F.lit(w) for w in words]).alias("words"))
-        for rank, (_, words) in enumerate(rules)])
-    return F.aggregate(lists, F.lit(0), lambda found, entry: F.when(found >= _RANKS, found).otherwise(
-        F.size(F.filter(entry["words"], lambda word: F.contains(lowered, word))) * _RANKS
-        + entry["rank"]))
+    lists = ", ".join(f"named_struct('rank', {rank}, 'words', {_word_array(words)})"
+                      for rank, (_, words) in enumerate(rules))
+    return F.expr(
+        f"aggregate(array({lists}), 0, (found, entry) -> CASE WHEN found >= {_RANKS} THEN found "
+        f"ELSE size(filter(entry.words, word -> contains({lowered}, word))) * {_RANKS} + entry.rank END)")
 
 
 def found_label(found: Column, rules: list[tuple[str, list[str]]], fallback: str) -> Column:

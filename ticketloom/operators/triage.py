@@ -32,7 +32,7 @@ def with_keyword_labels(df: DataFrame, text: str = "review") -> DataFrame:
     """Add the predicted labels and the number of keywords behind them."""
     found = {"_category": fixed.CATEGORY_RULES, "_priority": fixed.PRIORITY_RULES}
     df = with_text_views(df, text).withColumns({
-        name: scoring.first_list_with_hits(F.col("_lower"), rules) for name, rules in found.items()})
+        name: scoring.first_list_with_hits("_lower", rules) for name, rules in found.items()})
     category = scoring.found_label(F.col("_category"), fixed.CATEGORY_RULES, fixed.CATEGORY_ELSE)
     return df.withColumns({
         "predicted_category": category,

@@ -511,7 +511,8 @@ def e12_live_kpis(spark, d):
 
 
 def _words(spark, d, table="documents"):
-    return data.table(spark, d, table).withColumn("words", tx.normalized_words(F.col("text")))
+    rows = store.balanced(data.table(spark, d, table))
+    return rows.withColumn("words", tx.normalized_words(F.col("text")))
 
 
 @query

@@ -35,7 +35,7 @@ STEMS = [
     ("Double charge on the bill for the same month", "Billing", "High", "Refunds"),
     ("What are your opening hours on Sunday", "General", "Low", "General Support"),
     ("Hello", "General", "Low", "General Support"),
-    ("The shop staff was rude, a minor inconvenient visit", "General", "Medium", "General Support"),
+    ("Grandmother cannot reach her nurse when she falls", "General", "Critical", "General Support"),
     ("THE NETWORK IS DOWN in my street for the past 3 days", "Technical", "High", "Technical"),
 ]
 
@@ -108,7 +108,9 @@ METADATA_COLUMNS = {
 # Uploaded rows with gaps in the optional columns, by order status.
 GAPPY_COLUMNS = {
     "customer_name": "CASE o_orderstatus WHEN 'F' THEN NULL ELSE c_name END",
-    "contact_number": "CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN '' ELSE '  ' || o_orderstatus || '  ' END",
+    "contact_number": (
+        "CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '1-URGENT' THEN '' "
+        "ELSE '  ' || o_orderstatus || '-' || CAST(o_custkey AS STRING) || '  ' END"),
     "timestamp": "CASE o_orderstatus WHEN 'O' THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
 }
 
