@@ -70,6 +70,10 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return tokens.select("id", "bucket", "n", F.xxhash64("s").alias("h"))
 
 
+def _hot_limit(total: int) -> int:
+    return max(1000, total // _HOT_ROWS)
+
+
 def _shared_shingles(rows: DataFrame) -> DataFrame:
     """Shingles that more than one row of a bucket has, with their frequency.
 
@@ -78,7 +82,7 @@ def _shared_shingles(rows: DataFrame) -> DataFrame:
     ``_HOT_ROWS`` shingles can exceed their share of the total.
     """
     total = rows.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, total // _HOT_ROWS)
+    limit = _hot_limit(total)
     frequencies = stored(
         _hashed(rows).groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "shingles")
     hot = F.broadcast(frequencies.filter(F.col("f") > limit))
