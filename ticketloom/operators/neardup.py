@@ -85,10 +85,11 @@ def _shared_shingles(rows: DataFrame) -> DataFrame:
     limit = _hot_limit(total)
     frequencies = stored(
         _hashed(rows).groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "shingles")
-    hot = F.broadcast(frequencies.filter(F.col("f") > limit))
-    cold = frequencies.filter(F.col("f") <= limit)
-    keys = ["bucket", "h"]
-    tokens = _hashed(rows)
+    keys, tokens = ["bucket", "h"], _hashed(rows)
+    hot = frequencies.filter(F.col("f") > limit)
+    if hot.isEmpty():
+        return tokens.join(frequencies, keys)
+    hot, cold = F.broadcast(hot), frequencies.filter(F.col("f") <= limit)
     return tokens.join(hot, keys, "left_anti").join(cold, keys).unionByName(tokens.join(hot, keys))
 
 

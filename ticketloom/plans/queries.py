@@ -201,8 +201,9 @@ def b5_single_requests(spark, d):
 
 
 def _order_stream(spark, d):
+    # The pattern fits a single file as well as a folder of files.
     schema = data.table(spark, d, "orders").schema
-    files = streams.read_ticket_files(spark, d, schema, pattern="orders.parquet")
+    files = streams.read_ticket_files(spark, f"{d}/orders.parquet*", schema)
     return data.project(files, data.RAW_COLUMNS)
 
 
