@@ -64,10 +64,17 @@ def _first_of_equal_sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "digest").agg(F.min("id").alias("id"))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """One row per shingle. The hash only finds candidates; pairs are verified on the text."""
-    tokens = _with_set(rows, "norm", "_set").select("id", "bucket", "n", F.explode("_set").alias("s"))
-    return tokens.select("id", "bucket", "n", F.xxhash64("s").alias("h"))
+def _representatives(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The first row of each set, with the set itself. It is built once and stored, since every
+    later step reads it."""
+    chosen = rows.join(firsts.select("id"), "id", "left_semi")
+    return stored(_with_set(chosen, "norm", "sh").drop("norm"), "reps")
+
+
+def _hashed(reps: DataFrame) -> DataFrame:
+    """One row per shingle. The hash only finds candidates; pairs are verified on the shingles."""
+    return reps.select("id", "bucket", "n", F.explode("sh").alias("s")).select(
+        "id", "bucket", "n", F.xxhash64("s").alias("h"))
 
 
 def _hot_limit(total: int) -> int:
@@ -117,9 +124,10 @@ def _leaders(postings: DataFrame, count: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Pairs (lead, id) whose full shingle sets are similar, with their Jaccard similarity."""
-    both = (pairs.join(right.select("id", F.col("norm").alias("_b")), "id")
-            .join(left.select(F.col("id").alias("lead"), F.col("norm").alias("_a")), "lead"))
-    both = _with_set(_with_set(both, "_a", "_sa"), "_b", "_sb").drop("_a", "_b")
+    # Little data but much work per pair: keep all partitions instead of letting AQE merge them.
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    led = pairs.join(left.select(F.col("id").alias("lead"), F.col("sh").alias("_sa")), "lead")
+    both = led.repartition(partitions, "id").join(right.select("id", F.col("sh").alias("_sb")), "id")
     both = both.withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
     both = both.withColumn("_union", F.size("_sa") + F.size("_sb") - F.col("_common"))
     return both.filter(_similar(F.col("_common"), F.col("_union"), percent)).select(
@@ -200,7 +208,7 @@ def _drop_plan(df: DataFrame, key: str, text: str, bucket: str | None, percent:
     group = F.col(bucket) if bucket else F.lit("")
     rows = stored(shingle_rows(df, key, text, group), "rows")
     firsts = _first_of_equal_sets(rows)
-    reps = stored(rows.join(firsts.select("id"), "id", "left_semi"), "reps")
+    reps = _representatives(rows, firsts)
     dropped, postings = _greedy(reps, percent)
     return rows, reps, dropped, postings
 
@@ -249,10 +257,10 @@ def near_rows(base: DataFrame, other: DataFrame, key: str, text: str,
     group = F.lit("")
     b = stored(shingle_rows(base, key, text, group), "base")
     o = stored(shingle_rows(other, key, text, group), "other")
-    base_reps = stored(b.join(_first_of_equal_sets(b).select("id"), "id", "left_semi"), "base")
+    base_reps = _representatives(b, _first_of_equal_sets(b))
     firsts = _first_of_equal_sets(o)
     equal = firsts.join(base_reps.select("bucket", "digest"), ["bucket", "digest"], "left_semi")
-    other_reps = stored(o.join(firsts.join(equal, "id", "left_anti").select("id"), "id", "left_semi"), "other")
+    other_reps = _representatives(o, firsts.join(equal, "id", "left_anti"))
 
     # One shingle order for both sides; ids of the two sides may coincide, so mark them.
     marked = [side.withColumn("id", F.struct(F.lit(i).alias("side"), F.col("id").alias("id")))
