@@ -48,18 +48,18 @@ def _quality_sql() -> str:
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     split AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-                     list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
     windows AS (SELECT r, i, array_to_string(words[i:i + 7], ' ') AS gram
                 FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM split)),
     twice AS (SELECT r, gram FROM windows GROUP BY r, gram HAVING count(*) > 1),
     covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows JOIN twice USING (r, gram),
                        (SELECT unnest(range(0, 8)) AS k) GROUP BY r),
     counted AS (SELECT doc_id, len(words)::BIGINT AS n_words,
-                       coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
+                       coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
                        len(regexp_extract_all(text, '{symbols}'))::BIGINT AS n_symbols,
                        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                        coalesce(n, 0)::BIGINT AS n_repeat_words,
-                       len(list_filter(words, w -> w IN ({stop}))) AS n_stop_words, len(lines) AS n_lines
+                       len(list_filter(words, lambda w: w IN ({stop}))) AS n_stop_words, len(lines) AS n_lines
                 FROM split LEFT JOIN covered USING (r)),
     base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
