@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, url_rules
-from .common import table
+from . import language_id, line_dedup, quality_compression, quality_rules, url_rules
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -18,11 +18,27 @@ def query(function):
     return function
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.train(documents, "doc_id", "text", "lang")
+    found = language_id.predict(documents, "doc_id", "text", model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query
 def op4_url_filters(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), "page_id", "url")
 
 
+@query
+def op6_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = quality_compression.train(documents, "doc_id", "text", table(spark, sf_dir, "labels"), "quality")
+    scored = quality_compression.score(documents, "doc_id", "text", model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
