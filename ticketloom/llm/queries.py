@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, quality_compression, quality_rules, url_rules
+from . import bpe, language_id, line_dedup, packing, quality_compression, quality_rules, url_rules
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,17 @@ def query(function):
     return function
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the contracts, where the public tokenizers are installed."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
+
+
 @query
 def op3_language_id(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
@@ -31,6 +42,16 @@ def op4_url_filters(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), "page_id", "url")
 
 
+@query
+def op5_bpe_round_trip(spark, sf_dir):
+    path = tokenizer_path()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    decoded = bpe.decode(encoded, "doc_id", "ids", path, keep=("ids",))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op6_quality_classifier(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
