@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, line_dedup, packing, quality_compression, quality_rules, url_rules
+from . import bpe, embedding_dedup, language_id, line_dedup, minhash_forest, packing, quality_compression, quality_rules
+from . import secret_scan, url_rules
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +66,11 @@ def op6_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text", secret_scan.trained())
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -72,6 +78,11 @@ def op8_quality_rules(spark, sf_dir):
                          "base_failed", "kept")
 
 
+@query
+def op9_minhash_near_dedup(spark, sf_dir):
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=2, percent=80)
+
+
 @query
 def op10_line_dedup(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
