@@ -24,7 +24,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 FREQUENT = 100_000
 SAMPLE_TEXTS = 4_000
 SAMPLE_WORDS = 400_000
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -55,26 +55,31 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").replace("\n", " ").split(" ")
 
 
-def encode_words(path: str, words: list[str]) -> list[tuple[int, ...]]:
-    return [tuple(e.ids) for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+def encode_words(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each word, little-endian and unsigned, 32 bits each."""
+    encoded = tokenizer(path).encode_batch_fast(words, add_special_tokens=False)
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
 
 class Encoder:
-    """Whole texts to ids inside one Python process, remembering words up to a bound."""
+    """Whole texts to ids inside one Python process. It remembers words up to a bound; the words it met
+    first, which are mostly the frequent ones, stay when the others go."""
 
     def __init__(self, path: str):
         self.path = path
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """As ``encode_words`` writes them, for each text."""
         split = [words_of(text) for text in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        met = set(chain.from_iterable(split))
+        new = list(met.difference(self.known))
         if len(self.known) + len(new) > _WORDS_KEPT:
-            self.known = {"": ()}
-            new = list({w for words in split for w in words if w})
+            self.known = dict(islice(self.known.items(), _WORDS_KEPT // 2))
+            new = list(met.difference(self.known))
         self.known.update(zip(new, encode_words(self.path, new)))
         find = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(find, words)), dtype=np.int32) for words in split]
+        return [b"".join(map(find, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -98,7 +103,7 @@ def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int,
 
 
 def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, texts: int = SAMPLE_TEXTS,
-                   words: int = SAMPLE_WORDS) -> dict[str, tuple[int, ...]]:
+                   words: int = SAMPLE_WORDS) -> dict[str, bytes]:
     """The most frequent words of a sample with their ids: at most ``most`` words of ``words`` counted
     ones of at most 64 characters, from ``texts`` texts chosen by a hash of their text."""
     total = df.count()
@@ -149,7 +154,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
             ids = []
             for word in words:
                 if word != last:
-                    last, last_ids = word, np.array(next(fresh), dtype="<i4").tobytes()
+                    last, last_ids = word, next(fresh)
                 ids.append(last_ids)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("place"), pa.array(ids, pa.binary())],
                                              names=["row", "place", "word_ids"])
@@ -172,10 +177,9 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
             united = []
             for packed, found in zip(batch.column("_packed"), batch.column("_found")):
                 words = words_of(unpacker.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
-                own = {words[f["place"]]: np.frombuffer(f["word_ids"], dtype="<i4").tolist() for f in found.as_py() or ()}
-                own[""] = ()
-                united.append(np.fromiter(chain.from_iterable(
-                    known[w] if w in known else own[w] for w in words), dtype=np.int32))
+                own = {words[f["place"]]: f["word_ids"] for f in found.as_py() or ()}
+                own[""] = b""
+                united.append(np.frombuffer(b"".join([known[w] if w in known else own[w] for w in words]), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(united, pa.list_(pa.int32()))], names=[key, "ids"])
 
     key_type = df.schema[key].dataType

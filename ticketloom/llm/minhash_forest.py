@@ -44,6 +44,8 @@ TREES = 32
 DEPTH = 5
 DEEPER = 3
 SLICE = 1024
+# Agreement of signatures strays from similarity by less than this, but for one pair in a million.
+MARGIN = 0.15
 _VALUES = TREES * DEPTH
 _BLOCK = 4096
 _random = np.random.default_rng(20)
@@ -88,15 +90,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _tree_keys(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Region key and the order inside the region, for each tree."""
-    turned = np.stack([np.roll(least, -DEPTH * t)[:DEPTH + DEEPER] for t in range(TREES)]).astype(np.uint64)
-    keys = np.arange(TREES, dtype=np.uint64) + np.uint64(1)
+    """Region key and the order inside the region, for each signature (row) and tree (column)."""
+    places = (DEPTH * np.arange(TREES)[:, None] + np.arange(DEPTH + DEEPER)) % _VALUES
+    turned = least[:, places].astype(np.uint64)
+    keys = np.tile(np.arange(TREES, dtype=np.uint64) + np.uint64(1), (len(least), 1))
     for k in range(DEPTH):
-        keys = (keys ^ turned[:, k]) * np.uint64(0xFF51AFD7ED558CCD)
+        keys = (keys ^ turned[:, :, k]) * np.uint64(0xFF51AFD7ED558CCD)
         keys ^= keys >> np.uint64(32)
-    order = np.zeros(TREES, dtype=np.uint64)
+    order = np.zeros(keys.shape, dtype=np.uint64)
     for k in range(DEEPER):
-        order = (order << np.uint64(10)) | (turned[:, DEPTH + k] >> np.uint64(22))
+        order = (order << np.uint64(10)) | (turned[:, :, DEPTH + k] >> np.uint64(22))
     return keys.view(np.int64), order.astype(np.int32)
 
 
@@ -105,27 +108,23 @@ def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     each signature value); the last four are null for an empty set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests, keys, orders, short = [], [], [], [], []
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+            sizes, digests, signed = [], [], []
             for value in batch.column("_text"):
                 shingles = shingle_set(value.as_py(), width)
                 sizes.append(len(shingles))
-                if not len(shingles):
-                    digests.append((None, None))
-                    keys.append(None)
-                    orders.append(None)
-                    short.append(None)
-                    continue
-                digests.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist())
-                least = signature(shingles)
-                tree_keys, tree_orders = _tree_keys(least)
-                keys.append(tree_keys)
-                orders.append(tree_orders)
-                short.append(least.astype(np.uint8).tobytes())
-            longs = pa.list_(pa.int64())
+                if len(shingles):
+                    digests.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist())
+                    signed.append(signature(shingles))
+            full = np.array(sizes, dtype=np.int64) > 0
+            least = np.array(signed, dtype=np.uint32).reshape(-1, _VALUES)
+            keys, orders = _tree_keys(least)
+            place = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
+            per_set = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                       pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(orders), pa.list_(pa.int32())),
+                       pa.array([row.tobytes() for row in least.astype(np.uint8)], pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()),
-                 pa.array([d[1] for d in digests], pa.int64()), pa.array(keys, longs), pa.array(orders, pa.list_(pa.int32())), pa.array(short, pa.binary())],
+                [batch.column("id"), pa.array(sizes, pa.int64()), *(column.take(place) for column in per_set)],
                 names=["id", "n", "d1", "d2", "keys", "orders", "short"])
 
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text")).mapInArrow(
@@ -245,23 +244,47 @@ def _unsettled(members: DataFrame, found: DataFrame, sizes: DataFrame, percent:
                        (F.col("region") == F.col("_r")) & (own == F.col("j"))).drop("_r")
     columns = ["region", "i", "j", "id", "c", "n", "short"]
     both = asking.select(*columns, F.lit(True).alias("asks")).unionByName(asked.select(*columns, F.lit(False).alias("asks")))
-    least = percent / 100 - 0.2
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, c, n = (table.column(x).to_numpy() for x in ("id", "c", "n"))
-        values = np.frombuffer(b"".join(table.column("short").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        rows, others, a, b = np.flatnonzero(asks), np.flatnonzero(~asks), [], []
-        for i in rows:
-            fits = others[(c[others] != c[i]) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent)]
-            fits = fits[(values[fits] == values[i]).mean(axis=1) >= least]
-            a.append(np.minimum(ids[fits], ids[i]))
-            b.append(np.maximum(ids[fits], ids[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": a, "b": b})
-
-    return both.groupBy("region", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    least = percent / 100 - MARGIN
+
+    def compare(rows: dict[str, np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of one group: a slice of asking rows against a slice of the region."""
+        left, right = np.flatnonzero(rows["asks"]), np.flatnonzero(~rows["asks"])
+        n, c = rows["n"], rows["c"]
+        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+        i, j = np.nonzero((c[left][:, None] != c[right]) & (small * 100 >= large * percent))
+        i, j = left[i], right[j]
+        found = [np.flatnonzero((values[i[k:k + _BLOCK]] == values[j[k:k + _BLOCK]]).mean(axis=1) >= least) + k
+                 for k in range(0, len(i), _BLOCK)]
+        keep = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return rows["id"][i[keep]], rows["id"][j[keep]]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by group; the rows of the last group wait for the next batch."""
+        waiting = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                waiting = batch if waiting is None else pa.concat_batches([waiting, batch])
+            if waiting is None or not waiting.num_rows:
+                continue
+            rows = {x: waiting.column(x).to_numpy(zero_copy_only=False) for x in ("region", "i", "j", "id", "c", "n", "asks")}
+            values = np.frombuffer(b"".join(waiting.column("short").to_pylist()), dtype=np.uint8).reshape(waiting.num_rows, -1)
+            new = (np.diff(rows["region"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), waiting.num_rows]
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2
+            pairs = [compare({x: v[s:e] for x, v in rows.items()}, values[s:e]) for s, e in zip(cuts[:done], cuts[1:done + 1])]
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            waiting = waiting.slice(cuts[done])
+
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = both.repartition(partitions, "region", "i", "j").sortWithinPartitions("region", "i", "j")
+    return grouped.mapInArrow(settle, "a long, b long").distinct()
+
+
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -20,7 +20,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,15 +39,15 @@ def token_pieces(df: DataFrame, key: str, text: str, path: str, capacity: int =
     """key, piece, start, length, ids_crc32, and ``ids`` (little-endian unsigned) if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.encoder(path)
+        encoder, closing = bpe.encoder(path), closing_id.to_bytes(4, "little")
         for batch in batches:
             keys = batch.column("_key")
             for first, texts in bpe.in_slices(batch.column("_text")):
                 at, pieces, starts, lengths, sums, data = [], [], [], [], [], []
                 for offset, ids in enumerate(encoder.ids(texts)):
-                    ids = np.append(ids, np.int32(closing_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start:start + capacity].tobytes()
+                    ids += closing
+                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                        part = ids[4 * start:4 * (start + capacity)]
                         at.append(first + offset)
                         pieces.append(piece)
                         starts.append(start)
