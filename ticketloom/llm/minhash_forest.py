@@ -10,8 +10,7 @@
 3. Candidates are confirmed on whole shingle sets in two rounds: the best partner of each row, then
    what still joins two components.
 4. Regions that end in more than one component are settled exactly: their members outside the region's
-   largest component meet all its members, slice by slice, and what the signatures don't rule out is
-   confirmed as well. So a link whose ends share a region of any tree is not lost, however large the
+   largest component meet all its members on full sets, slice by slice, by an inverted index. So a link whose ends share a region of any tree is not lost, however large the
    region; two sets of similarity s share none with probability (1 - s ** DEPTH) ** TREES, which is
    3e-6 for 0.8.
 
@@ -44,8 +43,6 @@ TREES = 32
 DEPTH = 5
 DEEPER = 3
 SLICE = 1024
-# Agreement of signatures strays from similarity by less than this, but for one pair in a million.
-MARGIN = 0.15
 _VALUES = TREES * DEPTH
 _BLOCK = 4096
 _random = np.random.default_rng(20)
@@ -104,8 +101,8 @@ def _tree_keys(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """id, n (set size), d1 and d2 (digest), ``keys`` and ``orders`` by tree, ``short`` (a byte of
-    each signature value); the last four are null for an empty set."""
+    """id, n (set size), d1 and d2 (digest), ``keys`` and ``orders`` by tree; the last four are
+    null for an empty set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
@@ -121,14 +118,13 @@ def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             keys, orders = _tree_keys(least)
             place = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
             per_set = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                       pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(orders), pa.list_(pa.int32())),
-                       pa.array([row.tobytes() for row in least.astype(np.uint8)], pa.binary())]
+                       pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(orders), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), *(column.take(place) for column in per_set)],
-                names=["id", "n", "d1", "d2", "keys", "orders", "short"])
+                names=["id", "n", "d1", "d2", "keys", "orders"])
 
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text")).mapInArrow(
-        scan, "id long, n long, d1 long, d2 long, keys array<long>, orders array<int>, short binary")
+        scan, "id long, n long, d1 long, d2 long, keys array<long>, orders array<int>")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +219,24 @@ def _crossing(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).drop("_ca", "_cb")
 
 
-def _unsettled(members: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a region that lie in different components and that neither sizes nor signatures rule out.
+def _overlaps(asking: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each asking set the sizes of its intersections with all asked sets, by an inverted index."""
+    owners = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+    hashes = np.concatenate(asked)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    for one in asking:
+        start, end = np.searchsorted(hashes, one, "left"), np.searchsorted(hashes, one, "right")
+        found = end - start
+        places = np.repeat(start - np.cumsum(found) + found, found) + np.arange(found.sum())
+        yield np.bincount(owners[places], minlength=len(asked))
 
-    One end of such a pair is outside the region's largest component. These rows are few once the
-    first rounds are done; they meet all members of the region, in slices of bounded size.
+
+def _settle(members: DataFrame, found: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b) inside regions that join two components.
+
+    One end of such a link is outside the region's largest component. These rows are few once the
+    first rounds are done; they meet all members of the region, in slices of bounded size, on full sets.
     """
     placed = (members.select(F.col("x").alias("region"), F.col("y").alias("id")).distinct()
               .join(found, F.col("id") == F.col("node"), "left").select("region", "id", F.coalesce("component", "id").alias("c")))
@@ -236,29 +245,32 @@ def _unsettled(members: DataFrame, found: DataFrame, sizes: DataFrame, percent:
     largest = counts.groupBy("region").agg(F.max(F.struct("_n", "c")).alias("_m"), F.count(F.lit(1)).alias("_parts"),
                                            F.sum("_n").alias("_rows")).filter("_parts > 1")
     open_regions = largest.select("region", F.col("_m.c").alias("_main"), F.ceil(F.col("_rows") / SLICE).cast("int").alias("_slices"))
-    known = placed.join(open_regions, "region").join(sizes, "id")
+    known = placed.join(open_regions, "region").join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")
     slices = F.sequence(F.lit(0), F.col("_slices") - 1)
-    asking = known.filter(F.col("c") != F.col("_main")).withColumn("i", own).withColumn("j", F.explode(slices))
-    asked = known.join(asking.select("region", "i", "j").distinct().withColumnRenamed("region", "_r"),
-                       (F.col("region") == F.col("_r")) & (own == F.col("j"))).drop("_r")
-    columns = ["region", "i", "j", "id", "c", "n", "short"]
-    both = asking.select(*columns, F.lit(True).alias("asks")).unionByName(asked.select(*columns, F.lit(False).alias("asks")))
-    least = percent / 100 - MARGIN
-
-    def compare(rows: dict[str, np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of one group: a slice of asking rows against a slice of the region."""
-        left, right = np.flatnonzero(rows["asks"]), np.flatnonzero(~rows["asks"])
-        n, c = rows["n"], rows["c"]
-        small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
-        i, j = np.nonzero((c[left][:, None] != c[right]) & (small * 100 >= large * percent))
-        i, j = left[i], right[j]
-        found = [np.flatnonzero((values[i[k:k + _BLOCK]] == values[j[k:k + _BLOCK]]).mean(axis=1) >= least) + k
-                 for k in range(0, len(i), _BLOCK)]
-        keep = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return rows["id"][i[keep]], rows["id"][j[keep]]
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asking = known.filter(F.col("c") != F.col("_main")).withColumn("i", own)
+    blocks = asking.select(F.col("region").alias("_r"), "i").distinct()
+    asked = known.join(blocks, F.col("region") == F.col("_r")).withColumn("j", own)
+    columns = ["region", "i", "j", "id", "c", "packed"]
+    both = asking.withColumn("j", F.explode(slices)).select(*columns, F.lit(True).alias("asks")).unionByName(
+        asked.select(*columns, F.lit(False).alias("asks")))
+
+    def links(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Of one group: a slice of asking rows against a slice of the region."""
+        unpacker = zstandard.ZstdDecompressor()
+        ids, c, asks = (group.column(x).to_numpy(zero_copy_only=False) for x in ("id", "c", "asks"))
+        all_sets = [shingle_set(unpacker.decompress(p.as_py()), width) for p in group.column("packed")]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(left) or not len(right):
+            return ids[:0], ids[:0]
+        sizes, a, b = np.array([len(x) for x in all_sets]), [], []
+        for i, both in zip(left, _overlaps([all_sets[k] for k in left], [all_sets[k] for k in right])):
+            j = right[(both * 100 >= percent * (sizes[right] + sizes[i] - both)) & (c[right] != c[i])]
+            a.append(np.minimum(ids[j], ids[i]))
+            b.append(np.maximum(ids[j], ids[i]))
+        return np.concatenate(a), np.concatenate(b)
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Over rows sorted by group; the rows of the last group wait for the next batch."""
         waiting = None
         for batch in _then_none(batches):
@@ -266,20 +278,19 @@ def _unsettled(members: DataFrame, found: DataFrame, sizes: DataFrame, percent:
                 waiting = batch if waiting is None else pa.concat_batches([waiting, batch])
             if waiting is None or not waiting.num_rows:
                 continue
-            rows = {x: waiting.column(x).to_numpy(zero_copy_only=False) for x in ("region", "i", "j", "id", "c", "n", "asks")}
-            values = np.frombuffer(b"".join(waiting.column("short").to_pylist()), dtype=np.uint8).reshape(waiting.num_rows, -1)
-            new = (np.diff(rows["region"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)
+            new = np.zeros(waiting.num_rows - 1, dtype=bool)
+            for name in ("region", "i", "j"):
+                new |= np.diff(waiting.column(name).to_numpy()) != 0
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), waiting.num_rows]
             done = len(cuts) - 1 if batch is None else len(cuts) - 2
-            pairs = [compare({x: v[s:e] for x, v in rows.items()}, values[s:e]) for s, e in zip(cuts[:done], cuts[1:done + 1])]
+            pairs = [links(waiting.slice(s, e - s)) for s, e in zip(cuts[:done], cuts[1:done + 1])]
             if pairs:
-                a, b = (np.concatenate(x) for x in zip(*pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs)], names=["a", "b"])
             waiting = waiting.slice(cuts[done])
 
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = both.repartition(partitions, "region", "i", "j").sortWithinPartitions("region", "i", "j")
-    return grouped.mapInArrow(settle, "a long, b long").distinct()
+    return grouped.mapInArrow(by_group, "a long, b long").distinct()
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -293,9 +304,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = WIDTH, perc
     usable = scanned.filter(F.col("id").isNotNull() & F.col("keys").isNotNull())
     firsts = usable.groupBy("d1", "d2").agg(F.min("id").alias("first"))
     members = usable.join(firsts, ["d1", "d2"])
-    forest = members.filter(F.col("id") == F.col("first")).select("id", "n", "keys", "orders", "short")
+    forest = members.filter(F.col("id") == F.col("first")).select("id", "n", "keys", "orders")
     found = candidates(forest)
-    sizes = forest.select("id", "n", "short")
 
     heads = found.filter("kind = 2").groupBy("x").agg(F.min("y").alias("_head"))
     across = found.filter("kind = 2").join(heads, "x").select(F.col("_head").alias("x"), "y")
@@ -317,8 +327,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = WIDTH, perc
     rest = _crossing(pairs.join(best, ["a", "b"], "left_anti"), graph)
     links = links.unionByName(stored(_confirm(rest, sets, width, percent), "links"))
     graph = stored(components(links), "components")
-    open_pairs = _unsettled(found.filter("kind = 2"), graph, sizes, percent).join(pairs, ["a", "b"], "left_anti")
-    last = stored(_confirm(open_pairs, sets, width, percent), "links")
+    last = stored(_settle(found.filter("kind = 2"), graph, sets, width, percent), "links")
     if not last.isEmpty():
         graph = stored(components(links.unionByName(last)), "components")
 
