@@ -5,7 +5,8 @@ its words (cut at space and line feed), and its ids are the ids of its words in
 
 1. *Frequent words.* The words of a bounded sample of texts are counted, and the ``FREQUENT`` most
    frequent ones are encoded, each once. This table has a fixed bound and is broadcast; it only decides
-   which way a word takes, not whether it is encoded.
+   which way a word takes, not whether it is encoded. ASCII words count in lower case, as the
+   tokenizer reads them, and a full stop or comma after a letter counts as a word.
 2. *Other words.* Every text lists its other words, each once, with the place where it first stands.
    They are dealt by word, so each distinct word meets in one place and is encoded once there.
 3. *Join by position.* Their ids go back to the text they came from, in order of place, and the
@@ -22,6 +23,7 @@ named columns are read.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
@@ -34,10 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FREQUENT = 100_000
-SAMPLE_TEXTS = 4_000
-SAMPLE_WORDS = 400_000
+FREQUENT = 300_000
+SAMPLE_TEXTS = 16_000
+LONGEST_FREQUENT = 64
 _WORDS_KEPT = 1_000_000
+_FORMS_KEPT = 300_000
+_LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha())
 
 
 @lru_cache(maxsize=2)
@@ -88,6 +92,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def parts(word: str) -> tuple[str, str]:
+    """A word that has the same ids up to its last mark, and that mark (or nothing)."""
+    if "<|" in word:  # may be a special token, which case tells from plain text
+        return word, ""
+    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1] in _LETTERS else (word, "")
+    return (base.lower() if base.isascii() else base), tail
+
+
+class WordTable:
+    """Ids of words whose base and mark are in a table. Forms that were put together are remembered."""
+
+    def __init__(self, table: dict[str, bytes]):
+        self.table, self.forms = table, {}
+
+    def find(self, word: str) -> bytes | None:
+        ids = self.forms.get(word)
+        if ids is None:
+            base, tail = parts(word)
+            ids = self.table.get(base)
+            if ids is not None:
+                if len(self.forms) >= _FORMS_KEPT:
+                    self.forms.clear()
+                ids = self.forms[word] = ids + self.table[tail]
+        return ids
+
+
 def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Texts in runs of bounded size, with the place of the first one."""
     start, size, run = 0, 0, []
@@ -102,17 +132,27 @@ def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int,
         yield start, run
 
 
-def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, texts: int = SAMPLE_TEXTS,
-                   words: int = SAMPLE_WORDS) -> dict[str, bytes]:
-    """The most frequent words of a sample with their ids: at most ``most`` words of ``words`` counted
-    ones of at most 64 characters, from ``texts`` texts chosen by a hash of their text."""
-    total = df.count()
-    order = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32))
-    drawn = df.filter(F.col(text).isNotNull() & (order < int(min(1.0, 1.5 * texts / max(total, 1)) * (1 << 32))))
-    word = F.explode(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), " ", -1)).alias("word")
-    counted = drawn.select(word).filter((F.col("word") != "") & (F.char_length("word") <= 64)).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"))
-    chosen = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(min(most, words)).select("word").collect()]
+def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+    """The most frequent words of a sample, of at most ``LONGEST_FREQUENT`` characters, with their ids:
+    at most ``most`` words, from about ``texts`` texts chosen by a hash of their text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, run in in_slices(batch.column("_text")):
+                forms = Counter(chain.from_iterable(map(words_of, run)))
+                counted = Counter()
+                for word, n in forms.items():
+                    base = parts(word)[0]
+                    if 0 < len(base) <= LONGEST_FREQUENT:
+                        counted[base] += n
+                yield pa.RecordBatch.from_arrays([pa.array(counted.keys(), pa.string()), pa.array(counted.values(), pa.int64())],
+                                                 names=["word", "n"])
+
+    share = min(1.0, texts / max(df.count(), 1))
+    drawn = df.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32)) < int(share * (1 << 32))).select(F.col(text).alias("_text"))
+    top = (drawn.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+           .orderBy(F.desc("n"), "word").limit(most).select("word"))
+    chosen = [r["word"] for r in top.collect()]
     return dict(zip(chosen, encode_words(path, chosen)))
 
 
@@ -123,12 +163,15 @@ def _packed(text: str | None, packer: zstandard.ZstdCompressor) -> bytes:
 def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT) -> DataFrame:
     """key and ``ids`` (array of int), a row per row of ``df``."""
     spark: SparkSession = df.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_words(df.select(F.col(text).alias("_text")), "_text", path, most))
+    table = frequent_words(df.select(F.col(text).alias("_text")), "_text", path, most)
+    for mark in ("", ".", ","):
+        table[mark] = encode_words(path, [mark])[0]
+    frequent = spark.sparkContext.broadcast(table)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
                      F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value
+        find = WordTable(frequent.value).find
         for batch in batches:
             names = batch.column("_row").to_pylist()
             for start, texts in in_slices(batch.column("_text")):
@@ -136,9 +179,9 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
                 for offset, value in enumerate(texts):
                     seen = set()
                     for place, word in enumerate(words_of(value)):
-                        if word and word not in known and word not in seen:
-                            seen.add(word)
-                            found.append(word)
+                        if find(word) is None and (base := parts(word)[0]) not in seen:
+                            seen.add(base)
+                            found.append(base)
                             places.append(place)
                             rows_of.append(names[start + offset])
                 if found:
@@ -163,7 +206,8 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded = listed.repartition(partitions, "word").sortWithinPartitions("word").mapInArrow(
         each_word_once, "row bigint, place int, word_ids binary")
-    by_row = encoded.distinct().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "word_ids"))).alias("_found"))
+    by_row = encoded.repartition(partitions, "row").dropDuplicates(["row", "place"]).groupBy("row").agg(
+        F.collect_list(F.struct("place", "word_ids")).alias("_found"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -172,14 +216,18 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_row"), packed], names=["_key", "_row", "_packed"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpacker = frequent.value, zstandard.ZstdDecompressor()
+        table, unpacker = WordTable(frequent.value), zstandard.ZstdDecompressor()
         for batch in batches:
             united = []
             for packed, found in zip(batch.column("_packed"), batch.column("_found")):
                 words = words_of(unpacker.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
-                own = {words[f["place"]]: f["word_ids"] for f in found.as_py() or ()}
-                own[""] = b""
-                united.append(np.frombuffer(b"".join([known[w] if w in known else own[w] for w in words]), dtype="<i4"))
+                ids = list(map(table.find, words))
+                if found.is_valid:
+                    own = {parts(words[f["place"]])[0]: f["word_ids"] for f in found.as_py()}
+                    for place in [i for i, known in enumerate(ids) if known is None]:
+                        base, tail = parts(words[place])
+                        ids[place] = own[base] + table.table[tail]
+                united.append(np.frombuffer(b"".join(ids), dtype="<i4"))
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(united, pa.list_(pa.int32()))], names=[key, "ids"])
 
     key_type = df.schema[key].dataType
