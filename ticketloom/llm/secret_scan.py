@@ -35,6 +35,7 @@ SECRET_FROM = 0.5
 MASK = "[SECRET]"
 SEED = 11
 TREES = 40
+N_FEATURES = 18
 DEEPEST = 10
 EXAMPLES = 400
 
@@ -54,9 +55,9 @@ ning nt o on one oo or os ou our out ous over per pre pro que ra re ress ro sch
 ta te ten ter th the ti tion to tra tre un ung up ure us ver vi wh with wor
 """.split()
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
+_RUN = re.compile(r"[A-Za-z0-9+/_.~-]{%d,}={0,2}" % (SHORTEST - 2))
 _DIGIT = re.compile(r"[0-9]")
-_MIXED = re.compile(r".[A-Za-z0-9+/_=.~-]*(?:[a-z][A-Z]|[A-Z]{2,}[a-z]|[A-Z][0-9])")
+_MIXED = re.compile(r".[A-Za-z0-9+/_.~-]*(?:[a-z][A-Z]|[A-Z]{2,}[a-z]|[A-Z][0-9])")
 _CREDENTIAL = re.compile("|".join(CREDENTIAL_WORDS), re.I)
 _HARMLESS = re.compile(r"\b(?:" + "|".join(HARMLESS_WORDS) + r")\b", re.I)
 _PIECES = re.compile("|".join(sorted(SYLLABLES, key=len, reverse=True)))
@@ -190,7 +191,7 @@ def example_findings(each: int = EXAMPLES, seed: int = SEED) -> list[tuple[str,
 
 
 def train(findings: list[tuple[str, str, str, int]]) -> Forest:
-    rows = np.array([features(before, token, after) for before, token, after, _ in findings]).reshape(len(findings), -1)
+    rows = np.array([features(before, token, after) for before, token, after, _ in findings]).reshape(len(findings), N_FEATURES)
     return train_forest(rows, np.array([label for *_, label in findings]))
 
 
