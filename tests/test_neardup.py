@@ -73,3 +73,9 @@ def test_words_and_shingles(spark, rows):
     for r in df.collect():
         assert r.w == words(r.text)
         assert len(r.s) == len(set(r.s)) and set(r.s) == shingle_set(r.text)
+
+
+def test_rows_without_a_bucket_are_a_bucket(spark):
+    rows = [(1, "one two three four", None), (2, "one two three four", None), (3, "one two three four", "x")]
+    df = spark.createDataFrame(rows, "id long, text string, b string")
+    assert [r.id for r in neardup.near_duplicates(df, "id", "text", "b").collect()] == [2]

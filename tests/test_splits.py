@@ -47,3 +47,9 @@ def test_split_dataset(spark):
     for part in ("validation", "test"):
         assert neardup.near_rows(parts["train"], parts[part], "id", "text").isEmpty()
     assert neardup.near_rows(parts["future_test"], parts["train"], "id", "text").isEmpty()
+
+
+def test_rows_without_a_stratum_are_a_stratum(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id long, s string")
+    ids = {r.id for r in splits.stratified_test_ids(rows, "id", F.col("s"), "0.30", 7).collect()}
+    assert len(ids) == 6 and sum(i % 2 for i in ids) == 3

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions import fixed
 from ticketloom.functions.numbers import percent
-from ticketloom.operators import (analytics, classifier, ingest, metrics, ordering, quality, review, scenario,
+from ticketloom.operators import (analytics, classifier, extract, ingest, metrics, ordering, quality, review, scenario,
                                   tickets, triage)
 from ticketloom.plans import queries, tickets as data
 from ticketloom.sources import csv_tickets, records, store
@@ -96,11 +96,11 @@ def test_number_rows_and_running_total(spark):
     assert {r.id: r.t for r in ordering.running_total(df, "id", "w", "t").collect()} == expected
 
 
-def test_deep_page_equals_top_page(spark, monkeypatch):
+def test_deep_page_is_ranked_by_time_and_id(spark):
     now = queries.current_tickets(spark, SF_DIR)
     near = [r.id for r in tickets.page(now, 7, 30).collect()]
-    monkeypatch.setattr(tickets, "TOP_ROWS", 0)
-    assert [r.id for r in tickets.page(now, 7, 30).collect()] == near
+    ranked = sorted(((r.created_at, r.id) for r in now.select("created_at", "id").collect()), reverse=True)
+    assert near == [number for _, number in ranked[180:210]]
     with pytest.raises(ValueError):
         tickets.page(now, 0, 30)
 
@@ -233,3 +233,33 @@ def test_lifecycle(spark, tmp_path):
     done = review.apply_decisions(now, decision)
     assert tickets.by_id(done, first.id).first().routing_status == "RESOLVED"
     assert analytics.summary(done).first().resolved_review_count == 1
+
+
+def test_preview_shows_the_first_rows_by_file(spark, tmp_path):
+    write(tmp_path / "a.csv", "review\na0\na1\n")
+    write(tmp_path / "b.csv", "review\n" + "".join(f"b{i}\n" for i in range(200)))
+    assert [r.review for r in csv_tickets.preview(spark, str(tmp_path)).collect()] == ["a0", "a1", "b0", "b1", "b2"]
+
+
+def test_rows_without_an_id_are_one_group(spark):
+    rows = spark.createDataFrame([(None, 3), (None, 2), ("a", 1), ("a", 0)], "ticket_id string, line_no int")
+    assert sorted(map(tuple, quality.keep_first(rows).collect()), key=str) == [("a", 0), (None, 2)]
+
+
+def test_long_numbers_and_gaps(spark):
+    ids = ["TCK-5", "TCK-99999999999999999999", "TCK-000000000000002", "TCK-123456789012345", "x", None, "TCK-" + "9" * 39]
+    df = spark.createDataFrame([(i,) for i in ids], "ticket_id string")
+    totals = quality.sequence_totals(df).first()
+    assert (int(totals.min_number), int(totals.max_number), int(totals.missing_count)) == (2, 10 ** 20 - 1, 10 ** 20 - 1 - 4)
+    gaps = sorted((int(r.first_missing), int(r.last_missing)) for r in quality.sequence_gaps(df).collect())
+    assert gaps == [(1, 1), (3, 4), (6, 123456789012344), (123456789012346, 10 ** 20 - 2)]
+    assert quality.unreadable_numbers(df).count() == 1
+
+
+def test_small_latencies_and_probabilities_are_not_cut(spark):
+    row = metrics.latency_profile(spark.createDataFrame([(1e-7,), (3e-7,)], "v double"), "v").first()
+    assert row.mean_ms == 2e-7 == row.p50_ms and row.throughput == 5e9
+    outputs = spark.createDataFrame([(1, True)], "id long, valid boolean")
+    tokens = spark.createDataFrame([(1, 0.123456789012), (1, 0.9)], "id long, p double")
+    extract.confidence_by_output(outputs, tokens, "id", "p", "valid").collect()
+    assert metrics.latency_profile(spark.createDataFrame([], "v double"), "v").first().samples in (0, None)

@@ -321,6 +321,13 @@ GENERATION_USER_PROMPT = (
     "Return the JSON object now."
 )
 
+# What a top-up prompt adds after the department.
+TOPUP_DEPARTMENT_NOTE = (
+    " (this ticket legitimately belongs to this "
+    "department even though it may differ from the most obvious default department "
+    "for this category - that is intentional)"
+)
+
 # White space that str.strip and str.split recognise in Python.
 WHITESPACE = (
     "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

@@ -46,12 +46,12 @@ def confidence_by_output(outputs: DataFrame, probabilities: DataFrame, key: str,
     """Confidence of each output from a long table of its token probabilities.
 
     Only mean and minimum are kept per output, in partial aggregates, so an output with very many
-    tokens is not gathered anywhere. Sums are decimal and do not depend on order.
+    tokens is not gathered anywhere. Sums are decimal and do not depend on order; their 18 places
+    are more than a double holds near 1.
     """
-    exact = F.col(probability).cast("decimal(18,8)")
+    exact = F.col(probability).cast("decimal(38,18)")
     stats = probabilities.groupBy(key).agg(
-        (F.sum(exact).cast("double") / F.count(exact)).alias("_mean"),
-        F.min(exact).cast("double").alias("_low"))
+        (F.sum(exact).cast("double") / F.count(exact)).alias("_mean"), F.min(probability).alias("_low"))
     joined = outputs.join(stats, key, "left")
     return joined.withColumn("confidence", calibrated(
         F.coalesce("_mean", F.lit(1.0)), F.coalesce("_low", F.lit(1.0)), F.col(valid))

@@ -127,5 +127,5 @@ def triage_single(spark: SparkSession, ticket: dict, request_key: str, as_of: da
     row = [ticket.get(n) for n in names] + [request_key]
     request = spark.createDataFrame([row], ", ".join(f"{n} string" for n in names + ["request_key"]))
     if accepted_requests(request).isEmpty():
-        raise EmptyReview("Review complaint text cannot be empty.")
+        raise EmptyReview("A ticket needs a complaint of at least three characters.")
     return triage_requests(request, F.lit(as_of).cast("timestamp_ntz"), threshold)

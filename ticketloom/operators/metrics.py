@@ -66,8 +66,7 @@ def macro_scores(df: DataFrame) -> DataFrame:
         scores = [_scores(task, i) for i in range(len(labels))]
         means = [reduce(lambda a, b: a + b, column) / float(len(labels)) for column in zip(*scores)]
         names = ("macro_precision", "macro_recall", "macro_f1")
-        entries.append(F.struct(F.lit(task).alias("task"), *[
-            round_half_up(m, 8).alias(n) for m, n in zip(means, names)]))
+        entries.append(F.struct(F.lit(task).alias("task"), *[m.alias(n) for m, n in zip(means, names)]))
     return _rows(_class_counts(df), entries)
 
 
@@ -185,9 +184,9 @@ def latency_profile(df: DataFrame, value: str, quantiles: tuple[float, ...] = (0
         low, high = F.floor(at), F.ceil(at)
         measures += [F.min(F.when(F.col("upto") > low, F.col("v"))).alias(f"low{i}"),
                      F.min(F.when(F.col("upto") > high, F.col("v"))).alias(f"high{i}")]
-    exact = F.sum(F.col("v").cast("decimal(28,6)") * F.col("c").cast("decimal(10,0)"))
-    wide = placed.agg(exact.cast("double").alias("s"), F.sum("c").alias("n"), *measures)
-    mean = F.col("s") / F.col("n")
+    wide = placed.agg(F.sum(F.col("v") * F.col("c")).alias("s"), F.sum("c").alias("n"), *measures)
+    # The order of the sum may change the last bits, so the result has twelve significant digits.
+    mean = F.when(F.col("n") > 0, F.format_string("%.11e", F.col("s") / F.col("n")).cast("double"))
     shown = [F.col("n").alias("samples"), mean.alias("mean_ms")]
     for i, q in enumerate(quantiles):
         at = (total - 1) * F.lit(q)

@@ -52,7 +52,9 @@ def _with_set(df: DataFrame, norm: str, name: str) -> DataFrame:
 def shingle_rows(df: DataFrame, key: str, text: str, bucket: Column) -> DataFrame:
     """id, bucket, normalized text, set size and a digest that equal sets share."""
     norm = F.array_join(normalized_words(F.col(text)), " ")
-    source = balanced(df.select(key, text, bucket.alias("bucket")))
+    # Rows without a bucket are a bucket too.
+    named = F.coalesce(F.concat(F.lit("="), bucket.cast("string")), F.lit("none"))
+    source = balanced(df.select(key, text, named.alias("bucket")))
     rows = source.select(F.col(key).alias("id"), "bucket", norm.alias("norm"))
     return _with_set(rows, "norm", "_set").select(
         "id", "bucket", "norm", F.size("_set").alias("n"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..scratch import stored
 
 _POSITION_BITS = 33
-_BROADCAST_SPLITS = 100_000
 
 
 def _range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -53,6 +52,18 @@ def running_total(df: DataFrame, key: str, weight: str, name: str) -> DataFrame:
             .drop("_part", "_place", "_inner", "_offset"))
 
 
+def with_previous(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Add the value of the unique ``key`` that comes before a row's own, null for the first row."""
+    rows = _range_sorted(df, [F.col(key)])
+    ends = rows.groupBy("_part").agg(F.max(key).alias("_last"))
+    earlier = ends.select("_part", F.max("_last").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.lag(key).over(Window.partitionBy("_part").orderBy(key))
+    # One row per partition, at most spark.sql.shuffle.partitions rows.
+    return (rows.withColumn(name, inside).join(F.broadcast(earlier), "_part")
+            .withColumn(name, F.coalesce(name, "_carried")).drop("_part", "_place", "_carried"))
+
+
 def number_file_rows(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Add dense 1-based row numbers in file order to rows straight from a file source.
 
@@ -67,10 +78,7 @@ def number_file_rows(df: DataFrame, name: str = "row_number") -> DataFrame:
     earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
     offsets = offsets.drop("_size")
-    # About one row per 128 MB of input. Read partitions bound their number; past the bound the
-    # optimizer decides.
-    if df.rdd.getNumPartitions() <= _BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    return (rows.join(offsets, ["_file", "_start"])
+    # One small row per file split of about 128 MB: under a million rows for 100 TB.
+    return (rows.join(F.broadcast(offsets), ["_file", "_start"])
             .withColumn(name, F.col("_offset") + F.col("_mark") - F.col("_first") + 1)
             .drop("_file", "_start", "_mark", "_first", "_offset"))

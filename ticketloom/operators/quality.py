@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.numbers import percent
 from ..functions.text import strip
+from .ordering import with_previous
+
+# Numbers of ids: whole numbers of any length that Spark can hold.
+NUMBER = "decimal(38,0)"
 
 _LABELS = {"category": fixed.CATEGORIES, "priority": fixed.PRIORITIES, "department": fixed.DEPARTMENTS}
 
@@ -112,14 +116,23 @@ def id_totals(df: DataFrame, key: str = "ticket_id") -> DataFrame:
 
 
 def trailing_number(ticket_id: Column) -> Column:
-    """The number after the last hyphen of an id, null when there is none."""
-    return F.nullif(F.regexp_extract(ticket_id, r"-(\d+)$", 1), F.lit("")).try_cast("bigint")
+    """The number after the last hyphen of an id, null when there is none or it has over 38 digits."""
+    return F.nullif(_digits(ticket_id), F.lit("")).try_cast(NUMBER)
+
+
+def _digits(ticket_id: Column) -> Column:
+    return F.regexp_extract(ticket_id, r"-0*(\d+)$", 1)
 
 
 def _numbers(df: DataFrame, key: str) -> DataFrame:
     return df.select(trailing_number(F.col(key)).alias("n")).filter("n is not null")
 
 
+def unreadable_numbers(df: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """Ids whose number has more digits than the sequence reports can hold."""
+    return df.filter(F.length(_digits(F.col(key))) > 38)
+
+
 def sequence_totals(df: DataFrame, key: str = "ticket_id") -> DataFrame:
     """Smallest and largest number and how many of 1..largest are missing."""
     distinct = _numbers(df, key).distinct()
@@ -127,47 +140,35 @@ def sequence_totals(df: DataFrame, key: str = "ticket_id") -> DataFrame:
         F.min("n").alias("min_number"), F.max("n").alias("max_number"),
         F.count_if(F.col("n") > 0).alias("_present")
     ).select("min_number", "max_number",
-             (F.coalesce("max_number", F.lit(0)) - F.col("_present")).alias("missing_count"))
-
-
-_BLOCK = 4096
+             (F.coalesce("max_number", F.lit(0).cast(NUMBER)) - F.col("_present")).cast(NUMBER).alias("missing_count"))
 
 
 def sequence_gaps(df: DataFrame, key: str = "ticket_id") -> DataFrame:
-    """Every missing number of 1..largest.
+    """The gaps of 1..largest as ranges (``first_missing``, ``last_missing``).
 
-    Numbers are compared block by block: a block holds at most 4096 numbers, and only numbers
-    that exist are shuffled.
+    Each number is compared with the one before it, so the result is never longer than the input.
     """
-    numbers = _numbers(df, key)
-    largest = numbers.agg(F.max("n")).first()[0] or 0
-    blocks = df.sparkSession.range(0, largest // _BLOCK + 1).withColumnRenamed("id", "block")
-    present = (numbers.filter("n > 0").withColumn("block", F.col("n").bitwiseAND(F.lit(-_BLOCK)) / _BLOCK)
-               .withColumn("block", F.col("block").cast("bigint"))
-               .groupBy("block").agg(F.collect_set("n").alias("seen")))
-    start = F.greatest(F.col("block") * _BLOCK, F.lit(1))
-    end = F.least(F.col("block") * _BLOCK + (_BLOCK - 1), F.lit(largest))
-    missing = F.array_except(
-        F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<bigint>")),
-        F.coalesce("seen", F.array().cast("array<bigint>")))
-    return blocks.join(present, "block", "left").select(F.explode(missing).alias("missing_number"))
+    numbers = _numbers(df, key).filter("n > 0").distinct()
+    before = F.coalesce("_before", F.lit(0).cast(NUMBER))
+    return with_previous(numbers, "n", "_before").filter(F.col("n") > before + 1).select(
+        (before + 1).cast(NUMBER).alias("first_missing"), (F.col("n") - 1).cast(NUMBER).alias("last_missing"))
 
 
 def keep_first(df: DataFrame, key: str = "ticket_id", order: str = "line_no") -> DataFrame:
-    """The first row of each id.
+    """The first row of each id; rows without an id are one group.
 
     Only the first place per id is aggregated, with partial minima before the shuffle, so a hot
     id does not gather its rows in one task.
     """
     first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
-    return df.join(first, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first")), "left_semi")
+    return df.join(first, F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_first")), "left_semi")
 
 
 def progress(df: DataFrame, key: str = "ticket_id", batch: str = "generation_batch",
              order: str = "line_no") -> DataFrame:
     """Resume point of a generation run: highest number, rows so far, batch of the last row."""
     return df.agg(
-        F.coalesce(F.max(trailing_number(F.col(key))), F.lit(0)).alias("next_index"),
+        F.coalesce(F.max(trailing_number(F.col(key))), F.lit(0).cast(NUMBER)).alias("next_index"),
         F.count(F.lit(1)).alias("accepted"),
         F.lit(0).cast("bigint").alias("rejected"),
         F.max_by(batch, order).alias("batch_id"))

@@ -22,11 +22,13 @@ def with_default_notes(decisions: DataFrame) -> DataFrame:
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     """The last decision of each ticket; equal times are settled by the decision's content.
 
-    Partial maxima are taken before the shuffle, so a ticket with many decisions costs one row
-    per task.
+    The newest time of each ticket is a partial maximum in a hash table, so a ticket with many
+    decisions costs one row per task. Only decisions of that time are compared by content.
     """
     content = ["decided_at", "kind", "decided_category", "decided_priority", "decided_department", "notes"]
-    best = decisions.groupBy("id").agg(F.max(F.struct(*content)).alias("last"))
+    newest = decisions.groupBy(F.col("id").alias("_id")).agg(F.max("decided_at").alias("_at"))
+    last = decisions.join(newest, (F.col("id") == F.col("_id")) & (F.col("decided_at") == F.col("_at")), "left_semi")
+    best = last.groupBy("id").agg(F.max(F.struct(*content)).alias("last"))
     return best.select("id", "last.*")
 
 

@@ -105,10 +105,12 @@ def topup_plan(targets: DataFrame, seed: int) -> DataFrame:
     }).drop("_a")
 
 
-def prompts(plan: DataFrame) -> DataFrame:
-    """System and user prompt for each plan row; the instruction depends on the difficulty."""
+def prompts(plan: DataFrame, topup: bool = False) -> DataFrame:
+    """System and user prompt for each plan row; the instruction depends on the difficulty. A top-up
+    prompt says that an unusual department is meant."""
     instruction = by_label(F.col("difficulty"), {d: F.lit(t) for d, t in fixed.DIFFICULTY_INSTRUCTIONS.items()})
-    values = {"instruction": instruction}
+    note = F.lit(fixed.TOPUP_DEPARTMENT_NOTE if topup else "")
+    values = {"instruction": instruction, "department": F.concat("department", note)}
     parts = []
     rest = fixed.GENERATION_USER_PROMPT
     while "{" in rest:

@@ -35,6 +35,12 @@ def quotas(strata: DataFrame, share: str) -> DataFrame:
     return sized.select("stratum", "n", (F.col("_base") + extra.cast("bigint")).alias("quota"))
 
 
+def _with_stratum(rows: DataFrame, per_stratum: DataFrame) -> DataFrame:
+    """Join one row per stratum; rows without a stratum are a stratum too."""
+    named = per_stratum.withColumnRenamed("stratum", "_stratum")
+    return rows.join(named, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop("_stratum")
+
+
 def quota_sample(df: DataFrame, key: str, stratum: Column, seed: int, wanted: DataFrame) -> DataFrame:
     """The rows of lowest seeded digest, ``quota`` of them in each stratum.
 
@@ -46,11 +52,11 @@ def quota_sample(df: DataFrame, key: str, stratum: Column, seed: int, wanted: Da
     rows = rows.withColumn("_slice", F.substring("_digest", 1, _SLICE_DIGITS))
     counts = rows.groupBy("stratum", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("stratum").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    sums = counts.withColumn("_upto", F.sum("_n").over(upto)).join(wanted.select("stratum", "quota"), "stratum")
+    sums = _with_stratum(counts.withColumn("_upto", F.sum("_n").over(upto)), wanted.select("stratum", "quota"))
     edge = sums.filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
     edge = stored(edge.select("stratum", F.col("_slice").alias("_edge"),
                               (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take")), "edges")
-    placed = rows.join(edge, "stratum")
+    placed = _with_stratum(rows, edge)
     below = placed.filter(F.col("_slice") < F.col("_edge"))
     order = Window.partitionBy("stratum").orderBy("_digest", key)
     at_edge = placed.filter(F.col("_slice") == F.col("_edge")).withColumn(

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_half_up
 from .ingest import iso_text
-from .ordering import number_rows
-
-# Up to here a page is a top-k over all tasks; beyond, rows are numbered in parallel instead.
-TOP_ROWS = 100_000
 
 
 def by_id(tickets: DataFrame, ticket: int) -> DataFrame:
@@ -51,11 +47,9 @@ def page(tickets: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     if number < 1 or not 1 <= size <= 100:
         raise ValueError("page must be at least 1 and page size between 1 and 100")
     skip = (number - 1) * size
-    if skip + size <= TOP_ROWS:
-        return tickets.orderBy(*_newest_first()).offset(skip).limit(size)
-    keys = number_rows(tickets.select("id", "created_at"), _newest_first(), "_place")
-    wanted = keys.filter(F.col("_place").between(skip + 1, skip + size)).select("id")
-    return tickets.join(F.broadcast(wanted), "id", "left_semi").orderBy(*_newest_first())
+    # Only ids and times are ranked. At most 100 ids are left to look up.
+    wanted = tickets.select("id", "created_at").orderBy(*_newest_first()).offset(skip).limit(size)
+    return tickets.join(F.broadcast(wanted.select("id")), "id", "left_semi").orderBy(*_newest_first())
 
 
 def page_totals(tickets: DataFrame, number: int = 1, size: int = 20) -> DataFrame:

@@ -5,6 +5,8 @@ Only the input projection (``tickets``) and the fixed values are shared.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from ..functions import fixed
 from . import tickets as data
 from .queries import BATCH_ID, LOOKUP_ID, SEARCH, SEED
@@ -181,6 +183,8 @@ ORACLE["a1_csv_source"] = _with(_RAW) + "SELECT " + ", ".join(
     _MISSING.format(c) for c in ("review", "customer_name", "contact_number", "timestamp")) + " FROM raw"
 ORACLE["a1_csv_row_numbers"] = ("SELECT count(*) AS rows, 1::BIGINT AS first_row, count(*) AS last_row, "
                                 "count(*) AS distinct_rows FROM orders")
+ORACLE["a2_upload_preview"] = _with(_RAW) + """SELECT customer_name AS " Customer ", contact_number AS "PHONE",
+  nullif(review, '') AS "Complaint", timestamp AS "Date", id::VARCHAR AS "Number" FROM raw ORDER BY id LIMIT 5"""
 ORACLE["a3_jsonl_source"] = (_with(_RECORDS) + f"SELECT {', '.join(fixed.FIELDS)}, NULL::VARCHAR AS _corrupt FROM records")
 ORACLE["a4_jsonl_sink"] = _with(_RECORDS) + "SELECT ticket_id, key_index::VARCHAR AS key_index FROM records"
 ORACLE["a5_csv_sink"] = (_with(_RECORDS) + "SELECT " + ", ".join(
@@ -226,8 +230,8 @@ ORACLE["c3_matched_keywords"] = _TO_LABELS + "SELECT id, matched_keywords::BIGIN
 for _letter, _name in zip("abcdef", ("base", "hits", "length", "signals", "vocabulary", "jitter")):
     ORACLE[f"c4{_letter}_{_name}_term"] = _TO_SCORES + f"SELECT id, term_{_name} FROM terms"
 ORACLE["c4_confidence"] = _TO_SCORES + "SELECT id, confidence FROM scored"
-ORACLE["c5_token_confidence"] = """WITH tokens AS (SELECT l_orderkey AS id, CAST(1e0 - l_discount AS DECIMAL(18,8)) AS p FROM lineitem),
-stats AS (SELECT id, sum(p)::DOUBLE / count(*) AS mean, min(p)::DOUBLE AS low FROM tokens GROUP BY id)
+ORACLE["c5_token_confidence"] = """WITH tokens AS (SELECT l_orderkey AS id, 1e0 - l_discount AS p FROM lineitem),
+stats AS (SELECT id, sum(p::VARCHAR::DECIMAL(38,18))::DOUBLE / count(*) AS mean, min(p) AS low FROM tokens GROUP BY id)
 SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 0e0 ELSE
   floor(greatest(0e0, least(1e0, 0.75e0 * coalesce(mean, 1e0) + 0.25e0 * coalesce(low, 1e0))) * 10000e0 + 0.5e0) / 10000e0
   END AS confidence FROM orders LEFT JOIN stats ON id = o_orderkey"""
@@ -442,8 +446,9 @@ ORACLE["f11_imbalance"] = _with(_RAW, _COMBOS) + """SELECT count(*) AS combinati
 ORACLE["f12_duplicate_ids"] = "SELECT conv_id, count(*) AS occurrences FROM conversations GROUP BY conv_id HAVING count(*) > 1"
 ORACLE["f12_id_totals"] = """SELECT sum(n)::BIGINT AS total_rows, count(*) AS unique_ids, count(*) FILTER (n > 1) AS duplicate_ids
   FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)"""
-ORACLE["f13_sequence_gaps"] = """SELECT g AS missing_number FROM range(1, (SELECT max(l_orderkey) + 1 FROM lineitem)) r(g)
-  WHERE g NOT IN (SELECT l_orderkey FROM lineitem)"""
+ORACLE["f13_sequence_gaps"] = """SELECT min(g) AS first_missing, max(g) AS last_missing FROM (
+  SELECT g, g - row_number() OVER (ORDER BY g) AS run FROM range(1, (SELECT max(l_orderkey) + 1 FROM lineitem)) r(g)
+  WHERE g NOT IN (SELECT l_orderkey FROM lineitem)) GROUP BY run"""
 ORACLE["f13_sequence_totals"] = """SELECT min(l_orderkey) AS min_number, max(l_orderkey) AS max_number,
   max(l_orderkey) - count(DISTINCT l_orderkey) FILTER (l_orderkey > 0) AS missing_count FROM lineitem"""
 ORACLE["f14_keep_first"] = """SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
@@ -457,6 +462,8 @@ ORACLE["f16_complete_rows"] = _with(_GAPPY) + f"SELECT id FROM gappy WHERE {_LAC
 
 # --- G ---
 
+_FUTURE, _TEST = Fraction(fixed.FUTURE_SHARE), Fraction(fixed.TEST_SHARE)
+
 
 def _quota(source: str, key: str, stratum: str, top: int, bottom: int) -> str:
     return f"""strata AS (SELECT {stratum} AS stratum, count(*) AS n FROM {source} GROUP BY 1),
@@ -481,6 +488,8 @@ near AS (SELECT b.doc_id FROM each a JOIN each b ON a.sh = b.sh AND a.in_base AN
 ORACLE["g5_rows_with_ids"] = _with(_RECORDS) + """SELECT ticket_id, review, difficulty, scenario_type FROM records
   WHERE id IN (SELECT l_orderkey FROM lineitem)"""
 ORACLE["g6_edge_cases"] = _with(_RAW) + "SELECT ticket_id, difficulty FROM raw WHERE difficulty IN ('hard', 'ambiguous')"
+ORACLE["g4_split_invariants"] = f"""SELECT (count(*) * {_FUTURE.numerator} + {_FUTURE.denominator - 1}) // {_FUTURE.denominator} AS future_rows,
+  0::BIGINT AS repeated_rows, 0::BIGINT AS foreign_rows, 0::BIGINT AS near_future, 0::BIGINT AS near_train FROM documents"""
 ORACLE["g7_priority_stress"] = _with(_RAW) + f"""SELECT ticket_id, priority FROM (SELECT *,
   row_number() OVER (PARTITION BY priority ORDER BY md5(ticket_id || ':{SEED}:'), ticket_id) AS rn,
   count(*) FILTER (priority = 'Critical') OVER () AS critical FROM raw)
@@ -493,6 +502,9 @@ ORACLE["g10_chat_examples"] = _with(_RAW, _clean()) + f"""SELECT ticket_id, 'sys
   {_q(fixed.SYSTEM_PROMPT)} || chr(10) || review || chr(10) || '{{"category": "' || category || '", "priority": "' || priority
   || '", "department": "' || department || '"}}' AS contents, 2::BIGINT AS prompt_length FROM clean"""
 
+ORACLE["c12_classifier_check"] = _with(_RAW, _clean()) + f"""SELECT (count(*) * {_TEST.numerator} + {_TEST.denominator - 1}) // {_TEST.denominator} AS scored,
+  0::BIGINT AS unknown_labels, 0::BIGINT AS odd_confidences, true AS beats_commonest FROM clean"""
+
 # --- H ---
 
 _PREDICTIONS = _with(_RAW, _clean(), _LABELLED, _TERMS, _extracted("scored", "id, category, priority, department, confidence"),
@@ -560,7 +572,7 @@ ORACLE["h9_final_label_evaluation"] = _TO_TRIAGED + f"""SELECT n AS total, {_per
 ORACLE["h10_critical_escapes"] = _TO_TRIAGED + f"SELECT id, final_priority FROM triaged WHERE {_ESCAPE}"
 ORACLE["h11_latency_profile"] = """SELECT n AS samples, m AS mean_ms, p50 AS p50_ms, p95 AS p95_ms, p99 AS p99_ms,
   CASE WHEN m > 0 THEN floor(1000e0 / m * 10e0 + 0.5e0) / 10e0 ELSE 0e0 END AS throughput FROM (
-  SELECT count(value) AS n, sum(value::DECIMAL(28,6))::DOUBLE / count(value) AS m, quantile_cont(value, 0.50) AS p50,
+  SELECT count(value) AS n, printf('%.11e', fsum(value) / count(value))::DOUBLE AS m, quantile_cont(value, 0.50) AS p50,
     quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events)"""
 
 # --- I ---
@@ -603,13 +615,14 @@ SELECT plan_id, {_pick(_draw('dc', 0), fixed.FIRST_NAMES)} || ' ' || {_pick(_dra
   '+91' || {_pick(_draw('dc', 2), fixed.PHONE_PREFIXES)} || lpad(({_draw('dc', 3)} * 100000000 // 4294967296)::VARCHAR, 8, '0') AS contact_number,
   strftime(TIMESTAMP '{data.AS_OF}' - to_days(({_draw('dd', 0)} * 181 // 4294967296)::INT)
     - to_hours(({_draw('dd', 1)} * 24 // 4294967296)::INT), '%Y-%m-%dT%H:%M:%S') AS timestamp FROM digests"""
-ORACLE["i4_topup_plan"] = _with(_RAW, _COMBOS, f"""targets AS (SELECT category, priority, department,
+_TOPUP = _with(_RAW, _COMBOS, f"""targets AS (SELECT category, priority, department,
   (SELECT ceil(sum(tickets) / count(*)) FROM combos)::BIGINT - tickets AS n FROM combos),
 items AS (SELECT category, priority, department, unnest(range(1, n + 1)) AS item FROM targets WHERE n > 0),
-drawn AS (SELECT *, md5(category || '|' || priority || '|' || department || '|' || item::VARCHAR || ':{SEED}:topup') AS d FROM items)"""
-                                ) + f"""SELECT category, priority, department, item,
+drawn AS (SELECT *, md5(category || '|' || priority || '|' || department || '|' || item::VARCHAR || ':{SEED}:topup') AS d FROM items),
+topup AS (SELECT category, priority, department, item,
   {_map_case('category', {c: _pick(_draw('d', 0), v) for c, v in fixed.SCENARIOS.items()})} AS scenario,
-  {_weighted(_draw('d', 1), fixed.DIFFICULTY_WEIGHTS)} AS difficulty FROM drawn"""
+  {_weighted(_draw('d', 1), fixed.DIFFICULTY_WEIGHTS)} AS difficulty FROM drawn)""")
+ORACLE["i4_topup_plan"] = _TOPUP + "SELECT * FROM topup"
 _INSTRUCTION = _map_case("difficulty", {k: _q(v) for k, v in fixed.DIFFICULTY_INSTRUCTIONS.items()})
 _USER = _q(fixed.GENERATION_USER_PROMPT)
 for _column in ("scenario", "category", "priority", "department", "difficulty"):
@@ -617,5 +630,7 @@ for _column in ("scenario", "category", "priority", "department", "difficulty"):
 _USER = f"replace({_USER}, '{{instruction}}', {_INSTRUCTION})"
 ORACLE["i5_prompts"] = _with(_PLAN) + (
     f"SELECT plan_id, {_q(fixed.GENERATION_SYSTEM_PROMPT)} AS system_prompt, {_USER} AS user_prompt FROM plan")
+_TOPUP_USER = _USER.replace("Target department: {department}", "Target department: {department}" + fixed.TOPUP_DEPARTMENT_NOTE)
+ORACLE["i5_topup_prompts"] = _TOPUP + f"SELECT category, priority, department, item, {_TOPUP_USER} AS user_prompt FROM topup"
 ORACLE["i6_manifest"] = _CHECKED + f"""SELECT 'v1.0' AS dataset_version, '{BATCH_ID}' AS batch_id, {SEED}::BIGINT AS seed,
   count(*) AS target_size, count(*) FILTER (valid) AS accepted, count(*) FILTER (NOT valid) AS rejected FROM checked"""

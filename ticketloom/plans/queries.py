@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..functions.numbers import round_half_up
 from ..operators import (analytics, classifier, evalsets, extract, ingest, metrics, neardup, ordering,
                          quality, review, scenario, splits, tickets, triage)
 from ..scratch import fresh_folder, stored
@@ -85,9 +86,10 @@ STATE = ["id", "final_category", "final_priority", "final_department", "routing_
 # --- A. Sources and sinks -----------------------------------------------------------
 
 
-def _upload_folder(spark, d):
+def _upload_folder(spark, d, in_order=False):
     folder = fresh_folder(spark, "upload")
-    data.named_tickets(spark, d).select(
+    rows = data.named_tickets(spark, d)
+    (rows.orderBy("id") if in_order else rows).select(
         F.col("customer_name").alias(" Customer "), F.col("contact_number").alias("PHONE"),
         F.col("review").alias("Complaint"), F.col("timestamp").alias("Date"),
         F.col("id").cast("string").alias("Number"),
@@ -111,7 +113,7 @@ def a1_csv_row_numbers(spark, d):
 
 @query
 def a2_upload_preview(spark, d):
-    return csv_tickets.preview(spark, _upload_folder(spark, d))
+    return csv_tickets.preview(spark, _upload_folder(spark, d, in_order=True))
 
 
 def _record_folder(spark, d):
@@ -306,6 +308,23 @@ def c12_trained_classifier(spark, d):
     return classifier.fit(stored(train, "train")).score(test)
 
 
+@query
+def c12_classifier_check(spark, d):
+    """One row: every held-out ticket is scored, with known labels, better than by the commonest one."""
+    rows = stored(clean(spark, d).select("id", "review", "category", "priority", "department"), "labelled")
+    train, test = splits.stratified_split(rows, "id", fixed.TEST_SHARE, SEED)
+    scored = classifier.fit(stored(train, "train")).score(test)
+    known = {"category": fixed.CATEGORIES, "priority": fixed.PRIORITIES, "department": fixed.DEPARTMENTS}
+    odd = [~F.col(f"predicted_{t}").isin(labels) for t, labels in known.items()]
+    counts = [F.count_if(F.col("department") == v).alias(f"n{i}") for i, v in enumerate(fixed.DEPARTMENTS)]
+    return scored.agg(
+        F.count(F.lit(1)).alias("scored"), F.count_if(odd[0] | odd[1] | odd[2]).alias("unknown_labels"),
+        F.count_if(~F.col("confidence").between(0, 1)).alias("odd_confidences"),
+        F.count_if(F.col("predicted_department") == F.col("department")).alias("right"), *counts,
+    ).select("scored", "unknown_labels", "odd_confidences",
+             (F.col("right") > F.greatest(*[f"n{i}" for i in range(len(counts))])).alias("beats_commonest"))
+
+
 @query
 def c13_phone_masking(spark, d):
     customer = data.table(spark, d, "customer")
@@ -401,8 +420,7 @@ def d8_pass_all_count(spark, d):
 
 @query
 def d9_delete_pending(spark, d):
-    now = current_tickets(spark, d)
-    return review.without_deleted(now, review.tombstones(now)).select(*STATE)
+    return review.without_pending(current_tickets(spark, d)).select(*STATE)
 
 
 @query
@@ -607,12 +625,14 @@ def _line_tickets(spark, d):
 
 @query
 def f13_sequence_gaps(spark, d):
-    return quality.sequence_gaps(_line_tickets(spark, d))
+    return quality.sequence_gaps(_line_tickets(spark, d)).select(
+        F.col("first_missing").cast("bigint"), F.col("last_missing").cast("bigint"))
 
 
 @query
 def f13_sequence_totals(spark, d):
-    return quality.sequence_totals(_line_tickets(spark, d))
+    totals = quality.sequence_totals(_line_tickets(spark, d))
+    return totals.select(*[F.col(c).cast("bigint") for c in totals.columns])
 
 
 @query
@@ -623,7 +643,8 @@ def f14_keep_first(spark, d):
 
 @query
 def f15_progress(spark, d):
-    return quality.progress(data.labelled_records(spark, d).withColumn("line_no", F.col("id")))
+    found = quality.progress(data.labelled_records(spark, d).withColumn("line_no", F.col("id")))
+    return found.withColumn("next_index", F.col("next_index").cast("bigint"))
 
 
 @query
@@ -680,6 +701,26 @@ def g4_split_sizes(spark, d):
     return splits.split_sizes(parts)
 
 
+@query
+def g4_split_invariants(spark, d):
+    """One row: the size of the future set, and what must be zero of the other parts."""
+    docs = documents(spark, d).select("doc_id", "text", "lang", "source")
+    parts = {name: stored(part, name) for name, part in splits.split_dataset(
+        docs, "doc_id", "text", SEED, _document_strata(), F.col("lang")).items()}
+    held = parts["validation"].unionByName(parts["test"])
+    rest = parts["train"].unionByName(held)
+    every = rest.unionByName(parts["future_test"])
+    measures = {
+        "future_rows": parts["future_test"],
+        "repeated_rows": every.groupBy("doc_id").count().filter("count > 1"),
+        "foreign_rows": every.join(docs, "doc_id", "left_anti"),
+        "near_future": neardup.near_rows(parts["future_test"], rest, "doc_id", "text"),
+        "near_train": neardup.near_rows(parts["train"], held, "doc_id", "text"),
+    }
+    counts = [F.lit(rows.count()).cast("bigint").alias(name) for name, rows in measures.items()]
+    return spark.range(1).select(*counts)
+
+
 @query
 def g5_rows_with_ids(spark, d):
     return evalsets.rows_with_ids(data.labelled_records(spark, d), _line_tickets(spark, d)).select(
@@ -725,7 +766,9 @@ def h1_accuracy(spark, d):
 
 @query
 def h2_macro_scores(spark, d):
-    return metrics.macro_scores(predictions(spark, d))
+    scores = metrics.macro_scores(predictions(spark, d))
+    # The order of a sum may change the last bits, so the comparison has eight places.
+    return scores.select("task", *[round_half_up(F.col(c), 8).alias(c) for c in scores.columns if c != "task"])
 
 
 @query
@@ -810,6 +853,12 @@ def i5_prompts(spark, d):
     return scenario.prompts(_plan(spark, d)).select("plan_id", "system_prompt", "user_prompt")
 
 
+@query
+def i5_topup_prompts(spark, d):
+    plan = scenario.topup_plan(scenario.shortfalls(quality.combinations(data.raw_tickets(spark, d))), SEED)
+    return scenario.prompts(plan, topup=True).select("category", "priority", "department", "item", "user_prompt")
+
+
 @query
 def i6_manifest(spark, d):
     return scenario.manifest(_checked(spark, d).withColumn("accepted", F.col("valid")), "v1.0", BATCH_ID, SEED)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def pick_columns(df: DataFrame) -> DataFrame:
     for target, names in _ALIASES.items():
         source = next((present[n] for n in names if n in present), None)
         if source is None and target == "review":
-            raise UploadError("CSV must contain a 'review' (or 'complaint' / 'text') column.")
+            raise UploadError("No column holds the complaint: name one of them " + ", ".join(names))
         if source is None:
             column = F.lit(None).cast("string")
         else:
@@ -54,13 +56,22 @@ def read_tickets_csv(spark: SparkSession, path: str, multi_line: bool = True,
     """Uploaded tickets with their 1-based row number in file order."""
     raw = _read(spark, path, multi_line)
     if not raw.columns or raw.isEmpty():
-        raise UploadError("Uploaded CSV file is empty.")
+        raise UploadError("The upload has no rows.")
     return pick_columns(number_file_rows(raw) if numbered else raw)
 
 
 def preview(spark: SparkSession, path: str, rows: int = 5) -> DataFrame:
-    """The first rows of an upload under its own headers; reads no further than it must."""
-    return _read(spark, path, multi_line=True).limit(rows)
+    """The first rows of an upload, file by file in order of name, under its own headers; files after
+    them are not read."""
+    whole = _read(spark, path, multi_line=True)
+    shown, missing = [whole.limit(0)], rows
+    for file in sorted(whole.inputFiles()):
+        first = _read(spark, file, multi_line=True).limit(missing)
+        shown.append(first)
+        missing -= first.count()
+        if missing <= 0:
+            break
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shown)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] = fixed.FIELDS) -> None:

@@ -10,6 +10,8 @@ from ..functions import fixed
 from ..operators.ingest import clean_reviews
 from ..operators.triage import triage
 
+_VERSIONS = 4
+
 
 def read_ticket_files(spark: SparkSession, folder: str, schema, pattern: str | None = None,
                       files_per_batch: int | None = None) -> DataFrame:
@@ -40,12 +42,14 @@ def live_counts(tickets: DataFrame) -> DataFrame:
 
 
 def live_kpi_stream(tickets: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Keep the current counts in a parquet folder, one complete version per batch.
+    """Keep the current counts in a parquet folder: complete versions of the last few batches.
 
-    A batch writes its own folder, so a batch that is retried replaces itself.
+    Batches take turns in ``_VERSIONS`` folders, so a batch that is retried replaces itself, a reader
+    of the version before is not disturbed, and history doesn't grow.
     """
     def save(counts: DataFrame, batch: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+        counts.withColumn("batch", F.lit(batch).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(
+            f"{sink}/slot={batch % _VERSIONS}")
 
     return (live_counts(tickets).writeStream.foreachBatch(save)
             .option("checkpointLocation", checkpoint).outputMode("complete")
@@ -56,7 +60,7 @@ def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
     """The newest complete version of the live counts."""
     versions = spark.read.parquet(sink)
     newest = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(F.broadcast(newest), "batch").drop("batch")
+    return versions.join(F.broadcast(newest), "batch").drop("batch", "slot")
 
 
 def kpis_from_counts(counts: DataFrame) -> DataFrame:
