@@ -7,10 +7,10 @@ its words (cut at space and line feed), and its ids are the ids of its words in
    frequent ones are encoded, each once. This table has a fixed bound and is broadcast; it only decides
    which way a word takes, not whether it is encoded. ASCII words count in lower case, as the
    tokenizer reads them, and a full stop or comma after a letter counts as a word.
-2. *Other words.* Every text lists its other words, each once, with the place where it first stands.
+2. *Other words.* Every text lists its other words, each once, with their place in sorted order.
    They are dealt by word, so each distinct word meets in one place and is encoded once there.
 3. *Join by position.* Their ids go back to the text they came from, in order of place, and the
-   text's ids are put together. Texts move through the shuffle once, compressed.
+   text's ids are put together. A text moves through the shuffle once, as the numbers of its words.
 
 Decoding joins ids with the table of pieces, which the vocabulary bounds, in order.
 
@@ -30,17 +30,15 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FREQUENT = 300_000
+FREQUENT = 200_000
 SAMPLE_TEXTS = 16_000
 LONGEST_FREQUENT = 64
 _WORDS_KEPT = 1_000_000
-_FORMS_KEPT = 300_000
+_FORMS_KEPT = 200_000
 _LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha())
 
 
@@ -100,22 +98,63 @@ def parts(word: str) -> tuple[str, str]:
     return (base.lower() if base.isascii() else base), tail
 
 
-class WordTable:
-    """Ids of words whose base and mark are in a table. Forms that were put together are remembered."""
+def number_bytes(number: int) -> bytes:
+    """A whole number in bytes of seven bits, low ones first; all but the last have the eighth bit."""
+    data = bytearray()
+    while number > 127:
+        data.append(number & 127 | 128)
+        number >>= 7
+    data.append(number)
+    return bytes(data)
 
-    def __init__(self, table: dict[str, bytes]):
-        self.table, self.forms = table, {}
 
-    def find(self, word: str) -> bytes | None:
-        ids = self.forms.get(word)
-        if ids is None:
+def numbers_of(data: np.ndarray) -> np.ndarray:
+    """The numbers that ``number_bytes`` wrote, from an array of bytes."""
+    if not len(data):
+        return np.zeros(0, dtype=np.int64)
+    last = data < 128
+    starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(data)]))))
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
+
+
+class Coder:
+    """Texts as numbers of words: their rank in the frequent table, and behind those the place of a word
+    among the text's other words, in sorted order. Forms that were looked up are remembered."""
+
+    def __init__(self, ranks: dict[str, int]):
+        self.ranks, self.forms = ranks, {"": b""}
+
+    def _new_forms(self, words: list[str]) -> list[tuple[str, str, str]]:
+        if len(self.forms) > _FORMS_KEPT:
+            self.forms = {"": b""}
+        others = []
+        for word in set(words).difference(self.forms):
             base, tail = parts(word)
-            ids = self.table.get(base)
-            if ids is not None:
-                if len(self.forms) >= _FORMS_KEPT:
-                    self.forms.clear()
-                ids = self.forms[word] = ids + self.table[tail]
-        return ids
+            rank = self.ranks.get(base)
+            if rank is None:
+                others.append((word, base, tail))
+            else:
+                self.forms[word] = number_bytes(rank) + self._mark(tail)
+        return others
+
+    def _mark(self, tail: str) -> bytes:
+        return number_bytes(self.ranks[tail]) if tail else b""
+
+    def others(self, text: str | None) -> list[str]:
+        """The words of a text that are not frequent, sorted."""
+        return sorted({base for _, base, _ in self._new_forms(words_of(text))})
+
+    def code(self, text: str | None) -> bytes:
+        words = words_of(text)
+        others = self._new_forms(words)
+        place = {base: i for i, base in enumerate(sorted({base for _, base, _ in others}))}
+        for word, base, tail in others:
+            self.forms[word] = number_bytes(len(self.ranks) + place[base]) + self._mark(tail)
+        data = b"".join(map(self.forms.__getitem__, words))
+        for word, *_ in others:
+            del self.forms[word]
+        return data
 
 
 def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -156,37 +195,46 @@ def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, te
     return dict(zip(chosen, encode_words(path, chosen)))
 
 
-def _packed(text: str | None, packer: zstandard.ZstdCompressor) -> bytes:
-    return packer.compress((text or "").encode("utf-8", "surrogatepass"))
+def _look_up(codes: list[bytes], places: list[np.ndarray], other_ids: list[list[bytes]], table: np.ndarray,
+             starts: np.ndarray) -> pa.ListArray:
+    """The ids of coded texts. ``starts`` bounds each frequent word's ids in ``table``."""
+    numbers = [numbers_of(np.frombuffer(data, dtype=np.uint8)) for data in codes]
+    frequent = len(starts) - 1
+    # The texts' other words follow the table, text after text.
+    ordered = [[ids[i] for i in np.argsort(at)] for at, ids in zip(places, other_ids)]
+    sizes = np.array([len(ids) // 4 for row in ordered for ids in row], dtype=np.int64)
+    flat = np.concatenate((table, np.frombuffer(b"".join(ids for row in ordered for ids in row), dtype="<i4")))
+    bounds = np.concatenate((starts, starts[-1] + np.cumsum(sizes)))
+    first = np.cumsum([0, *(len(row) for row in ordered)])
+    words = np.concatenate([np.where(n < frequent, n, n + at) for n, at in zip(numbers, first)])
+    lengths = bounds[words + 1] - bounds[words]
+    ends = np.cumsum(lengths)
+    ids = flat[np.repeat(bounds[words] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    upto = np.concatenate(([0], ends))[np.cumsum([0, *(len(n) for n in numbers)])]
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT) -> DataFrame:
     """key and ``ids`` (array of int), a row per row of ``df``."""
     spark: SparkSession = df.sparkSession
-    table = frequent_words(df.select(F.col(text).alias("_text")), "_text", path, most)
-    for mark in ("", ".", ","):
-        table[mark] = encode_words(path, [mark])[0]
-    frequent = spark.sparkContext.broadcast(table)
+    words = {mark: encode_words(path, [mark])[0] for mark in (".", ",")}
+    words |= frequent_words(df.select(F.col(text).alias("_text")), "_text", path, most)
+    ranks = spark.sparkContext.broadcast({word: rank for rank, word in enumerate(words)})
+    ids_table = np.frombuffer(b"".join(words.values()), dtype="<i4")
+    table = spark.sparkContext.broadcast((ids_table, np.cumsum([0, *(len(ids) // 4 for ids in words.values())])))
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
                      F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = WordTable(frequent.value).find
+        coder = Coder(ranks.value)
         for batch in batches:
             names = batch.column("_row").to_pylist()
             for start, texts in in_slices(batch.column("_text")):
-                found, places, rows_of = [], [], []
-                for offset, value in enumerate(texts):
-                    seen = set()
-                    for place, word in enumerate(words_of(value)):
-                        if find(word) is None and (base := parts(word)[0]) not in seen:
-                            seen.add(base)
-                            found.append(base)
-                            places.append(place)
-                            rows_of.append(names[start + offset])
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows_of, pa.int64()), pa.array(places, pa.int32()), pa.array(found)],
-                                                     names=["row", "place", "word"])
+                found = [coder.others(value) for value in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[start + i] for i, some in enumerate(found) for _ in some], pa.int64()),
+                     pa.array([place for some in found for place in range(len(some))], pa.int32()),
+                     pa.array([word for some in found for word in some], pa.string())], names=["row", "place", "word"])
 
     def each_word_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_ids = None, b""
@@ -209,42 +257,37 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
     by_row = encoded.repartition(partitions, "row").dropDuplicates(["row", "place"]).groupBy("row").agg(
         F.collect_list(F.struct("place", "word_ids")).alias("_found"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(ranks.value)
         for batch in batches:
-            packed = pa.array([_packed(t.as_py(), packer) for t in batch.column("_text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_row"), packed], names=["_key", "_row", "_packed"])
+            coded = pa.array([coder.code(t.as_py()) for t in batch.column("_text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_row"), coded], names=["_key", "_row", "_code"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, unpacker = WordTable(frequent.value), zstandard.ZstdDecompressor()
-        for batch in batches:
-            united = []
-            for packed, found in zip(batch.column("_packed"), batch.column("_found")):
-                words = words_of(unpacker.decompress(packed.as_py()).decode("utf-8", "surrogatepass"))
-                ids = list(map(table.find, words))
-                if found.is_valid:
-                    own = {parts(words[f["place"]])[0]: f["word_ids"] for f in found.as_py()}
-                    for place in [i for i, known in enumerate(ids) if known is None]:
-                        base, tail = parts(words[place])
-                        ids[place] = own[base] + table.table[tail]
-                united.append(np.frombuffer(b"".join(ids), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(united, pa.list_(pa.int32()))], names=[key, "ids"])
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+            found = batch.column("_found").fill_null([])
+            flat = found.flatten()
+            bounds = np.cumsum([0, *found.value_lengths().to_pylist()])
+            places, ids = flat.field("place").to_numpy(), flat.field("word_ids").to_pylist()
+            united = _look_up(batch.column("_code").to_pylist(), [places[s:e] for s, e in zip(bounds, bounds[1:])],
+                              [ids[s:e] for s, e in zip(bounds, bounds[1:])], *table.value)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), united], names=[key, "ids"])
 
     key_type = df.schema[key].dataType
-    packed = rows.mapInArrow(pack, T.StructType([T.StructField("_key", key_type), T.StructField("_row", T.LongType()),
-                                                 T.StructField("_packed", T.BinaryType())]))
-    joined = packed.join(by_row.hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").select("_key", "_packed", "_found")
+    coded = rows.mapInArrow(code, T.StructType([T.StructField("_key", key_type), T.StructField("_row", T.LongType()),
+                                                T.StructField("_code", T.BinaryType())]))
+    joined = coded.join(by_row.hint("shuffle_hash"), F.col("_row") == F.col("row"), "left").select("_key", "_code", "_found")
     return joined.mapInArrow(unite, T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 @lru_cache(maxsize=2)
-def piece_table(path: str) -> pa.Array:
-    """Pieces by id, as the vocabulary file bounds them; ids without a piece are null."""
+def piece_table(path: str) -> list[str | None]:
+    """Pieces by id, as the vocabulary file bounds them; ids without a piece have none."""
     vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
     pieces = [None] * (max(vocabulary.values()) + 1)
     for piece, number in vocabulary.items():
         pieces[number] = piece
-    return pa.array(pieces, pa.large_string())
+    return pieces
 
 
 def decode(df: DataFrame, key: str, ids: str, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -254,12 +297,11 @@ def decode(df: DataFrame, key: str, ids: str, path: str, keep: tuple[str, ...] =
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(path)
         for batch in batches:
-            lists = batch.column(ids)
             texts = []
-            for one in lists:
-                numbers = one.values.drop_null() if one.is_valid else pa.array([], pa.int32())
-                inside = numbers.filter(pc.and_(pc.greater_equal(numbers, 0), pc.less(numbers, len(pieces))))
-                texts.append(" ".join(pieces.take(inside).drop_null().to_pylist()))
+            for one in batch.column(ids):
+                numbers = one.values.drop_null().to_numpy() if one.is_valid else np.zeros(0, np.int64)
+                inside = numbers[(numbers >= 0) & (numbers < len(pieces))].tolist()
+                texts.append(" ".join(filter(None, map(pieces.__getitem__, inside))))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in (key, *keep)] + [pa.array(texts, pa.string())],
                                              names=[key, *keep, "decoded"])
 
