@@ -9,7 +9,7 @@ from ticketloom.functions.numbers import percent
 from ticketloom.operators import (analytics, classifier, extract, ingest, metrics, ordering, quality, review, scenario,
                                   tickets, triage)
 from ticketloom.plans import queries, tickets as data
-from ticketloom.sources import csv_tickets, records, store
+from ticketloom.sources import csv_tickets, records, store, ticket_table
 from ticketloom.streaming import tickets as streams
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -222,17 +222,35 @@ def test_lifecycle(spark, tmp_path):
                  "Anjali,981,Broadband dead since yesterday need urgent help,2026-08-21\n"
                  "Rajesh,982,Please reverse Rs 499 recharge deducted twice,2026-08-21\n"
                  "Meena,983,Medical emergency and the tower collapsed in sector 4,2026-08-21\n")
+    table = ticket_table.TicketTable(spark, str(tmp_path / "table"))
     batch = ingest.ingest_batch(csv_tickets.read_tickets_csv(spark, path), "b1", as_of())
-    now = ordering.number_rows(batch, ["ticket_id"], "id")
+    table.append_batch(batch, "b1")
+    table.append_batch(batch, "b1")
+    with pytest.raises(ticket_table.DuplicateTickets):
+        table.append_batch(batch, "b2")
+    now = table.state()
     kpi = analytics.summary(now).first()
     assert kpi.total_tickets == 3 == kpi.auto_routed_count + kpi.human_review_count
     first = tickets.review_queue(now).first()
     assert first.customer_name == "Meena" and first.final_priority == "Critical"
     decision = spark.createDataFrame(
         [(first.id, "resolve", "Technical", "Critical", "Technical", "crew sent", AS_OF)], review.DECISION_SCHEMA)
-    done = review.apply_decisions(now, decision)
+    table.decide(decision)
+    done = table.state()
     assert tickets.by_id(done, first.id).first().routing_status == "RESOLVED"
     assert analytics.summary(done).first().resolved_review_count == 1
+    again = csv_tickets.read_tickets_csv(spark, write(tmp_path / "more.csv", "review\nThe tower collapsed, medical emergency\n"))
+    table.append_batch(ingest.ingest_batch(again, "b3", as_of()), "b3")
+    assert sorted(r.id for r in table.state().collect()) == [1, 2, 3, 4]
+    table.pass_all(as_of())
+    passed = tickets.by_id(table.state(), 4).first()
+    assert passed.routing_status == "RESOLVED" and passed.reviewer_notes == fixed.PASS_ALL_NOTE
+    assert tickets.by_id(table.state(), first.id).first().reviewer_notes == "crew sent"
+    table.delete_pending(as_of())
+    assert table.state().count() == 4
+    assert table.state(since_month="2999-01").count() == 0
+    table.delete_all(as_of())
+    assert table.state().isEmpty() and table.tickets().count() == 4
 
 
 def test_preview_shows_the_first_rows_by_file(spark, tmp_path):

@@ -76,6 +76,14 @@ def pass_all(tickets: DataFrame, as_of: Column) -> DataFrame:
     return tickets.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in tickets.columns])
 
 
+def pass_all_decisions(tickets: DataFrame, as_of: Column) -> DataFrame:
+    """The decisions that resolve every pending ticket with the standard note; labels unchanged."""
+    return pending(tickets).select(
+        "id", F.lit("pass_all").alias("kind"), F.col("final_category").alias("decided_category"),
+        F.col("final_priority").alias("decided_priority"), F.col("final_department").alias("decided_department"),
+        F.lit(fixed.PASS_ALL_NOTE).alias("notes"), as_of.alias("decided_at"))
+
+
 def pending_count(tickets: DataFrame, name: str) -> DataFrame:
     return pending(tickets).agg(F.count(F.lit(1)).alias(name))
 

@@ -310,6 +310,16 @@ ORACLE["d10_delete_all"] = _with(_RAW, _clean()) + "SELECT count(*) AS deleted_c
 ORACLE["d11_response"] = _CURRENT + f"""SELECT ticket_id, customer_name, review, confidence, {_iso('created_at')} AS created_at,
   {_iso('updated_at')} AS updated_at, {_iso('reviewed_at')} AS reviewed_at FROM cur"""
 
+_AS_STATE = "sid AS id, ticket_id, final_category, final_priority, final_department"
+ORACLE["d12_ticket_table"] = _current("kind = 'resolve'") + f""",
+a AS (SELECT *, row_number() OVER (ORDER BY id) AS sid FROM cur WHERE id % 2 = 0),
+b AS (SELECT *, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY id) AS sid FROM triaged WHERE id % 2 = 1)
+SELECT {_AS_STATE}, CASE WHEN {_PENDING} THEN 'RESOLVED' ELSE routing_status END AS routing_status,
+  is_reviewed OR ({_PENDING}) AS is_reviewed, CASE WHEN {_PENDING} THEN {_q(fixed.PASS_ALL_NOTE)} ELSE reviewer_notes END AS reviewer_notes FROM a
+UNION ALL SELECT {_AS_STATE}, routing_status, false, NULL FROM b WHERE routing_status <> 'HUMAN_REVIEW'"""
+ORACLE["b6_stream_into_table"] = _TO_TRIAGED + f"""SELECT row_number() OVER (ORDER BY id) AS id, ticket_id,
+  {_q(fixed.UNKNOWN_CUSTOMER)} AS customer_name, confidence, final_priority, routing_status FROM triaged WHERE length(review) >= 3"""
+
 # --- E ---
 
 _KPI = f"""count(*) AS total_tickets, count(*) FILTER (routing_status = 'AUTO_ROUTED') AS auto_routed_count,

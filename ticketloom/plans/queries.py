@@ -13,7 +13,7 @@ from ..functions.numbers import round_half_up
 from ..operators import (analytics, classifier, evalsets, extract, ingest, metrics, neardup, ordering,
                          quality, review, scenario, splits, tickets, triage)
 from ..scratch import fresh_folder, stored
-from ..sources import csv_tickets, records, store
+from ..sources import csv_tickets, records, store, ticket_table
 from ..streaming import tickets as streams
 from . import tickets as data
 
@@ -433,6 +433,37 @@ def d10_delete_all(spark, d):
     return tickets.empty(current_tickets(spark, d))[1]
 
 
+@query
+def d12_ticket_table(spark, d):
+    """Two uploads with reviews in between: decide, pass all, upload again, delete what waits."""
+    table = ticket_table.TicketTable(spark, fresh_folder(spark, "ticket-table"))
+    uploads = ingest.as_stored(triage.triage(clean(spark, d, named=True)), data.as_of())
+    first, second = uploads.filter(_order_number() % 2 == 0), uploads.filter(_order_number() % 2 == 1)
+    table.append_batch(first, "first")
+    ids = table.state().select(F.col("id").alias("_id"), "ticket_id")
+    decided = data.decisions(spark, d).filter("kind = 'resolve'").withColumn(
+        "ticket_id", F.concat(F.lit("TCK-"), F.col("id").cast("string"))).join(ids, "ticket_id")
+    table.decide(decided.withColumn("id", F.col("_id")))
+    table.pass_all(data.as_of())
+    table.append_batch(second, "second")
+    table.append_batch(second, "second")
+    table.delete_pending(data.as_of())
+    return table.state().select("ticket_id", *STATE)
+
+
+def _order_number():
+    return F.substring_index("ticket_id", "-", -1).cast("bigint")
+
+
+@query
+def b6_stream_into_table(spark, d):
+    folder = fresh_folder(spark, "stream-table")
+    table = ticket_table.TicketTable(spark, f"{folder}/table")
+    requests = ingest.clean_reviews(_order_stream(spark, d))
+    ticket_table.stream_into(table, requests, "orders", f"{folder}/state", data.as_of()).awaitTermination()
+    return table.state().select("id", "ticket_id", "customer_name", "confidence", "final_priority", "routing_status")
+
+
 @query
 def d11_response(spark, d):
     return tickets.response(current_tickets(spark, d, named=True)).select(

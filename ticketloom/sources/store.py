@@ -33,10 +33,6 @@ def read_tickets(spark: SparkSession, path: str, since: datetime | None = None,
     return tickets.drop("created_month")
 
 
-def append_decisions(decisions: DataFrame, path: str) -> None:
-    decisions.write.mode("append").parquet(path)
-
-
 def upload_projection(tickets: DataFrame) -> DataFrame:
     """The four columns of a label-free upload file."""
     return tickets.select(F.col("customer_name").alias("name"), "contact_number", "review", "timestamp")
