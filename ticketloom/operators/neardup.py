@@ -67,16 +67,17 @@ def _first_of_equal_sets(rows: DataFrame) -> DataFrame:
 
 
 def _representatives(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The first row of each set, with the set itself. It is built once and stored, since every
-    later step reads it."""
+    """The first row of each set, with the set itself as 64-bit hashes, a fraction of its text. It is
+    built once and stored, since every later step reads it. Two different shingles of a pair of
+    rows share a hash once in some 10^13 pairs."""
     chosen = rows.join(firsts.select("id"), "id", "left_semi")
-    return stored(_with_set(chosen, "norm", "sh").drop("norm"), "reps")
+    hashed = _with_set(chosen, "norm", "_set").withColumn("sh", F.transform("_set", lambda s: F.xxhash64(s)))
+    return stored(hashed.drop("norm", "_set"), "reps")
 
 
 def _hashed(reps: DataFrame) -> DataFrame:
-    """One row per shingle. The hash only finds candidates; pairs are verified on the shingles."""
-    return reps.select("id", "bucket", "n", F.explode("sh").alias("s")).select(
-        "id", "bucket", "n", F.xxhash64("s").alias("h"))
+    """One row per shingle."""
+    return reps.select("id", "bucket", "n", F.explode("sh").alias("h"))
 
 
 def _hot_limit(total: int) -> int:
