@@ -30,15 +30,17 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FREQUENT = 200_000
-SAMPLE_TEXTS = 16_000
+FREQUENT = 600_000
+SAMPLE_TEXTS = 32_000
 LONGEST_FREQUENT = 64
 _WORDS_KEPT = 1_000_000
 _FORMS_KEPT = 200_000
+MARKS = (".", ",")
 _LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha())
 
 
@@ -118,43 +120,71 @@ def numbers_of(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
 
 
+class FrequentWords:
+    """Frequent words by rank, with their ids: a few arrays, small enough to send to every executor."""
+
+    def __init__(self, words: list[str], ids: list[bytes]):
+        self.words = pa.array(words, pa.string())
+        self.table = np.frombuffer(b"".join(ids), dtype="<i4")
+        self.starts = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        hashes = self._hashes(words)
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+        self.marks = {"": b"", **{mark: number_bytes(words.index(mark)) for mark in MARKS}}
+
+    @staticmethod
+    def _hashes(words: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+    def ranks(self, words: list[str]) -> list[int]:
+        """The rank of each word, -1 for others. Words that share a hash are told apart by the words."""
+        if not words:
+            return []
+        hashes = self._hashes(words)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        found = np.where(self.sorted[at] == hashes, self.order[at], 0)
+        names = self.words.take(pa.array(found)).to_pylist()
+        return [rank if name == word else -1 for rank, name, word in zip(found.tolist(), names, words)]
+
+
 class Coder:
-    """Texts as numbers of words: their rank in the frequent table, and behind those the place of a word
-    among the text's other words, in sorted order. Forms that were looked up are remembered."""
+    """Texts as numbers of words: their rank among the frequent ones, and behind those the place of a
+    word among the text's other words, in sorted order. Forms that were looked up are remembered."""
 
-    def __init__(self, ranks: dict[str, int]):
-        self.ranks, self.forms = ranks, {"": b""}
+    def __init__(self, frequent: FrequentWords):
+        self.frequent, self.forms = frequent, {"": b""}
 
-    def _new_forms(self, words: list[str]) -> list[tuple[str, str, str]]:
+    def _read(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[str, str]]]:
+        """The words of each text, and base and mark of the forms that are not frequent."""
         if len(self.forms) > _FORMS_KEPT:
             self.forms = {"": b""}
-        others = []
-        for word in set(words).difference(self.forms):
-            base, tail = parts(word)
-            rank = self.ranks.get(base)
-            if rank is None:
-                others.append((word, base, tail))
+        split = [words_of(text) for text in texts]
+        new = list(set(chain.from_iterable(split)).difference(self.forms))
+        cut = list(map(parts, new))
+        others = {}
+        for form, (base, tail), rank in zip(new, cut, self.frequent.ranks([base for base, _ in cut])):
+            if rank < 0:
+                others[form] = base, tail
             else:
-                self.forms[word] = number_bytes(rank) + self._mark(tail)
-        return others
-
-    def _mark(self, tail: str) -> bytes:
-        return number_bytes(self.ranks[tail]) if tail else b""
-
-    def others(self, text: str | None) -> list[str]:
-        """The words of a text that are not frequent, sorted."""
-        return sorted({base for _, base, _ in self._new_forms(words_of(text))})
-
-    def code(self, text: str | None) -> bytes:
-        words = words_of(text)
-        others = self._new_forms(words)
-        place = {base: i for i, base in enumerate(sorted({base for _, base, _ in others}))}
-        for word, base, tail in others:
-            self.forms[word] = number_bytes(len(self.ranks) + place[base]) + self._mark(tail)
-        data = b"".join(map(self.forms.__getitem__, words))
-        for word, *_ in others:
-            del self.forms[word]
-        return data
+                self.forms[form] = number_bytes(rank) + self.frequent.marks[tail]
+        return split, others
+
+    def others(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text that are not frequent, sorted."""
+        split, others = self._read(texts)
+        return [sorted({others[form][0] for form in others.keys() & set(words)}) for words in split]
+
+    def code(self, texts: list[str | None]) -> list[bytes]:
+        split, others = self._read(texts)
+        coded, beyond = [], len(self.frequent.words)
+        for words in split:
+            own = {form: others[form] for form in others.keys() & set(words)}
+            place = {base: i for i, base in enumerate(sorted({base for base, _ in own.values()}))}
+            self.forms.update((form, number_bytes(beyond + place[base]) + self.frequent.marks[tail]) for form, (base, tail) in own.items())
+            coded.append(b"".join(map(self.forms.__getitem__, words)))
+            for form in own:
+                del self.forms[form]
+        return coded
 
 
 def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -171,7 +201,7 @@ def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int,
         yield start, run
 
 
-def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, texts: int = SAMPLE_TEXTS) -> FrequentWords:
     """The most frequent words of a sample, of at most ``LONGEST_FREQUENT`` characters, with their ids:
     at most ``most`` words, from about ``texts`` texts chosen by a hash of their text."""
 
@@ -187,12 +217,18 @@ def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, te
                 yield pa.RecordBatch.from_arrays([pa.array(counted.keys(), pa.string()), pa.array(counted.values(), pa.int64())],
                                                  names=["word", "n"])
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array(encode_words(path, batch.column("word").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], names=["word", "n", "ids"])
+
     share = min(1.0, texts / max(df.count(), 1))
     drawn = df.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 32)) < int(share * (1 << 32))).select(F.col(text).alias("_text"))
-    top = (drawn.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(most).select("word"))
-    chosen = [r["word"] for r in top.collect()]
-    return dict(zip(chosen, encode_words(path, chosen)))
+    counts = drawn.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.mapInArrow(encoded, "word string, n long, ids binary").orderBy(F.desc("n"), "word").limit(most).toArrow()
+    words = {mark: encode_words(path, [mark])[0] for mark in MARKS}
+    words |= zip(found.column("word").to_pylist(), found.column("ids").to_pylist())
+    return FrequentWords(list(words), list(words.values()))
 
 
 def _look_up(codes: list[bytes], places: list[np.ndarray], other_ids: list[list[bytes]], table: np.ndarray,
@@ -217,20 +253,16 @@ def _look_up(codes: list[bytes], places: list[np.ndarray], other_ids: list[list[
 def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT) -> DataFrame:
     """key and ``ids`` (array of int), a row per row of ``df``."""
     spark: SparkSession = df.sparkSession
-    words = {mark: encode_words(path, [mark])[0] for mark in (".", ",")}
-    words |= frequent_words(df.select(F.col(text).alias("_text")), "_text", path, most)
-    ranks = spark.sparkContext.broadcast({word: rank for rank, word in enumerate(words)})
-    ids_table = np.frombuffer(b"".join(words.values()), dtype="<i4")
-    table = spark.sparkContext.broadcast((ids_table, np.cumsum([0, *(len(ids) // 4 for ids in words.values())])))
+    frequent = spark.sparkContext.broadcast(frequent_words(df.select(F.col(text).alias("_text")), "_text", path, most))
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
                      F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(ranks.value)
+        coder = Coder(frequent.value)
         for batch in batches:
             names = batch.column("_row").to_pylist()
             for start, texts in in_slices(batch.column("_text")):
-                found = [coder.others(value) for value in texts]
+                found = coder.others(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([names[start + i] for i, some in enumerate(found) for _ in some], pa.int64()),
                      pa.array([place for some in found for place in range(len(some))], pa.int32()),
@@ -258,10 +290,12 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
         F.collect_list(F.struct("place", "word_ids")).alias("_found"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(ranks.value)
+        coder = Coder(frequent.value)
         for batch in batches:
-            coded = pa.array([coder.code(t.as_py()) for t in batch.column("_text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_row"), coded], names=["_key", "_row", "_code"])
+            for start, texts in in_slices(batch.column("_text")):
+                part = batch.slice(start, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_row"), pa.array(coder.code(texts), pa.binary())],
+                                                 names=["_key", "_row", "_code"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
@@ -270,7 +304,7 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
             bounds = np.cumsum([0, *found.value_lengths().to_pylist()])
             places, ids = flat.field("place").to_numpy(), flat.field("word_ids").to_pylist()
             united = _look_up(batch.column("_code").to_pylist(), [places[s:e] for s, e in zip(bounds, bounds[1:])],
-                              [ids[s:e] for s, e in zip(bounds, bounds[1:])], *table.value)
+                              [ids[s:e] for s, e in zip(bounds, bounds[1:])], frequent.value.table, frequent.value.starts)
             yield pa.RecordBatch.from_arrays([batch.column("_key"), united], names=[key, "ids"])
 
     key_type = df.schema[key].dataType
@@ -296,7 +330,7 @@ def decode(df: DataFrame, key: str, ids: str, path: str, keep: tuple[str, ...] =
 
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_table(path)
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             texts = []
             for one in batch.column(ids):
                 numbers = one.values.drop_null().to_numpy() if one.is_valid else np.zeros(0, np.int64)
