@@ -33,6 +33,12 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def share_below(key: Column, wanted: int, rows: int) -> Column:
+    """Whether a hash of ``key`` puts a row among about ``wanted`` of ``rows``. It goes before a top-k, so
+    that tasks pass on few rows however many tasks there are."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 32)) < int(min(1.0, wanted / max(rows, 1)) * (1 << 32))
+
+
 def rows_of(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) -> DataFrame:
     """A small table from values of the program, without a Python RDD."""
     if not rows:

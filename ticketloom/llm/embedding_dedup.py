@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import stored
+from .common import share_below
 from .graph import components
 
 THRESHOLD = 0.98
@@ -62,7 +63,8 @@ def _to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pivots(reps: DataFrame, largest: int) -> dict[int, np.ndarray]:
     """Pivots by vector length: vectors of the sample that are not near one another."""
     count = int(np.clip(-(-largest // ROWS_PER_PIVOT), 1, MOST_PIVOTS))
-    sample = reps.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("data").collect()
+    drawn = reps.filter(share_below(F.col("h1"), 2 * SAMPLE, reps.count()))
+    sample = drawn.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("data").collect()
     by_width: dict[int, list] = {}
     for row in sample:
         by_width.setdefault(len(row["data"]) // 8, []).append(bytes(row["data"]))

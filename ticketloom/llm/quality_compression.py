@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, share_below
 
 SAMPLE = 4000
 SAMPLE_PIECES = 16
@@ -83,7 +83,8 @@ def measure(parts: list[bytes], good, bad) -> np.ndarray | None:
 def labelled_sample(df: DataFrame, key: str, text: str, labels: DataFrame, label: str, rows: int = SAMPLE) -> DataFrame:
     """At most ``rows`` labelled texts outside the held-out fold. Labels, which are small rows, are
     drawn first, so the texts are scanned against a table of bounded size."""
-    drawn = (labels.filter(~held_out(key) & F.col(key).isNotNull() & F.col(label).isNotNull())
+    usable = labels.filter(~held_out(key) & F.col(key).isNotNull() & F.col(label).isNotNull())
+    drawn = (usable.filter(share_below(F.col(key), 2 * rows, usable.count()))
              .groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_label"))
              .orderBy(F.xxhash64("_key"), "_key").limit(rows))
     texts = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
