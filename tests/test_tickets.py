@@ -281,3 +281,9 @@ def test_small_latencies_and_probabilities_are_not_cut(spark):
     tokens = spark.createDataFrame([(1, 0.123456789012), (1, 0.9)], "id long, p double")
     extract.confidence_by_output(outputs, tokens, "id", "p", "valid").collect()
     assert metrics.latency_profile(spark.createDataFrame([], "v double"), "v").first().samples in (0, None)
+
+
+def test_repeated_headers(spark, tmp_path):
+    path = write(tmp_path / "twice.csv", "Review,review,name,name\nfirst text,second text,Asha,Ravi\n")
+    row = csv_tickets.read_tickets_csv(spark, path).first()
+    assert (row.review, row.customer_name, row.row_number) == ("second text", "Asha", 1)

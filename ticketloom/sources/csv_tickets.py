@@ -25,9 +25,18 @@ class UploadError(ValueError):
 def _read(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Header CSV, all columns as text. ``multi_line`` keeps quoted line breaks, but then a file
     is read by one task; turn it off for large files without such fields."""
-    return spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"',
-                          inferSchema=False, enforceSchema=False,
-                          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    options = dict(multiLine=multi_line, quote='"', escape='"', inferSchema=False,
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    header = spark.read.csv(path, header=False, **options).first()
+    names = [name or "" for name in header or ()]
+    if len({name.lower() for name in names}) == len(names):
+        return spark.read.csv(path, header=True, enforceSchema=False, **options)
+    # Spark renames repeated headers and would then not find them in the file. The first of equal
+    # headers keeps its name, and the last of those that differ by case.
+    first = {name: i for i, name in reversed(list(enumerate(names)))}
+    last = {name.lower(): i for name, i in sorted(first.items(), key=lambda item: item[1])}
+    kept = [name if last[name.lower()] == i else f"_c{i}" for i, name in enumerate(names)]
+    return spark.read.csv(path, header=True, enforceSchema=True, **options).toDF(*kept)
 
 
 def pick_columns(df: DataFrame) -> DataFrame:
