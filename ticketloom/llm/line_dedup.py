@@ -65,14 +65,15 @@ def dropped_lines(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS
     """(doc, row, pos) of every line that goes; ``row`` is ``row_hash`` of the row it stands in."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = _lines(df, key, text, min_chars)
-    often = (lines.groupBy("h").agg(F.count(F.lit(1)).alias("_rows"))
-             .filter(F.col("_rows") >= min_documents).select("h"))
+    # Stored, so that the join has two plain sides: Spark broadcasts a small one and splits hot keys.
+    often = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("_rows"))
+                   .filter(F.col("_rows") >= min_documents).select("h"), "line-hashes")
     candidates = lines.join(often, "h", "left_semi")
     order = ["h", "h2", "doc", "row", "pos"]
     runs = stored(candidates.repartitionByRange(partitions, *order).sortWithinPartitions(*order), "line-runs")
     per_document = runs.select("h", "h2", "doc").distinct()
-    keeper = per_document.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("doc").alias("_keeper")).filter(
-        F.col("_docs") >= min_documents).select("h", "h2", "_keeper")
+    keeper = stored(per_document.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("doc").alias("_keeper")).filter(
+        F.col("_docs") >= min_documents).select("h", "h2", "_keeper"), "line-keepers")
     return runs.join(keeper, ["h", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("_keeper"))).select("doc", "row", "pos")
 
 
