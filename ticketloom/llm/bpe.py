@@ -39,7 +39,7 @@ FREQUENT = 600_000
 SAMPLE_TEXTS = 32_000
 LONGEST_FREQUENT = 64
 _WORDS_KEPT = 1_000_000
-_FORMS_KEPT = 200_000
+_FORMS_KEPT = 400_000
 MARKS = (".", ",")
 _LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha())
 
@@ -102,6 +102,12 @@ def parts(word: str) -> tuple[str, str]:
 
 def number_bytes(number: int) -> bytes:
     """A whole number in bytes of seven bits, low ones first; all but the last have the eighth bit."""
+    if number < 1 << 7:
+        return bytes((number,))
+    if number < 1 << 14:
+        return bytes((number & 127 | 128, number >> 7))
+    if number < 1 << 21:
+        return bytes((number & 127 | 128, number >> 7 & 127 | 128, number >> 14))
     data = bytearray()
     while number > 127:
         data.append(number & 127 | 128)
