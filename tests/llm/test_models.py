@@ -108,6 +108,27 @@ def test_secrets_of_other_kinds_and_lookalikes(spark):
     assert secret_scan.scan(df.limit(0), "doc_id", "text", secret_scan.trained()).collect() == []
 
 
+def test_short_passwords_and_their_lookalikes(spark):
+    secret = {"password = hunter2": "hunter2", "pwd: Tr0ub4dor3x": "Tr0ub4dor3x", "db at postgres://user:pa55word@host/db": "pa55word",
+              "password: correcthorsebatterystaple": "correcthorsebatterystaple", "passphrase = \"correct horse battery staple\"": "correct horse battery staple",
+              "PASSWORD='S!x@9#k$2%m&*q'": "S!x@9#k$2%m&*q", "password=aB3!dkf93KsLq02mXzPq7Rt!9": "aB3!dkf93KsLq02mXzPq7Rt!9",
+              "{\"password\": \"Wint3r!24\"}": "Wint3r!24", "Server=x;Password=Gr8t#Day;User=sa": "Gr8t#Day", "https://me:p@ss!w0rd@host.org/x": "p@ss!w0rd"}
+    plain = ["password: required", "Password = \"Please enter your new password\"", "password=${DB_PASSWORD}", "password: ********", "the secretary: Johnson",
+             "password = os.environ[\"PW\"]", "mailto:first.last@example.org", "api_key=YOUR_API_KEY", "author: Tolkien", "pwd: abc", "no password here, hunter2"]
+    rows = [(i, t) for i, t in enumerate([*secret, *plain])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = dict((r.doc_id, r.text) for r in secret_scan.mask(df, "text", secret_scan.trained()).collect())
+    assert [masked[i] for i in range(len(rows))] == [t.replace(v, "[SECRET]") for t, v in secret.items()] + plain
+    found = {r.doc_id: [t[s:e] for s, e in zip(r.starts, r.ends)] for (_, t), r in
+             zip(rows, sorted(secret_scan.scan(df, "doc_id", "text", secret_scan.trained()).collect(), key=lambda r: r.doc_id))}
+    assert found == {**{i: [v] for i, v in enumerate(secret.values())}, **{i: [] for i in range(len(secret), len(rows))}}
+
+
+def test_candidates_of_hostile_texts():
+    for text in ("password=" * 40_000, "password='" * 40_000, "=" * 300_000, "a:b@" * 60_000, ":" * 200_000 + "@h", "token=\"" + "\\\"" * 100_000, "pwd: "):
+        assert all(0 <= s < e <= len(text) for s, e in secret_scan.candidates(text))
+
+
 def test_forest_learns_given_findings():
     findings = [("commit ", f"{i:040x}"[::-1], "", 0) for i in range(60)] + [("token=", f"{i * 7919:040x}"[::-1], "", 1) for i in range(60)]
     forest = secret_scan.train(findings)
