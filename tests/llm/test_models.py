@@ -47,6 +47,32 @@ def test_languages_without_labels(spark):
     assert language_id.predict(documents.limit(0), "doc_id", "text", none).collect() == []
 
 
+FOREIGN = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+           "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+           "qzxv wkjq xxzq vvkp zqjx pqwz kxjv qqzz xkcd vbnm zxcv qwrt plkj"]
+
+
+@pytest.mark.parametrize("langs", [("de", "en", "es", "fr"), ("de", "en"), ("en",)])
+def test_text_of_unlearned_languages_is_rejected(spark, langs):
+    documents = table(spark, SF_DIR, "documents")
+    model = language_id.train(documents.filter(F.col("lang").isin(*langs)), "doc_id", "text", "lang")
+    planted = spark.createDataFrame([(10 ** 7 + i, t) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    assert [r.accepted for r in language_id.predict(planted, "doc_id", "text", model).collect()] == [False] * len(FOREIGN)
+    assert language_id.keep_accepted(planted, "text", model).isEmpty()
+    found = language_id.predict(documents.filter(held_out("doc_id")), "doc_id", "text", model).join(documents, "doc_id")
+    learned = F.col("lang").isin(*langs)
+    rates = found.groupBy(learned.alias("learned")).agg(F.avg(F.col("accepted").cast("int")).alias("kept")).collect()
+    assert all(r.kept > 0.98 if r.learned else r.kept < 0.1 for r in rates)
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TEXTS", 210)
+    rows = [(i, f"l{i % 210}", f"text number {i}") for i in range(210 * 30)]
+    found = language_id.training_rows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "doc_id", "text", "lang", 400)
+    counts = {r["_lang"]: r["count"] for r in found.groupBy("_lang").count().collect()}
+    assert len(counts) == 210 and 1 <= min(counts.values()) and max(counts.values()) <= language_id.FEWEST
+
+
 def test_training_rows_keep_out_the_held_out_fold(spark):
     rows = language_id.training_rows(table(spark, SF_DIR, "documents"), "doc_id", "text", "lang", 20, 3)
     counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}

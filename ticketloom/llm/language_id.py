@@ -3,10 +3,16 @@
 A text is lower-cased, other characters than letters become spaces, and each run of 2 to 4 characters
 that has no space inside is hashed into a bucket. The mean of the buckets' embeddings goes through a
 softmax layer. Embeddings and layer are trained by stochastic gradient descent in numpy on the driver,
-on at most ``PER_LANGUAGE`` texts of each of at most ``MAX_LANGUAGES`` languages; executors turn those
-texts into bucket counts, so that only arrays of bounded size reach the driver. A temperature fitted
-on texts kept apart makes the softmax a probability, and a text is rejected where the best language is
-less than ``ACCEPT`` likely.
+on at most ``PER_LANGUAGE`` texts of every language, and fewer if all languages together had more than
+``TEXTS``; executors turn those texts into bucket counts, so that only arrays of bounded size reach the
+driver. A temperature fitted on texts kept apart makes the softmax a probability.
+
+A text is rejected on either of two scores. Its confidence is how far the best language's probability is
+from even odds, 1/K for K languages, towards 1. Its familiarity is the mean log frequency of its subwords
+in the best language's texts, relative to that language's own: text of an unlearned language, or letter
+junk, is unfamiliar wherever the softmax puts it, also with one or two languages. The limits come from the
+texts kept apart, whole and cut short, by number of subwords: what ``REACH`` of the right predictions
+reach, with room below since the texts are few. ``accept`` is the least confidence besides.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; a text is
 read whole, in pieces of bounded length; a null key is a row like any other; ties go to the first
@@ -31,11 +37,17 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 LONGEST = 4
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+TEXTS = 80_000
+FEWEST = 12
 EPOCHS = 6
 RATE = 0.2
 SEED = 7
-ACCEPT = 0.3
+ACCEPT = 0.0
+REACH = 0.999
+ROOM = 0.4
+SMOOTHING = 0.1
+BEGINNINGS = (12, 30, 80, 250)
+SIZES = 24
 UNKNOWN = "und"
 PIECE = 1 << 18
 _HASH_SPACE = 1 << 32
@@ -92,15 +104,41 @@ class Model:
     bias: np.ndarray
     temperature: float
     accept: float
+    known: np.ndarray | None = None  # bucket x language: log frequency, less the language's mean
+    least_confident: np.ndarray | None = None  # by log2 of the number of subwords
+    least_familiar: np.ndarray | None = None
 
-    def probabilities(self, text: str | None) -> np.ndarray | None:
-        total, count = np.zeros(len(self.languages)), 0
-        for buckets in subword_buckets(text):
-            total += self.table[buckets].sum(axis=0, dtype=np.float64)
-            count += len(buckets)
-        if not count or not self.languages:
+    def judge(self, text: str | None) -> tuple[int, float, bool] | None:
+        """The best language, its probability, and whether the text is accepted."""
+        if not self.languages or not text:
+            return None
+        if len(text) <= PIECE:
+            used = next(subword_buckets(text), np.zeros(0, dtype=np.uint32))
+            count, times = len(used), None
+        else:
+            counts = np.zeros(BUCKETS, dtype=np.int64)
+            for piece in subword_buckets(text):
+                counts += np.bincount(piece, minlength=BUCKETS)
+            used = np.flatnonzero(counts)
+            count, times = int(counts.sum()), counts[used].astype(np.float64)
+        if not count:
             return None
-        return _softmax((total / count + self.bias) / self.temperature)
+        gather = lambda rows: rows.sum(axis=0, dtype=np.float64) if times is None else times @ rows
+        likely = _softmax((gather(self.table[used]) / count + self.bias) / self.temperature)
+        best = int(likely.argmax())
+        familiar = float(gather(self.known[used, best])) / count
+        size, sure = _size(count), _confidence(float(likely[best]), len(likely))
+        return best, float(likely[best]), bool(sure >= max(self.accept, self.least_confident[size])
+                                               and familiar >= self.least_familiar[size])
+
+
+def _size(count: int) -> int:
+    return min(SIZES - 1, max(int(count), 1).bit_length())
+
+
+def _confidence(likely: float, languages: int) -> float:
+    """0 at even odds and 1 at certainty; with a single language there are no odds."""
+    return (likely - 1 / languages) / (1 - 1 / languages) if languages > 1 else 1.0
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -110,28 +148,38 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        buckets, weights = [], []
-        for text in batch.column("_text").to_pylist():
-            counts = np.zeros(BUCKETS, dtype=np.int64)
-            for piece in subword_buckets(text):
-                counts += np.bincount(piece, minlength=BUCKETS)
-            used = np.flatnonzero(counts)
-            buckets.append(used.astype(np.int32))
-            weights.append((counts[used] / max(1, counts.sum())).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_lang"),
+        at, cuts, sizes, buckets, weights = [], [], [], [], []
+        for row, text in enumerate(batch.column("_text").to_pylist()):
+            for cut in (0, *(c for c in BEGINNINGS if c < len(text))):
+                counts = np.zeros(BUCKETS, dtype=np.int64)
+                for piece in subword_buckets(text[:cut] if cut else text):
+                    counts += np.bincount(piece, minlength=BUCKETS)
+                used = np.flatnonzero(counts)
+                at.append(row)
+                cuts.append(cut)
+                sizes.append(int(counts.sum()))
+                buckets.append(used.astype(np.int32))
+                weights.append((counts[used] / max(1, counts.sum())).astype(np.float32))
+        yield pa.RecordBatch.from_arrays([batch.column("_order").take(pa.array(at, pa.int64())), batch.column("_lang").take(pa.array(at, pa.int64())),
+                                          pa.array(cuts, pa.int32()), pa.array(sizes, pa.int64()),
                                           pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
-                                         names=["_order", "_lang", "buckets", "weights"])
+                                         names=["_order", "_lang", "cut", "size", "buckets", "weights"])
 
 
-def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: int, max_languages: int) -> DataFrame:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of the key.
+def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: int,
+                  max_languages: int | None = None) -> DataFrame:
+    """At most ``per_language`` labelled texts of each language, chosen by a hash of the key; fewer if
+    there were more than ``TEXTS`` in all, but ``FEWEST`` of every language. ``max_languages`` takes
+    only the commonest.
 
     Counts by language come first, so that the scan for texts passes on little more than it needs.
     """
     order = F.pmod(F.xxhash64(F.col(key)), F.lit(_HASH_SPACE))
     labelled = df.filter(~held_out(key) & F.col(lang).isNotNull())
     counts = (labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-              .orderBy(F.desc("_n"), "_lang").limit(max_languages).collect())
+              .orderBy(F.desc("_n"), "_lang"))
+    counts = (counts if max_languages is None else counts.limit(max_languages)).collect()
+    per_language = min(per_language, max(FEWEST, TEXTS // max(1, len(counts))))
     shares = F.create_map(*[F.lit(v) for row in counts for v in (row["_lang"], min(1.0, 3.0 * per_language / row["_n"]))]) \
         if counts else F.create_map().cast("map<string,double>")
     drawn = labelled.filter(order < F.coalesce(F.try_element_at(shares, F.col(lang)), F.lit(0.0)) * _HASH_SPACE)
@@ -142,25 +190,66 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: i
 
 
 def train(df: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE,
-          max_languages: int = MAX_LANGUAGES, accept: float = ACCEPT) -> Model:
+          max_languages: int | None = None, accept: float = ACCEPT) -> Model:
     rows = training_rows(df, key, text, lang, per_language, max_languages)
-    fields = "_order bigint, _lang string, buckets array<int>, weights array<float>"
-    sample = sorted(rows.mapInArrow(_features, fields).collect(), key=lambda r: (r["_order"], r["_lang"], r["buckets"]))
+    fields = "_order bigint, _lang string, cut int, size bigint, buckets array<int>, weights array<float>"
+    sample = sorted(rows.mapInArrow(_features, fields).collect(), key=lambda r: (r["_order"], r["_lang"], r["cut"], r["buckets"]))
     sample = [r for r in sample if r["buckets"]]
     languages = sorted({r["_lang"] for r in sample})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, accept)
-    data = [(np.array(r["buckets"]), np.array(r["weights"], dtype=np.float64), languages.index(r["_lang"])) for r in sample]
-    # Every sixth text sets the temperature, unless there are too few.
-    apart = [d for i, d in enumerate(data) if i % 6 == 5]
-    fit = [d for i, d in enumerate(data) if i % 6 != 5]
-    embeddings, layer, bias = _descend(fit, len(languages))
+    place = {lang: i for i, lang in enumerate(languages)}
+    data, cut_short, number = [], [], -1
+    for r in sample:
+        number += r["cut"] == 0
+        one = (np.array(r["buckets"]), np.array(r["weights"], dtype=np.float64), place[r["_lang"]], r["size"])
+        (cut_short if r["cut"] else data).append((number, one))
+    # Every sixth text sets the temperature and the limits, unless there are too few.
+    apart = [d for i, d in data if i % 6 == 5]
+    fit = [d for i, d in data if i % 6 != 5]
+    embeddings, layer, bias = _descend([d[:3] for d in fit], len(languages))
     table = embeddings @ layer
-    logits = np.array([w @ table[b] + bias for b, w, _ in apart or fit])
-    truth = np.array([y for _, _, y in apart or fit])
+    known = _log_frequencies(fit, len(languages))
+    logits = np.array([w @ table[b] + bias for b, w, *_ in apart or fit])
+    truth = np.array([d[2] for d in apart or fit])
     grid = np.geomspace(0.05, 20, 80)
     losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-9)).mean() for t in grid]
-    return Model(languages, table.astype(np.float32), bias, float(grid[int(np.argmin(losses))]), accept)
+    model = Model(languages, table.astype(np.float32), bias, float(grid[int(np.argmin(losses))]), accept, known)
+    model.least_confident, model.least_familiar = _limits(model, apart + [d for i, d in cut_short if i % 6 == 5 or not apart] or fit)
+    return model
+
+
+def _log_frequencies(fit: list, n_languages: int) -> np.ndarray:
+    counts = np.zeros((BUCKETS, n_languages))
+    for buckets, weights, label, size in fit:
+        counts[buckets, label] += weights * size
+    shares = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0)
+    logs = np.log(shares)
+    return (logs - (shares * logs).sum(axis=0)).astype(np.float32)
+
+
+def _limits(model: Model, apart: list) -> tuple[np.ndarray, np.ndarray]:
+    """The least confidence and familiarity that pass, by size.
+
+    What ``REACH`` of the right predictions of a size reach, less ``ROOM`` of the way to even odds and to the
+    familiarity of random subwords. No size asks for more than a larger one does; a size without texts asks
+    for what the next smaller one does, and below all of them everything passes.
+    """
+    noise = model.known.mean(axis=0).max()
+    limits = np.full((2, SIZES), np.nan)
+    found: dict[int, list[tuple[float, float]]] = {}
+    for buckets, weights, label, size in apart:
+        likely = _softmax((weights @ model.table[buckets] + model.bias) / model.temperature)
+        if int(likely.argmax()) == label:
+            found.setdefault(_size(size), []).append((_confidence(float(likely[label]), len(likely)), float(weights @ model.known[buckets, label])))
+    for size, scores in found.items():
+        low = np.quantile(np.array(scores), 1 - REACH, axis=0)
+        limits[:, size] = low - ROOM * np.maximum(0, low - (0.0, noise))
+    last = np.array([0.0, -np.inf])
+    for size in range(SIZES):
+        last = np.where(np.isnan(limits[:, size]), last, np.fmin.reduce(limits[:, size:], axis=1))
+        limits[:, size] = last
+    return limits[0], limits[1]
 
 
 def _descend(data: list, n_languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,13 +281,10 @@ def predict(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for value in batch.column("_text"):
-                likely = known.probabilities(value.as_py())
-                best = None if likely is None else int(likely.argmax())
-                langs.append(UNKNOWN if best is None else known.languages[best])
-                scores.append(0.0 if best is None else float(likely[best]))
-            accepted = [lang != UNKNOWN and score >= known.accept for lang, score in zip(langs, scores)]
+            found = [known.judge(value.as_py()) for value in batch.column("_text")]
+            langs = [UNKNOWN if f is None else known.languages[f[0]] for f in found]
+            scores = [0.0 if f is None else f[1] for f in found]
+            accepted = [f is not None and f[2] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())],
                 names=[key, "lang_pred", "score", "accepted"])
@@ -215,7 +301,7 @@ def keep_accepted(df: DataFrame, text: str, model: Model) -> DataFrame:
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            likely = [known.probabilities(value.as_py()) for value in batch.column(text)]
-            yield batch.filter(pa.array([p is not None and float(p.max()) >= known.accept for p in likely], pa.bool_()))
+            found = [known.judge(value.as_py()) for value in batch.column(text)]
+            yield batch.filter(pa.array([f is not None and f[2] for f in found], pa.bool_()))
 
     return df.mapInArrow(accepted, df.schema)
