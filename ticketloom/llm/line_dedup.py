@@ -5,8 +5,9 @@
 2. The lines with a candidate hash are dealt by range over (both hashes, document, position), sorted,
    and stored. A hot line spreads over many ranges, since the document
    is part of the range key.
-3. Sorted like this, each line key is one run, so counting its documents and finding the last one are
-   running sums with one row per range and key to shuffle.
+3. The documents of a line key are counted, and the last one found, by hash aggregates over the stored
+   rows: distinct (both hashes, document), with partial sums, then a count and a maximum per key. The
+   shuffle has at most a row per key and document; the sorted order itself is not read.
 4. Every occurrence outside the document that keeps the key is dropped. Dropped positions travel as
    64-bit words of a bitmap, only for the words that have a dropped line. No text is shuffled before
    the caller asks for it.
