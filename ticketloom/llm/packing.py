@@ -1,14 +1,15 @@
 """Best-fit packing (operator 2): tokenized documents into sequences of at most ``CAPACITY`` tokens.
 
 Documents are tokenized where they are read; only a small row per piece moves on. Pieces are dealt to
-bins by bounded-space online best fit: a task keeps a fixed number of open sequences, filed by free
+bins by best fit with bounded space: a task keeps at most a fixed number of open sequences, filed by free
 space, with one bit per amount of free space in a bitset. A piece takes the lowest set bit at or above
 its length, which is the fullest sequence it fits. Where none fits, a new sequence opens, and if all
 places are taken the fullest one closes first.
 
 A packing task needs enough pieces to fill sequences well, and no more: tasks are made for about
 ``TOKENS_PER_TASK`` tokens each, so their number follows the input. Inside a task pieces come by
-falling length, so the long ones open sequences and the short ones fill them.
+falling length, so the long ones open sequences and the short ones fill them: this is best-fit decreasing
+per task in place of the online form, and at this task size the bound on open sequences is not reached.
 
 Defined cases: a null text is empty and is its closing id alone; only documents longer than the
 capacity are cut; rows that repeat a document are packed each on their own; a null key is a row like
