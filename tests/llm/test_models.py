@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,19 @@ def test_quality_of_held_out_texts(spark):
     assert len(odd) == len(ODD_ROWS) and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_quality_curve_is_fitted_on_whole_texts(spark, monkeypatch):
+    documents, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
+    seen = []
+    monkeypatch.setattr(quality_compression, "_logistic", lambda x, y: seen.append((x, y)) or np.zeros(x.shape[1]))
+    # Most texts are longer than the one piece that the dictionaries take of each.
+    monkeypatch.setattr(quality_compression, "SAMPLE_PIECES", 1)
+    model = quality_compression.train(documents, "doc_id", "text", labels, "quality")
+    sample = quality_compression.labelled_sample(documents, "doc_id", "text", labels, "quality").collect()
+    texts = [r for r in sorted(sample, key=lambda r: r["_key"]) if r["_text"]][::3]
+    want = [quality_compression.measure(quality_compression.pieces(r["_text"]), *model.compressors()) for r in texts]
+    assert np.allclose(seen[0][0], np.array(want)) and seen[0][1].tolist() == [r["_label"] for r in texts]
+
+
 def test_quality_without_both_labels(spark):
     documents = odd_documents(spark)
     nothing = spark.createDataFrame([], "doc_id long, quality int")

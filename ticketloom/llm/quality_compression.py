@@ -6,8 +6,9 @@ text. The normalised difference ``(bad - good) / (bad + good)`` and the normalis
 ``good / bytes`` (text that repeats itself is short with any dictionary) go through a logistic curve
 that is fitted on labelled texts kept apart, which makes the score a probability of label 1.
 
-Labels are learned from at most ``SAMPLE`` labelled rows, chosen by a hash of their key, each cut to
-``SAMPLE_PIECES`` pieces spread over its text; scoring reads every text whole.
+Labels are learned from at most ``SAMPLE`` labelled rows, chosen by a hash of their key. For the
+dictionaries each is cut to ``SAMPLE_PIECES`` pieces spread over its text. The texts kept apart for the curve
+are measured whole by the executors, as scoring does; only the measures come back.
 
 Defined cases: a null text counts as empty; an empty text scores what the labelled empty texts, or
 else the share of good labels, say; without labels of both kinds every text scores that share (0.5
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import stored
 from .common import held_out, share_below
 
 SAMPLE = 4000
@@ -103,26 +105,44 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, key: str, text: str, labels: DataFrame, label: str, rows: int = SAMPLE) -> Model:
-    sample = labelled_sample(df, key, text, labels, label, rows)
+    sample = stored(labelled_sample(df, key, text, labels, label, rows), "labelled")
     schema = T.StructType([sample.schema["_key"], T.StructField("_label", T.IntegerType()),
                            T.StructField("parts", T.ArrayType(T.BinaryType()))])
     found = sorted(sample.select("_key", "_label", "_text").mapInArrow(_spread, schema).collect(), key=lambda r: r["_key"])
-    texts = [([bytes(p) for p in r["parts"]], r["_label"]) for r in found]
-    share = (sum(y for _, y in texts) + 0.5) / (len(texts) + 1)
-    empty = [y for parts, y in texts if not parts]
+    texts = [([bytes(p) for p in r["parts"]], r["_label"], r["_key"]) for r in found]
+    share = (sum(y for _, y, _ in texts) + 0.5) / (len(texts) + 1)
+    empty = [y for parts, y, _ in texts if not parts]
     empty_score = (sum(empty) + share) / (len(empty) + 1)
-    texts = [(parts, y) for parts, y in texts if parts]
+    texts = [x for x in texts if x[0]]
     # Every third text fits the curve, the others the dictionaries.
     fit, apart = [x for i, x in enumerate(texts) if i % 3], texts[::3]
-    good, bad = ([p for parts, y in fit if y == wanted for p in parts] for wanted in (1, 0))
-    if not good or not bad or len({y for _, y in apart}) < 2:
+    good, bad = ([p for parts, y, _ in fit if y == wanted for p in parts] for wanted in (1, 0))
+    if not good or not bad or len({y for _, y, _ in apart}) < 2:
         return Model(b"", b"", np.array([np.log(share / (1 - share)), 0.0, 0.0]), empty_score)
     model = Model(_dictionary(good).as_bytes(), _dictionary(bad).as_bytes(), np.zeros(0), empty_score)
-    tools = model.compressors()
-    model.weights = _logistic(np.array([measure(parts, *tools) for parts, _ in apart]), np.array([y for _, y in apart], dtype=float))
+    measured = _whole_measures(sample, model, {k for *_, k in apart})
+    model.weights = _logistic(np.array([x for x, _ in measured]), np.array([y for _, y in measured], dtype=float))
     return model
 
 
+def _whole_measures(sample: DataFrame, model: Model, keys: set) -> list[tuple[list[float], int]]:
+    """The measures of the whole texts of these keys, with their labels, in order of the key."""
+    shared = sample.sparkSession.sparkContext.broadcast((model, keys))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = shared.value
+        tools = known.compressors()
+        for batch in batches:
+            batch = batch.filter(pa.array([k in wanted for k in batch.column("_key").to_pylist()], pa.bool_()))
+            found = [measure(pieces(t.as_py()), *tools).tolist() for t in batch.column("_text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_label"), pa.array(found, pa.list_(pa.float64()))],
+                                             names=["_key", "_label", "measures"])
+
+    schema = T.StructType([sample.schema["_key"], T.StructField("_label", T.IntegerType()), T.StructField("measures", T.ArrayType(T.DoubleType()))])
+    rows = sample.select("_key", "_label", "_text").mapInArrow(whole, schema).collect()
+    return [(r["measures"], r["_label"]) for r in sorted(rows, key=lambda r: r["_key"])]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton steps for a logistic curve with a little ridge, so that separable labels have a limit."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
