@@ -65,7 +65,7 @@ def test_pipeline_by_brute_force(spark):
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert "pipeline" not in entry_points.oracle_sql()
 
 

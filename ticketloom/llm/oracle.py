@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, url_rules
+from . import filter_audit, line_dedup, quality_rules, url_rules
 
 SPACES = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,6 +84,47 @@ def line_dedup_sql(documents: str) -> str:
     """
 
 
+def filter_audit_sql(documents: str, labels: str) -> str:
+    """Every order of the filters is applied to the documents, counted by part and set of failed filters."""
+    symbols = "[" + filter_audit.SYMBOLS.decode().replace("$", r"\$").replace("|", r"\|") + "]"
+    letters = list(filter_audit.FILTERS)
+    others = " ".join(f"CROSS JOIN (SELECT unnest({letters}) AS l{i}) AS t{i}" for i in range(1, 5))
+    differ = " AND ".join(f"l{i} <> l{k}" for i in range(5) for k in range(i))
+    joined = " || ".join(f"l{i}" for i in range(5))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM {documents}),
+    measured AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+                        min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+    flags AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+              FROM {labels} WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    failing AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                       CASE WHEN len(words) < {filter_audit.LEAST_WORDS} THEN 'A' ELSE '' END
+                       || CASE WHEN 100 * len(list_distinct(words)) < {filter_audit.DISTINCT_PERCENT} * len(words) THEN 'B' ELSE '' END
+                       || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {filter_audit.CAPITAL_PERCENT} * length(text) THEN 'C' ELSE '' END
+                       || CASE WHEN regexp_matches(text, '{symbols}') THEN 'D' ELSE '' END
+                       || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS failed
+                FROM measured LEFT JOIN flags USING (doc_id)),
+    counted AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+                FROM failing GROUP BY part, failed),
+    orders AS (SELECT {joined} AS filter_order FROM (SELECT unnest({letters}) AS l0) AS t0 {others} WHERE {differ}),
+    steps AS (SELECT filter_order, step, filter_order[step] AS letter, filter_order[1:step - 1] AS before
+              FROM orders CROSS JOIN (SELECT unnest(range(1, 6))::INTEGER AS step) AS s),
+    judged AS (SELECT part, filter_order, step, letter, n, good, toxic, failed,
+                      contains(failed, letter) AS fails, regexp_matches(failed, '[' || before || 'x]') AS gone
+               FROM counted CROSS JOIN steps),
+    added AS (SELECT part, filter_order, step, letter,
+                     sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed,
+                     sum(n) FILTER (gone AND fails) AS redundant, sum(n) FILTER (failed = letter) AS unique_fails,
+                     sum(good) FILTER (NOT gone AND fails) AS good_lost, sum(toxic) FILTER (NOT gone AND fails) AS toxic_lost
+              FROM judged GROUP BY ALL)
+    SELECT part, filter_order, step,
+           {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+           sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+    FROM added
+    """
+
+
 ORACLE["op4_url_filters"] = _url_sql()
 ORACLE["op8_quality_rules"] = _quality_sql()
 ORACLE["op10_line_dedup"] = f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({line_dedup_sql('documents')})"
+ORACLE["op13_filter_interaction_audit"] = filter_audit_sql("documents", "labels")

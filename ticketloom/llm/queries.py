@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, line_dedup, minhash_forest, packing, quality_compression, quality_rules
-from . import secret_scan, url_rules
+from . import bpe, embedding_dedup, filter_audit, language_id, line_dedup, minhash_forest, packing, quality_compression
+from . import quality_rules, secret_scan, token_counts, url_rules, whitening
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,10 +19,10 @@ def query(function):
     return function
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file of the contracts, where the public tokenizers are installed."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the contracts, where the public tokenizers are installed."""
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -89,3 +89,20 @@ def op10_line_dedup(spark, sf_dir):
     kept = line_dedup.deduplicate(documents, "doc_id", "text")
     return kept.select("doc_id", "n_lines", "n_dropped",
                        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op11_token_counts(spark, sf_dir):
+    path = tokenizer_path("byte_bpe_50k.json")
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query
+def op13_filter_interaction_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
