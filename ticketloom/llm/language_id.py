@@ -4,14 +4,14 @@ A text is lower-cased, other characters than letters become spaces, and each run
 that has no space inside is hashed into a bucket. The mean of the buckets' embeddings goes through a
 softmax layer. Embeddings and layer are trained by stochastic gradient descent in numpy on the driver,
 on at most ``PER_LANGUAGE`` texts of every language, and fewer if all languages together had more than
-``TEXTS``; executors turn those texts into bucket counts, so that only arrays of bounded size reach the
-driver. A temperature fitted on texts kept apart makes the softmax a probability.
+``TEXTS``; executors turn those texts into bucket counts, which reach the driver and stay there as bytes, some
+2 KB a text. A temperature fitted on texts kept apart makes the softmax a probability.
 
 A text is rejected on either of two scores. Its confidence is how far the best language's probability is
 from even odds, 1/K for K languages, towards 1. Its familiarity is the mean log frequency of its subwords
 in the best language's texts, relative to that language's own: text of an unlearned language, or letter
 junk, is unfamiliar wherever the softmax puts it, also with one or two languages. The limits come from the
-texts kept apart, whole and cut short, by number of subwords: what ``REACH`` of the right predictions
+texts kept apart, whole and cut short, which executors judge by the trained model, by number of subwords: what ``REACH`` of the right predictions
 reach, with room below since the texts are few. ``accept`` is the least confidence besides.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; a text is
@@ -27,10 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import stored
 from .common import held_out
 
 BUCKETS = 1 << 15
@@ -39,6 +41,8 @@ LONGEST = 4
 PER_LANGUAGE = 400
 TEXTS = 80_000
 FEWEST = 12
+APART = 6
+FEW_LANGUAGES = 10_000
 EPOCHS = 6
 RATE = 0.2
 SEED = 7
@@ -146,24 +150,38 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return powers / powers.sum(axis=-1, keepdims=True)
 
 
+def _counts_of(text: str) -> np.ndarray:
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for piece in subword_buckets(text):
+        counts += np.bincount(piece, minlength=BUCKETS)
+    return counts
+
+
 def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of each text and their counts, as bytes: the driver keeps them so."""
     for batch in rows:
-        at, cuts, sizes, buckets, weights = [], [], [], [], []
-        for row, text in enumerate(batch.column("_text").to_pylist()):
-            for cut in (0, *(c for c in BEGINNINGS if c < len(text))):
-                counts = np.zeros(BUCKETS, dtype=np.int64)
-                for piece in subword_buckets(text[:cut] if cut else text):
-                    counts += np.bincount(piece, minlength=BUCKETS)
-                used = np.flatnonzero(counts)
-                at.append(row)
-                cuts.append(cut)
-                sizes.append(int(counts.sum()))
-                buckets.append(used.astype(np.int32))
-                weights.append((counts[used] / max(1, counts.sum())).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("_order").take(pa.array(at, pa.int64())), batch.column("_lang").take(pa.array(at, pa.int64())),
-                                          pa.array(cuts, pa.int32()), pa.array(sizes, pa.int64()),
-                                          pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
-                                         names=["_order", "_lang", "cut", "size", "buckets", "weights"])
+        buckets, counted = [], []
+        for text in batch.column("_text").to_pylist():
+            counts = _counts_of(text)
+            used = np.flatnonzero(counts)
+            buckets.append(used.astype("<u2").tobytes())
+            counted.append(counts[used].astype("<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("_lang"), batch.column("_apart"),
+                                          pa.array(buckets, pa.binary()), pa.array(counted, pa.binary())],
+                                         names=["_order", "_lang", "_apart", "buckets", "counts"])
+
+
+@dataclass
+class _Text:
+    """A training text on the driver: its packed buckets and counts, and the place of its language."""
+    buckets: bytes
+    counts: bytes
+    label: int
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and their shares of the text."""
+        counts = np.frombuffer(self.counts, dtype="<u4")
+        return np.frombuffer(self.buckets, dtype="<u2").astype(np.int64), (counts / counts.sum()).astype(np.float32).astype(np.float64)
 
 
 def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: int,
@@ -175,60 +193,84 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: i
     Counts by language come first, so that the scan for texts passes on little more than it needs.
     """
     order = F.pmod(F.xxhash64(F.col(key)), F.lit(_HASH_SPACE))
-    labelled = df.filter(~held_out(key) & F.col(lang).isNotNull())
-    counts = (labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-              .orderBy(F.desc("_n"), "_lang"))
-    counts = (counts if max_languages is None else counts.limit(max_languages)).collect()
-    per_language = min(per_language, max(FEWEST, TEXTS // max(1, len(counts))))
-    shares = F.create_map(*[F.lit(v) for row in counts for v in (row["_lang"], min(1.0, 3.0 * per_language / row["_n"]))]) \
-        if counts else F.create_map().cast("map<string,double>")
-    drawn = labelled.filter(order < F.coalesce(F.try_element_at(shares, F.col(lang)), F.lit(0.0)) * _HASH_SPACE)
-    rows = drawn.select(order.alias("_order"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    labelled = df.filter(~held_out(key) & F.col(lang).isNotNull()).select(
+        order.alias("_order"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    if max_languages is not None:
+        counts = counts.orderBy(F.desc("_n"), "_lang").limit(max_languages)
+    counts = stored(counts, "languages")
+    languages = counts.count()
+    per_language = min(per_language, max(FEWEST, TEXTS // max(1, languages)))
+    shares = counts.select("_lang", F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("_n")).alias("_share"))
+    drawn = labelled.join(F.broadcast(shares) if languages <= FEW_LANGUAGES else shares, "_lang").filter(
+        F.col("_order") < F.col("_share") * _HASH_SPACE)
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", F.xxhash64("_text")))
-    return rows.filter(F.col("_text").isNotNull()).withColumn("_place", place).filter(
-        F.col("_place") <= per_language).select("_order", "_lang", "_text")
+    return drawn.filter(F.col("_text").isNotNull()).withColumn("_place", place).filter(
+        F.col("_place") <= per_language).select("_order", "_lang", "_text", (F.col("_place") % APART == 0).alias("_apart"))
 
 
 def train(df: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE,
           max_languages: int | None = None, accept: float = ACCEPT) -> Model:
-    rows = training_rows(df, key, text, lang, per_language, max_languages)
-    fields = "_order bigint, _lang string, cut int, size bigint, buckets array<int>, weights array<float>"
-    sample = sorted(rows.mapInArrow(_features, fields).collect(), key=lambda r: (r["_order"], r["_lang"], r["cut"], r["buckets"]))
-    sample = [r for r in sample if r["buckets"]]
-    languages = sorted({r["_lang"] for r in sample})
+    rows = stored(training_rows(df, key, text, lang, per_language, max_languages), "training-texts")
+    found = rows.mapInArrow(_features, "_order bigint, _lang string, _apart boolean, buckets binary, counts binary").toArrow()
+    found = found.filter(pc.greater(pc.binary_length(found["buckets"]), 0)).sort_by([(c, "ascending") for c in ("_order", "_lang", "buckets", "counts")])
+    languages = sorted(set(found["_lang"].to_pylist()))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, accept)
-    place = {lang: i for i, lang in enumerate(languages)}
-    data, cut_short, number = [], [], -1
-    for r in sample:
-        number += r["cut"] == 0
-        one = (np.array(r["buckets"]), np.array(r["weights"], dtype=np.float64), place[r["_lang"]], r["size"])
-        (cut_short if r["cut"] else data).append((number, one))
-    # Every sixth text sets the temperature and the limits, unless there are too few.
-    apart = [d for i, d in data if i % 6 == 5]
-    fit = [d for i, d in data if i % 6 != 5]
-    embeddings, layer, bias = _descend([d[:3] for d in fit], len(languages))
+    place = {one: i for i, one in enumerate(languages)}
+    data = [_Text(*one) for one in zip(found["buckets"].to_pylist(), found["counts"].to_pylist(), map(place.get, found["_lang"].to_pylist()))]
+    # One text in APART of a language sets the temperature and the limits, unless there are too few.
+    kept_apart = found["_apart"].to_pylist()
+    apart = [one for one, is_apart in zip(data, kept_apart) if is_apart]
+    fit = [one for one, is_apart in zip(data, kept_apart) if not is_apart] or data
+    embeddings, layer, bias = _descend(fit, len(languages))
     table = embeddings @ layer
-    known = _log_frequencies(fit, len(languages))
-    logits = np.array([w @ table[b] + bias for b, w, *_ in apart or fit])
-    truth = np.array([d[2] for d in apart or fit])
+    logits = np.array([weights @ table[buckets] + bias for buckets, weights in map(_Text.read, apart or fit)])
+    truth = np.array([one.label for one in apart or fit])
     grid = np.geomspace(0.05, 20, 80)
     losses = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-9)).mean() for t in grid]
-    model = Model(languages, table.astype(np.float32), bias, float(grid[int(np.argmin(losses))]), accept, known)
-    model.least_confident, model.least_familiar = _limits(model, apart + [d for i, d in cut_short if i % 6 == 5 or not apart] or fit)
+    model = Model(languages, table.astype(np.float32), bias, float(grid[int(np.argmin(losses))]), accept, _log_frequencies(fit, len(languages)))
+    model.least_confident, model.least_familiar = _limits(model, _scores(rows.filter("_apart") if apart else rows, model))
     return model
 
 
+def _scores(rows: DataFrame, model: Model) -> pa.Table:
+    """(size, confidence, familiarity) of the texts that the model gets right, whole and cut short; it is applied where
+    the texts are, and three numbers of each come back."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            scores = []
+            for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()):
+                for cut in (len(text), *(c for c in BEGINNINGS if c < len(text))):
+                    counts = _counts_of(text[:cut])
+                    used, size = np.flatnonzero(counts), int(counts.sum())
+                    if not size:
+                        continue
+                    weights = counts[used] / size
+                    likely = _softmax((weights @ known.table[used] + known.bias) / known.temperature)
+                    best = int(likely.argmax())
+                    if known.languages[best] == lang:
+                        scores.append((_size(size), _confidence(float(likely[best]), len(likely)), float(weights @ known.known[used, best])))
+            columns = zip(*scores) if scores else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.float64()))],
+                                             names=["size", "confidence", "familiarity"])
+
+    return rows.select("_text", "_lang").mapInArrow(judge, "size int, confidence double, familiarity double").toArrow()
+
+
 def _log_frequencies(fit: list, n_languages: int) -> np.ndarray:
     counts = np.zeros((BUCKETS, n_languages))
-    for buckets, weights, label, size in fit:
-        counts[buckets, label] += weights * size
+    for one in fit:
+        counts[np.frombuffer(one.buckets, dtype="<u2"), one.label] += np.frombuffer(one.counts, dtype="<u4")
     shares = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0)
     logs = np.log(shares)
     return (logs - (shares * logs).sum(axis=0)).astype(np.float32)
 
 
-def _limits(model: Model, apart: list) -> tuple[np.ndarray, np.ndarray]:
+def _limits(model: Model, scored: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The least confidence and familiarity that pass, by size.
 
     What ``REACH`` of the right predictions of a size reach, less ``ROOM`` of the way to even odds and to the
@@ -237,13 +279,10 @@ def _limits(model: Model, apart: list) -> tuple[np.ndarray, np.ndarray]:
     """
     noise = model.known.mean(axis=0).max()
     limits = np.full((2, SIZES), np.nan)
-    found: dict[int, list[tuple[float, float]]] = {}
-    for buckets, weights, label, size in apart:
-        likely = _softmax((weights @ model.table[buckets] + model.bias) / model.temperature)
-        if int(likely.argmax()) == label:
-            found.setdefault(_size(size), []).append((_confidence(float(likely[label]), len(likely)), float(weights @ model.known[buckets, label])))
-    for size, scores in found.items():
-        low = np.quantile(np.array(scores), 1 - REACH, axis=0)
+    sizes = scored["size"].to_numpy()
+    scores = np.column_stack([scored["confidence"].to_numpy(), scored["familiarity"].to_numpy()])
+    for size in np.unique(sizes):
+        low = np.quantile(scores[sizes == size], 1 - REACH, axis=0)
         limits[:, size] = low - ROOM * np.maximum(0, low - (0.0, noise))
     last = np.array([0.0, -np.inf])
     for size in range(SIZES):
@@ -260,7 +299,7 @@ def _descend(data: list, n_languages: int) -> tuple[np.ndarray, np.ndarray, np.n
     steps, done = EPOCHS * len(data), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)):
-            buckets, weights, label = data[i]
+            (buckets, weights), label = data[i].read(), data[i].label
             rate = RATE * (1 - done / steps)
             mean = weights @ embeddings[buckets]
             error = _softmax(mean @ layer + bias)
