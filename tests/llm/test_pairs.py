@@ -126,10 +126,16 @@ def test_texts_by_brute_force(spark, monkeypatch, seed, width, cut):
 
 
 def test_repeated_and_null_ids(spark):
-    rows = [(1, "one two three"), (1, "one two three"), (None, "one two three"), (2, "one two three"), (None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(df, "doc_id", "text", 2).collect()))
-    assert found == [(0, 0, None, True), (0, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+    """Every text of an id links; rows without an id link by their text, and one of a group without ids is kept."""
+    many = [f"w{i}" for i in range(101)]
+    rows = [(7, " ".join(many)), (7, "eleven other words " * 3), (9, " ".join(many[:100])), (12, "eleven other words " * 3 + "ELEVEN"),
+            (1, "one two three"), (1, "one two three"), (None, "one two three"), (2, "One two three"),
+            (None, None), (None, "no id here"), (None, "No id here"), (20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(df, "doc_id", "text", 2).collect()),
+                   key=lambda r: (r[0], r[1], r[3]))
+    assert found == [(0, 0, None, True), (0, 2, 1, False), (0, 2, None, False), (0, 2, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False),
+                     (7, 3, 7, True), (7, 100, 7, True), (9, 99, 7, False), (12, 3, 7, False), (20, 0, 20, True)]
     assert minhash_forest.near_duplicates(df.limit(0), "doc_id", "text").collect() == []
 
 

@@ -17,10 +17,14 @@
 Words: A-Z lower-cased, split at ASCII white space. A text with fewer words than a shingle has is one
 shingle. Words and shingles are compared by 64-bit hashes, sets by a 128-bit digest.
 
-Defined cases: null and empty texts, and those without words, have an empty set and link with nothing;
-texts of any length are read whole; rows that share an id are one document, whose links are those of
-the smallest of its texts; a null id keeps its row, with a null component; an empty table gives an empty result. Only the two named columns are
-read; ids are whole numbers.
+The nodes of all this are distinct sets, named by the number of the first row that has one, not by ids.
+Components go back to ids at the end.
+
+Defined cases: null and empty texts, and those without words, have an empty set, link with nothing and stay in a component
+of their own id; texts of any length are read whole; rows that share an id are one document, with the links of all its
+texts; a row with a null id links by its text like any other, its component is the smallest id of its group (null if the
+group has none), and it is kept only as the first row of a group without ids; an empty table gives an empty result. Only
+the two named columns are read; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,15 +106,18 @@ def _tree_keys(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """id, n (set size), d1 and d2 (digest), ``keys`` and ``orders`` by tree; the last four are
-    null for an empty set."""
+    """row (a number of its own), id, n (set size), packed (the text), d1 and d2 (digest), ``keys`` and ``orders`` by
+    tree; all but the first three are null for an empty set. Rows get other numbers if this runs again: store it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, row = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 33
         for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-            sizes, digests, signed = [], [], []
+            sizes, digests, signed, packed = [], [], [], []
             for value in batch.column("_text"):
-                shingles = shingle_set(value.as_py(), width)
+                data = (value.as_py() or "").encode("utf-8", "surrogatepass")
+                shingles = shingle_set(data, width)
                 sizes.append(len(shingles))
+                packed.append(packer.compress(data) if len(shingles) else None)
                 if len(shingles):
                     digests.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist())
                     signed.append(signature(shingles))
@@ -120,11 +128,12 @@ def signatures(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             per_set = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
                        pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(orders), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), *(column.take(place) for column in per_set)],
-                names=["id", "n", "d1", "d2", "keys", "orders"])
+                [pa.array(np.arange(row, row + len(sizes))), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()),
+                 *(column.take(place) for column in per_set)], names=["row", "id", "n", "packed", "d1", "d2", "keys", "orders"])
+            row += len(sizes)
 
     return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text")).mapInArrow(
-        scan, "id long, n long, d1 long, d2 long, keys array<long>, orders array<int>")
+        scan, "row long, id long, n long, packed binary, d1 long, d2 long, keys array<long>, orders array<int>")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +187,6 @@ def candidates(forest: DataFrame) -> DataFrame:
     return stored(dealt.select("region", "id").mapInArrow(_neighbours, "kind int, x long, y long"), "neighbours")
 
 
-def _packed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            data = [packer.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("_text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], names=["id", "packed"])
-
-    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("_text")).mapInArrow(pack, "id long, packed binary")
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -301,10 +300,9 @@ def _then_none(batches: Iterator) -> Iterator:
 def near_duplicates(df: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, ``n_shingles``, ``component_id`` and ``kept``, a row per row of ``df``."""
     scanned = stored(signatures(df, key, text, width), "signatures")
-    usable = scanned.filter(F.col("id").isNotNull() & F.col("keys").isNotNull())
-    firsts = usable.groupBy("d1", "d2").agg(F.min("id").alias("first"))
-    members = usable.join(firsts, ["d1", "d2"])
-    forest = members.filter(F.col("id") == F.col("first")).select("id", "n", "keys", "orders")
+    usable = scanned.filter("n > 0")
+    firsts = stored(usable.groupBy("d1", "d2").agg(F.min("row").alias("first")), "firsts")
+    forest = usable.join(firsts, F.col("row") == F.col("first"), "left_semi").select(F.col("row").alias("id"), "n", "keys", "orders")
     found = candidates(forest)
 
     heads = found.filter("kind = 2").groupBy("x").agg(F.min("y").alias("_head"))
@@ -312,14 +310,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = WIDTH, perc
     pairs = (found.filter("kind = 0").select("x", "y").unionByName(across).filter("x <> y")
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")))
-    n = forest.groupBy("id").agg(F.min("n").alias("n"))
+    n = forest.select("id", "n")
     pairs = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").filter(_sizes_allow(percent)).select("a", "b", "hits")
     pairs = stored(pairs, "pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(
         found.filter("kind = 2").select(F.col("y").alias("id"))).distinct()
-    sets = stored(_packed_texts(df, key, text).join(needed, "id", "left_semi").groupBy("id").agg(
-        F.min("packed").alias("packed")), "texts")
+    sets = stored(usable.select(F.col("row").alias("id"), "packed").join(needed, "id", "left_semi"), "texts")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("hits", -F.col("a"))).alias("_m")).select((-F.col("_m.col2")).alias("a"), "b")
     links = stored(_confirm(best, sets, width, percent), "links")
@@ -328,12 +325,23 @@ def near_duplicates(df: DataFrame, key: str, text: str, width: int = WIDTH, perc
     links = links.unionByName(stored(_confirm(rest, sets, width, percent), "links"))
     graph = stored(components(links), "components")
     last = stored(_settle(found.filter("kind = 2"), graph, sets, width, percent), "links")
-    if not last.isEmpty():
-        graph = stored(components(links.unionByName(last)), "components")
-
-    component = members.select("id", "d1", "d2", "first").join(graph, F.col("first") == F.col("node"), "left").groupBy("id").agg(
-        F.min(F.coalesce("component", "first")).alias("_component"))
-    result = scanned.select(F.col("id").alias("_own"), "n").join(component, F.col("_own") == F.col("id"), "left")
+    members = stored(usable.select("row", "id", "d1", "d2").join(firsts, ["d1", "d2"]).select("row", "id", "first"), "members")
+    one_id = _same_id(members)
+    if not last.isEmpty() or not one_id.isEmpty():
+        graph = stored(components(links.unionByName(last).unionByName(one_id)), "components")
+
+    placed = members.join(graph, F.col("first") == F.col("node"), "left").select("row", "id", F.coalesce("component", "first").alias("_group"))
+    groups = placed.groupBy("_group").agg(F.min("id").alias("_smallest"), F.min("row").alias("_head"))
+    known = placed.select(F.col("row").alias("_row"), "_group").join(groups, "_group")
+    result = scanned.select("row", F.col("id").alias("_own"), "n").join(known, F.col("row") == F.col("_row"), "left")
+    component = F.when(F.col("_row").isNull(), F.col("_own")).otherwise(F.col("_smallest"))
+    kept = F.when(F.col("_own").isNotNull(), F.col("_own") == component).otherwise(
+        F.col("_row").isNull() | (F.col("_smallest").isNull() & (F.col("row") == F.col("_head"))))
     return result.select(F.col("_own").cast(df.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"),
-                         F.coalesce("_component", "_own").cast(df.schema[key].dataType).alias("component_id"),
-                         F.col("_own").eqNullSafe(F.coalesce("_component", "_own")).alias("kept"))
+                         component.cast(df.schema[key].dataType).alias("component_id"), kept.alias("kept"))
+
+
+def _same_id(members: DataFrame) -> DataFrame:
+    """Links between the sets of rows that share an id; stored, and mostly empty."""
+    lowest = members.filter("id IS NOT NULL").groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("_b")).filter("a < _b")
+    return stored(members.join(lowest, "id").filter("a < first").select("a", F.col("first").alias("b")).distinct(), "links")
