@@ -1,7 +1,8 @@
 """A corpus pipeline: language ID, line dedup, near-dedup, secret masking, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; what it decides
-takes effect. All but the last return the columns of ``documents``.
+takes effect. All but the last return the columns of ``documents``: doc_id, text, lang and n_chars are read, others pass
+through. Rows that share an id, or have none, are documents of their own, but for line dedup, where a line counts once for an id.
 """
 
 from __future__ import annotations
@@ -35,9 +36,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, by shingles of five words."""
-    found = minhash_forest.near_duplicates(docs, "doc_id", "text")
-    return docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, by shingles of five words: that of the smallest id. Every row is a
+    document of its own here, also where rows share an id or have none."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = minhash_forest.near_duplicates(rows, "_row", "text").select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row"))
+    chosen = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("_first"))
+    return rows.join(chosen.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
