@@ -78,7 +78,7 @@ def test_validation(spark, change, reason):
 
 def test_single_triage(spark):
     row = ingest.triage_single(spark, {"review": " Tower collapsed, ambulance cannot reach us "}, "abcdef0", AS_OF).first()
-    assert row.ticket_id == "TCK-20260102-ABCDEF" and row.customer_name == "Anonymous Customer"
+    assert row.ticket_id == "TCK-20260102-ABCDEF0" and row.customer_name == "Anonymous Customer"
     assert row.routing_status == "HUMAN_REVIEW" and row.escalated
     for text in ("", "  ", "   ", "ab"):
         with pytest.raises(ingest.EmptyReview):

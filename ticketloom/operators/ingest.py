@@ -104,7 +104,8 @@ def accepted_requests(requests: DataFrame) -> DataFrame:
 
 def triage_requests(requests: DataFrame, as_of: Column,
                     threshold: float = fixed.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Single-ticket requests to stored tickets. Here a blank name, contact or time is missing."""
+    """Single-ticket requests to stored tickets. Here a blank name, contact or time is missing. A request without an
+    id gets one from its whole ``request_key``, which must be unique."""
     def filled(column: str, default: Column) -> Column:
         return F.coalesce(F.nullif(F.col(column), F.lit("")), default)
 
@@ -112,7 +113,7 @@ def triage_requests(requests: DataFrame, as_of: Column,
     rows = accepted_requests(requests).withColumns({
         "review": strip(F.col("review")),
         "ticket_id": filled("ticket_id", F.concat(
-            F.lit("TCK-"), day, F.lit("-"), F.upper(F.substring("request_key", 1, 6)))),
+            F.lit("TCK-"), day, F.lit("-"), F.upper("request_key"))),
         "customer_name": filled("customer_name", F.lit(fixed.UNKNOWN_CUSTOMER)),
         "contact_number": filled("contact_number", F.lit(fixed.UNKNOWN_CONTACT)),
         "timestamp": filled("timestamp", iso_text(as_of)),

@@ -216,7 +216,7 @@ ORACLE["b4_sample_results"] = _with(
 ORACLE["b5_single_requests"] = _with(
     _GAPPY, "clean AS (SELECT * REPLACE (trim(review) AS review) FROM gappy WHERE length(review) >= 3 AND trim(review) <> '')",
     _LABELLED, _TERMS, _safety(fixed.CONFIDENCE_THRESHOLD)
-) + """SELECT 'TCK-20010801-' || upper(substr(md5(id::VARCHAR), 1, 6)) AS ticket_id,
+) + """SELECT 'TCK-20010801-' || upper(md5(id::VARCHAR)) AS ticket_id,
   coalesce(nullif(customer_name, ''), 'Anonymous Customer') AS customer_name,
   coalesce(nullif(contact_number, ''), '+91-XXXXXXXXXX') AS contact_number,
   coalesce(nullif(timestamp, ''), '2001-08-01T00:00:00') AS timestamp, confidence, routing_status FROM triaged"""
@@ -319,6 +319,13 @@ SELECT {_AS_STATE}, CASE WHEN {_PENDING} THEN 'RESOLVED' ELSE routing_status END
 UNION ALL SELECT {_AS_STATE}, routing_status, false, NULL FROM b WHERE routing_status <> 'HUMAN_REVIEW'"""
 ORACLE["b6_stream_into_table"] = _TO_TRIAGED + f"""SELECT row_number() OVER (ORDER BY id) AS id, ticket_id,
   {_q(fixed.UNKNOWN_CUSTOMER)} AS customer_name, confidence, final_priority, routing_status FROM triaged WHERE length(review) >= 3"""
+ORACLE["b6_stream_without_ids"] = _TO_TRIAGED + """SELECT review, routing_status, count(*) AS tickets, count(*) AS ids
+FROM triaged WHERE length(review) >= 3 GROUP BY review, routing_status"""
+ORACLE["b6_stream_refused"] = _TO_TRIAGED + """, named AS (SELECT triaged.*, 'C-' || o_custkey AS customer FROM triaged JOIN orders ON id = o_orderkey
+  WHERE length(review) >= 3)
+SELECT customer AS ticket_id, 1::BIGINT AS tickets, count(*) - 1 AS refused FROM named GROUP BY customer"""
+ORACLE["a7_unique_append"] = _TO_TRIAGED + """SELECT ticket_id, routing_status, CASE WHEN id % 4 IN (1, 2) THEN 1 ELSE 0 END::BIGINT AS refused
+FROM triaged"""
 
 # --- E ---
 

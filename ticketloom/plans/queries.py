@@ -464,6 +464,48 @@ def b6_stream_into_table(spark, d):
     return table.state().select("id", "ticket_id", "customer_name", "confidence", "final_priority", "routing_status")
 
 
+def _request_files(spark, folder, requests):
+    """Requests in six files, streamed two at a time."""
+    requests.repartition(6).write.parquet(folder)
+    return streams.read_ticket_files(spark, folder, requests.schema, "*.parquet", files_per_batch=2)
+
+
+@query
+def b6_stream_without_ids(spark, d):
+    """Requests without an id, most of them equal to others, in several micro-batches that come twice."""
+    folder = fresh_folder(spark, "requests")
+    requests = _request_files(spark, f"{folder}/in", clean(spark, d).select("review"))
+    table = ticket_table.TicketTable(spark, f"{folder}/table")
+    for state in ("state", "state-again"):
+        ticket_table.stream_into(table, requests, "web", f"{folder}/{state}", data.as_of()).awaitTermination()
+    return table.state().groupBy("review", "routing_status").agg(
+        F.count(F.lit(1)).alias("tickets"), F.count_distinct("ticket_id").alias("ids"))
+
+
+@query
+def b6_stream_refused(spark, d):
+    """Requests that name their own id, many of which are taken: one ticket an id, the others refused."""
+    folder = fresh_folder(spark, "requests")
+    customers = data.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("own_id"))
+    named = clean(spark, d).select("id", "review").join(customers, "id").select(F.col("own_id").alias("ticket_id"), "review")
+    table = ticket_table.TicketTable(spark, f"{folder}/table")
+    ticket_table.stream_into(table, _request_files(spark, f"{folder}/in", named), "shop", f"{folder}/state", data.as_of()).awaitTermination()
+    rows = table.tickets().select("ticket_id", F.lit(1).alias("stored")).unionByName(table.refused().select("ticket_id", F.lit(0).alias("stored")))
+    return rows.groupBy("ticket_id").agg(F.sum("stored").cast("bigint").alias("tickets"), F.sum(1 - F.col("stored")).cast("bigint").alias("refused"))
+
+
+@query
+def a7_unique_append(spark, d):
+    """Three batches that overlap; what repeats a stored id is set aside."""
+    table = ticket_table.TicketTable(spark, fresh_folder(spark, "unique-append"))
+    uploads = stored(ingest.as_stored(triage.triage(clean(spark, d, named=True)), data.as_of()), "uploads")
+    for number in range(3):
+        table.append_batch(uploads.filter((_order_number() % 4).isin(number, number + 1)), f"b{number}", set_aside=True)
+    refused = table.refused().groupBy("ticket_id").agg(F.count(F.lit(1)).alias("refused"))
+    return table.state().select("ticket_id", "routing_status").join(refused, "ticket_id", "left").select(
+        "ticket_id", "routing_status", F.coalesce("refused", F.lit(0)).cast("bigint").alias("refused"))
+
+
 @query
 def d11_response(spark, d):
     return tickets.response(current_tickets(spark, d, named=True)).select(

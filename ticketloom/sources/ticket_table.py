@@ -3,8 +3,10 @@
 Folder layout under the table's root:
 
 * ``tickets/batch=<id>/created_month=<month>/``: a folder per batch, by month inside.
-* ``batches/``: a row per complete batch with its first id and size. Readers see listed batches only,
-  so a batch that broke off is invisible and is simply written again.
+* ``filters/batch=<id>/``: the batch's ticket ids as a Bloom filter (``id_filter``).
+* ``batches/``: a row per complete batch with its first id, size, and least and greatest ticket id. Readers see
+  listed batches only, so a batch that broke off is invisible and is simply written again.
+* ``refused/batch=<id>/``: rows of a batch that repeated a ticket id, where the batch was to set them aside.
 * ``decisions/`` and ``deletions/``: append-only logs. Repeating an append changes nothing.
 
 One writer at a time is assumed; readers may come at any time.
@@ -21,6 +23,7 @@ from ..functions import fixed
 from ..operators import ingest, review
 from ..operators.ordering import number_rows
 from ..scratch import stored
+from . import id_filter
 
 _TEXTS = ("ticket_id customer_name contact_number review timestamp predicted_category predicted_priority "
           "predicted_department").split()
@@ -31,7 +34,7 @@ SCHEMA = ("id bigint, " + ", ".join(f"{c} string" for c in _TEXTS)
           + ", is_reviewed boolean, reviewer_notes string, model_version string, created_at timestamp_ntz, "
             "updated_at timestamp_ntz, reviewed_at timestamp_ntz")
 _PLACE = "batch string, created_month string"
-_BATCHES = "batch string, first_id bigint, tickets bigint"
+_BATCHES = "batch string, first_id bigint, tickets bigint, least_id string, greatest_id string"
 _DELETIONS = "id bigint, deleted_at timestamp_ntz"
 
 
@@ -54,9 +57,11 @@ class TicketTable:
     def batches(self) -> DataFrame:
         return self._log("batches", _BATCHES)
 
-    def tickets(self, since_month: str | None = None, until_month: str | None = None) -> DataFrame:
-        """Tickets as they were uploaded, deleted ones included; other months are not read."""
+    def tickets(self, since_month: str | None = None, until_month: str | None = None, batches: list[str] | None = None) -> DataFrame:
+        """Tickets as they were uploaded, deleted ones included; other months and batches are not read."""
         rows = self._log("tickets", f"{SCHEMA}, {_PLACE}")
+        if batches is not None:
+            rows = rows.filter(F.col("batch").isin(batches))
         if since_month is not None:
             rows = rows.filter(F.col("created_month") >= since_month)
         if until_month is not None:
@@ -68,26 +73,67 @@ class TicketTable:
         live = review.without_deleted(self.tickets(since_month, until_month), self._log("deletions", _DELETIONS))
         return review.apply_decisions(live, self._log("decisions", review.DECISION_SCHEMA))
 
-    def append_batch(self, tickets: DataFrame, batch: str) -> None:
+    def refused(self) -> DataFrame:
+        """Rows of complete batches that were set aside because their ticket id was taken."""
+        rows = self._log("refused", f"{SCHEMA}, batch string")
+        return rows.join(self.batches().select("batch").distinct(), "batch", "left_semi").drop("id")
+
+    def append_batch(self, tickets: DataFrame, batch: str, set_aside: bool = False) -> None:
         """Store a batch in the layout of ``ingest.STORED`` under new ids. A batch that is already
-        there is left as it is, so a retry has no effect."""
+        there is left as it is, so a retry has no effect.
+
+        Rows whose ticket id is stored already, or came earlier in the batch, make the batch fail; with
+        ``set_aside`` they go to the refused rows and the others are stored.
+        """
         if not self.batches().filter(F.col("batch") == batch).isEmpty():
             return
         # Numbered in order of upload: batch ids end in a row number without leading zeros beyond four.
         rows = number_rows(tickets.select(*ingest.STORED), [F.length("ticket_id"), F.col("ticket_id")], "_number")
         rows = stored(rows, "batch")
-        own = rows.groupBy("ticket_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ticket_id")
-        known = rows.join(self.tickets().select("ticket_id"), "ticket_id", "left_semi").select("ticket_id")
-        repeated = [r.ticket_id for r in own.unionByName(known).limit(5).collect()]
-        if repeated:
-            raise DuplicateTickets(f"ticket ids that repeat: {', '.join(map(str, repeated))}")
+        repeated = stored(self._repeated(rows), "repeated")
+        if not set_aside:
+            some = [r.ticket_id for r in repeated.select("ticket_id").distinct().limit(5).collect()]
+            if some:
+                raise DuplicateTickets(f"ticket ids that repeat: {', '.join(map(str, some))}")
+        extent = rows.agg(F.count(F.lit(1)).alias("n"), F.min("ticket_id").alias("least"), F.max("ticket_id").alias("greatest")).first()
         first = (self.batches().agg(F.max(F.col("first_id") + F.col("tickets"))).first()[0] or 1)
-        placed = rows.select((F.col("_number") + F.lit(first - 1)).alias("id"), *ingest.STORED).withColumn(
+        accepted = rows.join(repeated.select("_number"), "_number", "left_anti")
+        placed = accepted.select((F.col("_number") + F.lit(first - 1)).alias("id"), *ingest.STORED).withColumn(
             "created_month", F.date_format("created_at", "yyyy-MM"))
         (placed.hint("rebalance", "created_month").sortWithinPartitions("created_month", "created_at")
          .write.mode("overwrite").partitionBy("created_month").parquet(f"{self.root}/tickets/batch={batch}"))
-        size = rows.count()
-        self.spark.createDataFrame([(batch, first, size)], _BATCHES).coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+        if set_aside:
+            rows.join(repeated.select("_number"), "_number", "left_semi").select(*ingest.STORED).write.mode("overwrite").parquet(
+                f"{self.root}/refused/batch={batch}")
+        id_filter.build(rows, id_filter.size_for(extent.n)).write.mode("overwrite").parquet(f"{self.root}/filters/batch={batch}")
+        self.spark.createDataFrame([(batch, first, extent.n, extent.least, extent.greatest)], _BATCHES).coalesce(1).write.mode(
+            "append").parquet(f"{self.root}/batches")
+
+    def _repeated(self, rows: DataFrame) -> DataFrame:
+        """(_number, ticket_id) of the rows whose ticket id came earlier in the batch or is stored.
+
+        Batches are asked in turn: the list tells whose range of ids can meet the new one, their filters which
+        ids they may hold, and only of the batches that answer are the ids read.
+        """
+        earliest = rows.groupBy("ticket_id").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        own = rows.select("_number", "ticket_id").join(
+            earliest.select(F.col("ticket_id").alias("_id"), "_first"), F.col("ticket_id").eqNullSafe(F.col("_id"))).filter(
+            "_number > _first").select("_number", "ticket_id")
+        extent = rows.agg(F.min("ticket_id").alias("least"), F.max("ticket_id").alias("greatest")).first()
+        if extent.least is None:
+            return own
+        meeting = self.batches().filter((F.col("least_id") <= extent.greatest) & (F.col("greatest_id") >= extent.least))
+        names = [r.batch for r in meeting.select("batch").collect()]
+        if not names:
+            return own
+        filters = self._log("filters", f"{id_filter.SCHEMA}, batch string").filter(F.col("batch").isin(names))
+        answers = stored(id_filter.answers(rows, filters), "answers")
+        answering = [r.batch for r in answers.select("batch").distinct().collect()]
+        if not answering:
+            return own
+        taken = self.tickets(batches=answering).select("ticket_id").join(answers.select("ticket_id").distinct(), "ticket_id", "left_semi")
+        known = rows.select("_number", "ticket_id").join(taken, "ticket_id", "left_semi").select("_number", "ticket_id")
+        return own.unionByName(known).distinct()
 
     def decide(self, decisions: DataFrame) -> None:
         """Append resolutions or overrides; those of unknown tickets will have no effect."""
@@ -111,15 +157,19 @@ def stream_into(table: TicketTable, requests: DataFrame, name: str, checkpoint:
                 threshold: float = fixed.CONFIDENCE_THRESHOLD) -> StreamingQuery:
     """Triage each arriving request and store it: defaults, id and layout as for a single ticket.
 
-    Each micro-batch is a batch of the table, so one that is retried has no effect. ``name`` belongs to
-    the checkpoint: another checkpoint needs another name.
+    Each micro-batch is a batch of the table, so one that is retried has no effect. A request without an id gets
+    one of the micro-batch's number and its own place in it, so equal requests are tickets of their own; one
+    whose id is taken is refused and the stream goes on. ``name`` belongs to the checkpoint: another
+    checkpoint needs another name.
     """
     given = [c for c in ("ticket_id", "customer_name", "contact_number", "review", "timestamp") if c in requests.columns]
     empty = [F.lit(None).cast("string").alias(c) for c in ("ticket_id", "customer_name", "contact_number", "timestamp") if c not in given]
 
     def save(rows: DataFrame, number: int) -> None:
-        keyed = rows.select(*given, *empty, F.md5(F.concat_ws("\x1f", *given)).alias("request_key"))
-        table.append_batch(ingest.triage_requests(keyed, as_of, threshold), f"{name}-{number}")
+        # Places are stored with the rows: evaluated again they could be others.
+        placed = stored(rows.select(*given, *empty, F.monotonically_increasing_id().alias("_place")), "requests")
+        keyed = placed.withColumn("request_key", F.concat(F.lit(f"{name}-{number}-"), F.hex("_place"))).drop("_place")
+        table.append_batch(ingest.triage_requests(keyed, as_of, threshold), f"{name}-{number}", set_aside=True)
 
     return (requests.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
