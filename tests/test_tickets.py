@@ -50,7 +50,7 @@ def test_csv_errors(spark, tmp_path, text):
 def test_file_row_numbers_over_files(spark, tmp_path):
     for i in range(12):
         write(tmp_path / f"part{i:02d}.csv", "review\n" + "".join(f"r{i}_{j}\n" for j in range(i + 1)))
-    rows = csv_tickets.read_tickets_csv(spark, str(tmp_path), multi_line=False).orderBy("row_number").collect()
+    rows = csv_tickets.read_tickets_csv(spark, str(tmp_path)).orderBy("row_number").collect()
     assert [(r.row_number, r.review) for r in rows] == [
         (k + 1, name) for k, name in enumerate(f"r{i}_{j}" for i in range(12) for j in range(i + 1))]
 
