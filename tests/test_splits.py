@@ -53,3 +53,29 @@ def test_rows_without_a_stratum_are_a_stratum(spark):
     rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id long, s string")
     ids = {r.id for r in splits.stratified_test_ids(rows, "id", F.col("s"), "0.30", 7).collect()}
     assert len(ids) == 6 and sum(i % 2 for i in ids) == 3
+
+
+def by_hand(sizes, share):
+    """Largest remainder; ties go to the stratum that sorts first, none before all others."""
+    part = Fraction(share)
+    base = {s: int(n * part) for s, n in sizes.items()}
+    missing = ceil(sum(sizes.values()) * part) - sum(base.values())
+    order = sorted(sizes, key=lambda s: (-(sizes[s] * part - base[s]), s is not None, s or ""))
+    return {s: base[s] + (s in order[:missing]) for s in sizes}
+
+
+@pytest.mark.parametrize("share", ["0.10", "0.30", "1/2", "1/7", "0.123456789", "1", "0"])
+@pytest.mark.parametrize("strata", [0, 1, 7, 500])
+def test_quotas_by_hand(spark, share, strata):
+    sizes = {(None if i == 3 else f"s{i * 7919 % 1000:03}"): 1 + i * i % 23 for i in range(strata)}
+    found = splits.quotas(spark.createDataFrame(list(sizes.items()), "stratum string, n long"), share).collect()
+    assert {r.stratum: r.quota for r in found} == by_hand(sizes, share) and len(found) == strata
+
+
+def test_very_many_strata(spark):
+    """As many strata as rows: no task sees them all, and the total is exact."""
+    strata = spark.range(2_000_000).select(F.format_string("s%d", "id").alias("stratum"), (F.col("id") % 3 + 1).alias("n"))
+    found = splits.quotas(strata, "0.30")
+    assert "SinglePartition" not in found._jdf.queryExecution().toString() and "Window" not in found._jdf.queryExecution().toString()
+    rows = 2_000_000 // 3 * 6 + 3
+    assert found.agg(F.sum("quota"), F.sum("n")).first()[:] == (ceil(rows * Fraction("0.30")), rows)

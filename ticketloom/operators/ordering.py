@@ -42,6 +42,22 @@ def number_rows(df: DataFrame, order: list[str | Column], name: str = "row_numbe
             .drop("_part", "_place", "_offset"))
 
 
+def with_first(df: DataFrame, order: list[Column], count: int, name: str) -> DataFrame:
+    """Add whether a row is among the first ``count`` in ``order``, which must be unique per row.
+
+    The sizes of the range partitions, one number each, show in which of them the count runs out.
+    """
+    rows = _range_sorted(df, order)
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, last = count, -1
+    for last in sorted(sizes):
+        if left <= sizes[last]:
+            break
+        left -= sizes[last]
+    among = (F.col("_part") < last) | ((F.col("_part") == last) & (F.col("_place") < left))
+    return rows.withColumn(name, among).drop("_part", "_place")
+
+
 def running_total(df: DataFrame, key: str, weight: str, name: str) -> DataFrame:
     """Add the inclusive running sum of ``weight`` in order of the unique ``key``."""
     rows = _range_sorted(df, [F.col(key)])

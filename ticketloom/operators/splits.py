@@ -11,28 +11,39 @@ from ..functions import fixed
 from ..functions.seeded import digest
 from ..scratch import stored
 from .neardup import without_near_rows
+from .ordering import with_first
 
 # Hex digits of the digest that form a slice: a stratum is counted in 65536 slices.
 _SLICE_DIGITS = 4
+# Remainders are counted in so many slices.
+_REMAINDERS = 4096
 
 
 def quotas(strata: DataFrame, share: str) -> DataFrame:
     """Test rows per stratum: ceil(share * rows) in all, by largest remainder.
 
-    ``strata`` has one row per stratum with its size ``n``, so the ranking window is small. Whole
-    numbers throughout; ties go to the stratum that sorts first.
+    ``strata`` has one row per stratum with its size ``n``; there may be as many as rows. Remainders are
+    counted in ``_REMAINDERS`` slices, whose counts show the one slice where the extra rows run out;
+    only its strata are put in order, by range. Whole numbers throughout; ties go to the stratum that sorts first.
     """
     part = Fraction(share)
     top, bottom = part.numerator, part.denominator
-    everything = Window.partitionBy(F.lit(1))
-    sized = strata.withColumns({
-        "_base": F.floor(F.col("n") * top / bottom).cast("bigint"),
-        "_rest": F.col("n") * top % bottom,
-        "_wanted": F.ceil(F.sum("n").over(everything) * top / bottom).cast("bigint"),
-    })
-    rank = F.row_number().over(Window.orderBy(F.desc("_rest"), "stratum"))
-    extra = rank <= F.col("_wanted") - F.sum("_base").over(everything)
-    return sized.select("stratum", "n", (F.col("_base") + extra.cast("bigint")).alias("quota"))
+    rest = F.col("n") * top % bottom
+    sized = stored(strata.select("stratum", "n", F.floor(F.col("n") * top / bottom).cast("bigint").alias("quota"), rest.alias("_rest"),
+                                 F.floor(rest * _REMAINDERS / bottom).cast("int").alias("_slice")), "strata")
+    counts = sized.groupBy("_slice").agg(F.count(F.lit(1)).alias("strata"), F.sum("n").alias("n"), F.sum("quota").alias("quota")).collect()
+    rows, given = sum(c["n"] for c in counts), sum(c["quota"] for c in counts)
+    missing, edge = -(-rows * top // bottom) - given, _REMAINDERS
+    for count in sorted(counts, key=lambda c: -c["_slice"]):
+        edge = count["_slice"]
+        if count["strata"] >= missing:
+            break
+        missing -= count["strata"]
+    extra = sized.filter(F.col("_slice") > edge).withColumn("quota", F.col("quota") + 1)
+    at_edge = with_first(sized.filter(F.col("_slice") == edge), [F.desc("_rest"), F.col("stratum")], missing, "_extra")
+    at_edge = at_edge.withColumn("quota", F.col("quota") + F.col("_extra").cast("bigint"))
+    whole = sized.filter(F.col("_slice") < edge).unionByName(extra).unionByName(at_edge.drop("_extra"))
+    return whole.select("stratum", "n", "quota")
 
 
 def _with_stratum(rows: DataFrame, per_stratum: DataFrame) -> DataFrame:
