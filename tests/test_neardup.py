@@ -79,3 +79,37 @@ def test_rows_without_a_bucket_are_a_bucket(spark):
     rows = [(1, "one two three four", None), (2, "one two three four", None), (3, "one two three four", "x")]
     df = spark.createDataFrame(rows, "id long, text string, b string")
     assert [r.id for r in neardup.near_duplicates(df, "id", "text", "b").collect()] == [2]
+
+
+def test_rounds_do_not_grow_with_a_common_shingle(spark, monkeypatch):
+    """Unlike texts that all hold one shingle, a rare one for each of them: few rounds, and no pair moves its sets."""
+    rounds, compared, leaders, verified = [], [], neardup._leaders, neardup._verified
+
+    def counted(postings, count):
+        rounds.append(count)
+        return leaders(postings, count)
+
+    def watched(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_leaders", counted)
+    monkeypatch.setattr(neardup, "_verified", watched)
+    texts = spark.range(6000).select("id", F.concat(
+        F.lit("alpha beta gamma "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(
+            F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(40)).cast("string"))), " ")).alias("text"))
+    assert neardup.near_duplicates(texts, "id", "text").isEmpty()
+    assert rounds == [16, 256, 4096, 65536][:len(rounds)] and sum(compared) < 6000
+
+
+def test_parities_never_lose_a_pair(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        a = {rng.getrandbits(63) for _ in range(rng.choice([1, 5, 60, 400]))}
+        b = {x for x in a if rng.random() > rng.choice([0, 0.05, 0.1])} | {rng.getrandbits(63) for _ in range(rng.choice([0, 1, 5]))}
+        rows.append((sorted(a), sorted(b or a)))
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>").withColumns({"pa": neardup._parities("a"), "pb": neardup._parities("b")})
+    similar = F.size(F.array_intersect("a", "b")) * 100 >= F.size(F.array_union("a", "b")) * 85
+    allowed = neardup._bits_allow(F.col("pa"), F.col("pb"), F.size("a") + F.size("b"), 85)
+    assert pairs.filter(similar).count() > 50 and pairs.filter(similar & ~allowed).isEmpty()

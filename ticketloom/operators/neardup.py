@@ -7,8 +7,11 @@ missed, unlike with sampled signatures. Rare shingles come first, so most lists
 Groups of copies may be huge, so pairs inside a group are never all formed:
 
 * equal shingle sets are collapsed to their first row before anything is joined;
-* each round compares only the first ``LEADERS`` open rows of a list with the rest of it. Kept
-  rows drop their near copies at once, so a group of N near copies costs about N comparisons.
+* each round compares only the first open rows of all lists with the rest of them. Kept rows drop
+  their near copies at once, so a group of N near copies costs about N comparisons. Rounds take
+  ``MORE_LEADERS`` times as many rows each, so their number grows with the logarithm of a list;
+* a bitmap of a set's parities (Sandes 2020) travels with its rows. The bits in which two differ are no more than
+  the elements that only one set has, so most unlike pairs end inside the join and no set moves for them.
 
 Tables that several jobs read are written to the checkpoint folder, see ``scratch.stored``.
 """
@@ -21,13 +24,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import normalized_words, shingles
+from ..functions.text import normalized_words
 from ..scratch import stored
 from ..sources.store import balanced
 
-# Leaders per list in the first round; later rounds take more, up to the size for which Spark
-# still limits the ranked groups before the shuffle.
-LEADERS, MORE_LEADERS, MOST_LEADERS = 16, 8, 1000
+# Leaders per list in the first round, and how many times more each later round takes. Up to 1,000 Spark
+# cuts the ranked groups before the shuffle.
+LEADERS, MORE_LEADERS = 16, 16
+
+# Parity bits of a set, in 64-bit words.
+_WORDS = 4
 
 # A shingle in more than this share of all shingles is joined by broadcast, see _frequencies.
 _HOT_ROWS = 10_000
@@ -42,23 +48,24 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _with_set(df: DataFrame, norm: str, name: str) -> DataFrame:
-    """Add the shingle set of a normalized text. The words are a projection of their own, so
-    that they are split once."""
-    words = F.when(F.col(norm) == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
-    return df.withColumn("_w", words).withColumn(name, shingles(F.col("_w"))).drop("_w")
+def _hashed_shingles(words: Column) -> Column:
+    """The distinct word shingles of a text as sorted 64-bit hashes; they are never built as text."""
+    width = fixed.SHINGLE_WORDS
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
+    short = F.array(F.xxhash64(F.array_join(words, " ")))
+    return F.array_sort(F.array_distinct(F.when(F.size(words) >= width, windows).otherwise(short)))
 
 
 def shingle_rows(df: DataFrame, key: str, text: str, bucket: Column) -> DataFrame:
-    """id, bucket, normalized text, set size and a digest that equal sets share."""
-    norm = F.array_join(normalized_words(F.col(text)), " ")
+    """id, bucket, shingle set (64-bit hashes, about as long as the text), set size and a 128-bit digest that equal
+    sets share. Two different shingles of a pair of rows share a hash once in some 10^13 pairs."""
     # Rows without a bucket are a bucket too.
     named = F.coalesce(F.concat(F.lit("="), bucket.cast("string")), F.lit("none"))
     source = balanced(df.select(key, text, named.alias("bucket")))
-    rows = source.select(F.col(key).alias("id"), "bucket", norm.alias("norm"))
-    return _with_set(rows, "norm", "_set").select(
-        "id", "bucket", "norm", F.size("_set").alias("n"),
-        F.sha2(F.array_join(F.array_sort("_set"), "\n"), 256).alias("digest"))
+    # The words are a projection of their own, so that they are split once.
+    rows = source.select(F.col(key).alias("id"), "bucket", F.coalesce(normalized_words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    return rows.withColumn("sh", _hashed_shingles(F.col("_w"))).select(
+        "id", "bucket", "sh", F.size("sh").alias("n"), F.concat(F.hex(F.xxhash64("sh")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "sh"))).alias("digest"))
 
 
 def _first_of_equal_sets(rows: DataFrame) -> DataFrame:
@@ -67,12 +74,24 @@ def _first_of_equal_sets(rows: DataFrame) -> DataFrame:
 
 
 def _representatives(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The first row of each set, with the set itself as 64-bit hashes, a fraction of its text. It is
-    built once and stored, since every later step reads it. Two different shingles of a pair of
-    rows share a hash once in some 10^13 pairs."""
-    chosen = rows.join(firsts.select("id"), "id", "left_semi")
-    hashed = _with_set(chosen, "norm", "_set").withColumn("sh", F.transform("_set", lambda s: F.xxhash64(s)))
-    return stored(hashed.drop("norm", "_set"), "reps")
+    """The first row of each set. It is built once and stored, since every later step reads it."""
+    return stored(rows.join(firsts.select("id"), "id", "left_semi").withColumn("bits", _parities("sh")), "reps")
+
+
+def _parities(hashes: str) -> Column:
+    """For each of 64 * ``_WORDS`` classes of hashes whether a set has an odd number of them."""
+    def word(k: int) -> Column:
+        return F.aggregate(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(_WORDS - 1)) == k), F.lit(0).cast("bigint"),
+                           lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return F.array(*[word(k) for k in range(_WORDS)])
+
+
+def _bits_allow(a: Column, b: Column, sizes: Column, percent: int) -> Column:
+    """Whether the parities of two sets leave room for the similarity. With d elements in only one of them and
+    s in both sizes together, it is (s - d) / (s + d)."""
+    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(_WORDS)), F.lit(0))
+    return differ * (100 + percent) <= sizes * (100 - percent)
 
 
 def _hashed(reps: DataFrame) -> DataFrame:
@@ -104,19 +123,20 @@ def _shared_shingles(rows: DataFrame) -> DataFrame:
 
 
 def _postings(rows: DataFrame, percent: int) -> DataFrame:
-    """(bucket, shingle, id, size) for the prefix of each row.
+    """(bucket, shingle, id, size, parities) for the prefix of each row.
 
     The prefix holds the n - ceil(percent * n) + 1 rarest shingles. Shingles found once come
     first in that order, so only their number matters.
     """
     n = F.col("n")
     length = n - F.floor((n * percent + 99) / 100) + 1
-    per_row = _shared_shingles(rows).groupBy("id", "bucket", "n").agg(
-        F.array_sort(F.collect_list(F.struct("f", "h"))).alias("shared"))
+    per_row = _shared_shingles(rows).groupBy("id").agg(
+        F.first("bucket").alias("bucket"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "h"))).alias("shared"))
     from_shared = length - (n - F.size("shared"))
     prefix = F.slice("shared", F.lit(1), F.greatest(from_shared, F.lit(0)).cast("int"))
-    return per_row.select("id", "bucket", "n", F.explode(F.array_distinct(prefix)).alias("e")).select(
-        "bucket", F.col("e.h").alias("h"), "id", "n")
+    with_bits = per_row.join(rows.select("id", "bits"), "id")
+    return with_bits.select("id", "bucket", "n", "bits", F.explode(F.array_distinct(prefix)).alias("e")).select(
+        "bucket", F.col("e.h").alias("h"), "id", "n", "bits")
 
 
 def _leaders(postings: DataFrame, count: int) -> DataFrame:
@@ -138,8 +158,9 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, percent: int)
 
 
 def _candidates(leaders: DataFrame, postings: DataFrame, percent: int, earlier: bool) -> DataFrame:
-    lead = leaders.select("bucket", "h", F.col("id").alias("lead"), F.col("n").alias("_ln"))
-    pairs = lead.join(postings, ["bucket", "h"]).filter(_sizes_allow(F.col("_ln"), F.col("n"), percent))
+    lead = leaders.select("bucket", "h", F.col("id").alias("lead"), F.col("n").alias("_ln"), F.col("bits").alias("_lbits"))
+    pairs = lead.join(postings, ["bucket", "h"]).filter(
+        _sizes_allow(F.col("_ln"), F.col("n"), percent) & _bits_allow(F.col("_lbits"), F.col("bits"), F.col("_ln") + F.col("n"), percent))
     if earlier:
         pairs = pairs.filter(F.col("lead") < F.col("id"))
     return pairs.select("lead", "id").distinct()
@@ -190,7 +211,7 @@ def _greedy(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         kept, hit = _settle(edges, sure)
         dropped.append(hit)
         active = stored(active.join(kept.unionByName(hit), "id", "left_anti"), "postings")
-        count = min(count * MORE_LEADERS, MOST_LEADERS)
+        count *= MORE_LEADERS
     nothing = reps.select("id").limit(0)
     return reduce(DataFrame.unionByName, dropped, nothing), postings
 
@@ -283,7 +304,7 @@ def near_rows(base: DataFrame, other: DataFrame, key: str, text: str,
         found.append(hit)
         waiting = stored(waiting.join(hit, "id", "left_anti"), "waiting")
         unused = unused.join(leaders.select("bucket", "h", "id"), ["bucket", "h", "id"], "left_anti")
-        count = min(count * MORE_LEADERS, MOST_LEADERS)
+        count *= MORE_LEADERS
     near = reduce(DataFrame.unionByName, found)
     whole = o.join(near, "id", "left_semi").select("bucket", "digest")
     near_digests = whole.distinct()
