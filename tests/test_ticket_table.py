@@ -1,9 +1,12 @@
 """Unique ids: streams of requests without ids, and appends that ask filters instead of the table."""
 
+import random
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from ticketloom.operators import ingest, triage
+from ticketloom.operators import analytics, ingest, review, triage
 from ticketloom.sources import id_filter, ticket_table
 
 AS_OF = "2026-08-21 10:00:00"
@@ -92,3 +95,46 @@ def test_broken_off_batch_is_written_again(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     table.append_batch(rows, "b1")
     assert sorted(r.ticket_id for r in table.state().collect()) == ["A", "B"]
+
+
+def scattered(spark, first, count):
+    """Tickets over some days, at whole hours, at edges of hours and between."""
+    texts = ["The network is down again", "Please refund the wrong charge", "Medical emergency, the tower collapsed", "Hello there"]
+    rows = [(f"T-{i}", texts[i % 4], f"2026-08-{1 + i * 7 % 28:02} {i * 5 % 24:02}:{(0, 0, 59, 17)[i % 4]:02}:{(0, 1, 59, 30)[i % 4]:02}")
+            for i in range(first, first + count)]
+    made = spark.createDataFrame([(a, b, None, None, None, c) for a, b, c in rows], "ticket_id string, review string, customer_name string, "
+                                 "contact_number string, timestamp string, made string")
+    return ingest.as_stored(triage.triage(made.withColumn("at", F.col("made").cast("timestamp_ntz"))), F.col("at"))
+
+
+def test_trends_from_counts_equal_the_scan(spark, tmp_path):
+    table = ticket_table.TicketTable(spark, str(tmp_path / "table"))
+    decision = lambda ids, when: spark.createDataFrame(
+        [(i, "resolve", "Billing", "Low", "Finance", "n", when) for i in ids], review.DECISION_SCHEMA)
+    table.append_batch(scattered(spark, 0, 150), "a")
+    table.decide(decision(range(1, 40), datetime(2026, 9, 1)))
+    table.append_batch(scattered(spark, 150, 100), "b")
+    table.decide(decision([3, 3, 4, 180, 9999], datetime(2026, 9, 2)))
+    table.decide(decision([3, 4], datetime(2026, 9, 2)))
+    table.delete_pending(as_of())
+    table._delete(spark.createDataFrame([(5,), (200,), (200,)], "id long"), as_of())
+    state = table.state().cache()
+    assert not [f for f in table.cube().inputFiles() if "/tickets/" in f]
+    assert table.cube().agg(F.sum("tickets")).first()[0] == state.count() < 250
+    rng = random.Random(6)
+    for number in range(12):
+        moment = datetime(2026, 8, rng.randint(1, 28), rng.randrange(24))
+        if number % 2:
+            moment = moment.replace(minute=rng.choice([0, 17, 59]), second=rng.choice([0, 30, 59]))
+        days = rng.choice([1, 3, 7, 30])
+        want = analytics.trends(state, F.lit(moment).cast("timestamp_ntz"), days).collect()
+        assert sorted(table.trends(moment, days).collect()) == sorted(want)
+
+
+def test_an_unfinished_decision_changes_no_count(spark, tmp_path):
+    """The touched tickets are stored before the decision; without it they cancel out."""
+    table = ticket_table.TicketTable(spark, str(tmp_path / "table"))
+    table.append_batch(scattered(spark, 0, 20), "a")
+    before = sorted(table.cube().collect(), key=str)
+    table._touch(spark.createDataFrame([(1,), (2,)], "id long"))
+    assert sorted(table.cube().collect(), key=str) == before

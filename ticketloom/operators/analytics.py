@@ -110,13 +110,17 @@ def _windows(as_of: Column, days: int, moment: str) -> tuple[Column, Column, Col
 
 
 def _trend_items(df: DataFrame, items: dict[str, Column], as_of: Column, days: int,
-                 moment: str) -> DataFrame:
-    """Count each item in both windows in one scan of the two windows."""
+                 moment: str, weight: str | None = None) -> DataFrame:
+    """Count each item in both windows in one scan of the two windows. A row counts ``weight`` times."""
+    def tally(condition: Column) -> Column:
+        if weight is None:
+            return F.count_if(condition)
+        return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0)).cast("bigint")
+
     current, previous, either = _windows(as_of, days, moment)
     measures = []
     for i, condition in enumerate(items.values()):
-        measures += [F.count_if(current & condition).alias(f"cur{i}"),
-                     F.count_if(previous & condition).alias(f"prev{i}")]
+        measures += [tally(current & condition).alias(f"cur{i}"), tally(previous & condition).alias(f"prev{i}")]
     wide = df.filter(either).agg(*measures)
     cells = [[F.col(f"cur{i}"), F.col(f"prev{i}")] for i in range(len(items))]
     rows = _as_rows(wide, list(items), cells, ["current", "previous"])
@@ -146,8 +150,8 @@ def label_trends(df: DataFrame, column: str, labels: list[str], as_of: Column, d
     return _trend_items(df, {label: F.col(column) == label for label in labels}, as_of, days, moment)
 
 
-def trends(tickets: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
-    """All 17 trend items with their group, from one scan."""
+def trends(tickets: DataFrame, as_of: Column, days: int = 7, weight: str | None = None) -> DataFrame:
+    """All 17 trend items with their group, from one scan; ``weight`` names a column of counts."""
     items = {
         ("summary", "Total Volume"): F.lit(True),
         ("summary", "Auto-Routed"): F.col("routing_status") == "AUTO_ROUTED",
@@ -156,6 +160,6 @@ def trends(tickets: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     for group, (column, labels) in LABEL_GROUPS.items():
         items |= {(group, label): F.col(column) == label for label in labels}
     named = {f"{group}|{name}": condition for (group, name), condition in items.items()}
-    rows = _trend_items(tickets, named, as_of, days, "created_at")
+    rows = _trend_items(tickets, named, as_of, days, "created_at", weight)
     parts = F.split("name", r"\|")
     return rows.withColumn("group", parts[0]).withColumn("name", parts[1])

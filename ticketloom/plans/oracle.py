@@ -383,6 +383,7 @@ ORACLE["e11_all_trends"] = _CURRENT + _change(" UNION ALL ".join(
     [_trend("cur", "created_at", data.AS_OF, 30, _SUMMARY_ITEMS, "'summary' AS grp, ")]
     + [_trend("cur", "created_at", data.AS_OF, 30, _label_items(f"final_{g}", v), f"'{g}' AS grp, ")
        for g, v in _GROUPS.items()]), 'grp AS "group", ')
+ORACLE["e11_trends_from_cube"] = ORACLE["e11_all_trends"]
 ORACLE["e12_live_kpis"] = _TO_TRIAGED + """SELECT routing_status, final_category, final_priority, final_department,
   count(*) AS tickets FROM triaged GROUP BY ALL"""
 
@@ -468,6 +469,7 @@ ORACLE["f13_sequence_gaps"] = """SELECT min(g) AS first_missing, max(g) AS last_
   WHERE g NOT IN (SELECT l_orderkey FROM lineitem)) GROUP BY run"""
 ORACLE["f13_sequence_totals"] = """SELECT min(l_orderkey) AS min_number, max(l_orderkey) AS max_number,
   max(l_orderkey) - count(DISTINCT l_orderkey) FILTER (l_orderkey > 0) AS missing_count FROM lineitem"""
+ORACLE["f13_unreadable_numbers"] = "SELECT 'TCK-' || lpad(l_orderkey::VARCHAR, 39, '9') AS ticket_id FROM lineitem WHERE l_partkey % 7 = 0"
 ORACLE["f14_keep_first"] = """SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
   FROM conversations) WHERE rn = 1"""
 ORACLE["f15_progress"] = _with(_RECORDS) + """SELECT max(id) AS next_index, count(*) AS accepted, 0::BIGINT AS rejected,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -591,6 +592,19 @@ def e11_all_trends(spark, d):
     return analytics.trends(current_tickets(spark, d), data.as_of(), 30)
 
 
+@query
+def e11_trends_from_cube(spark, d):
+    """All trends from the hourly counts of a ticket table, after decisions; no stored ticket is read for them."""
+    table = ticket_table.TicketTable(spark, fresh_folder(spark, "trend-table"))
+    uploads = ingest.as_stored(triage.triage(clean(spark, d, named=True)), F.col("created_at").cast("timestamp_ntz"))
+    for half in (0, 1):
+        table.append_batch(uploads.filter(_order_number() % 2 == half), f"half-{half}")
+    ids = table.tickets().select(F.col("id").alias("_id"), "ticket_id")
+    decided = data.decisions(spark, d).withColumn("ticket_id", F.concat(F.lit("TCK-"), F.col("id").cast("string"))).join(ids, "ticket_id")
+    table.decide(decided.withColumn("id", F.col("_id")))
+    return table.trends(datetime.fromisoformat(data.AS_OF), 30)
+
+
 @query
 def e12_live_kpis(spark, d):
     sink = fresh_folder(spark, "live")
@@ -708,6 +722,14 @@ def f13_sequence_totals(spark, d):
     return totals.select(*[F.col(c).cast("bigint") for c in totals.columns])
 
 
+@query
+def f13_unreadable_numbers(spark, d):
+    """Ids with a number of 39 digits or more, which the reports leave out; lines of partkey 7 get one."""
+    long = F.when(F.col("l_partkey") % 7 == 0, F.lpad(F.col("l_orderkey").cast("string"), 39, "9")).otherwise(F.col("l_orderkey").cast("string"))
+    lines = data.table(spark, d, "lineitem").select(F.concat(F.lit("TCK-"), long).alias("ticket_id"))
+    return quality.unreadable_numbers(lines)
+
+
 @query
 def f14_keep_first(spark, d):
     return quality.keep_first(data.table(spark, d, "conversations"), "conv_id", "turn").select(

@@ -6,6 +6,9 @@ Folder layout under the table's root:
 * ``filters/batch=<id>/``: the batch's ticket ids as a Bloom filter (``id_filter``).
 * ``batches/``: a row per complete batch with its first id, size, and least and greatest ticket id. Readers see
   listed batches only, so a batch that broke off is invisible and is simply written again.
+* ``cube/batch=<id>/``: the batch's tickets counted by hour, status and final labels.
+* ``touched/``: tickets with a decision or deletion, as they were uploaded. It is written before the decision, so
+  the cube less the touched tickets plus their present state is the cube of the present state at any time.
 * ``refused/batch=<id>/``: rows of a batch that repeated a ticket id, where the batch was to set them aside.
 * ``decisions/`` and ``deletions/``: append-only logs. Repeating an append changes nothing.
 
@@ -14,13 +17,16 @@ One writer at a time is assumed; readers may come at any time.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed
-from ..operators import ingest, review
+from ..operators import analytics, ingest, review
 from ..operators.ordering import number_rows
 from ..scratch import stored
 from . import id_filter
@@ -35,6 +41,10 @@ SCHEMA = ("id bigint, " + ", ".join(f"{c} string" for c in _TEXTS)
             "updated_at timestamp_ntz, reviewed_at timestamp_ntz")
 _PLACE = "batch string, created_month string"
 _BATCHES = "batch string, first_id bigint, tickets bigint, least_id string, greatest_id string"
+_GROUP = ["routing_status", *_LABELS, "is_reviewed"]
+_GROUP_SCHEMA = "routing_status string, " + ", ".join(f"{c} string" for c in _LABELS) + ", is_reviewed boolean"
+_CUBE = f"hour timestamp_ntz, exact boolean, {_GROUP_SCHEMA}, tickets bigint, batch string"
+_TOUCHED = f"id bigint, created_at timestamp_ntz, {_GROUP_SCHEMA}"
 _DELETIONS = "id bigint, deleted_at timestamp_ntz"
 
 
@@ -105,6 +115,7 @@ class TicketTable:
         if set_aside:
             rows.join(repeated.select("_number"), "_number", "left_semi").select(*ingest.STORED).write.mode("overwrite").parquet(
                 f"{self.root}/refused/batch={batch}")
+        _counted(placed.withColumn("tickets", F.lit(1))).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/cube/batch={batch}")
         id_filter.build(rows, id_filter.size_for(extent.n)).write.mode("overwrite").parquet(f"{self.root}/filters/batch={batch}")
         self.spark.createDataFrame([(batch, first, extent.n, extent.least, extent.greatest)], _BATCHES).coalesce(1).write.mode(
             "append").parquet(f"{self.root}/batches")
@@ -138,6 +149,8 @@ class TicketTable:
     def decide(self, decisions: DataFrame) -> None:
         """Append resolutions or overrides; those of unknown tickets will have no effect."""
         names = [part.split()[0] for part in review.DECISION_SCHEMA.split(", ")]
+        decisions = stored(decisions.select(*names), "decisions")
+        self._touch(decisions)
         decisions.select(*names).write.mode("append").parquet(f"{self.root}/decisions")
 
     def pass_all(self, as_of: Column) -> None:
@@ -150,8 +163,54 @@ class TicketTable:
         self._delete(self.state().select("id"), as_of)
 
     def _delete(self, ids: DataFrame, as_of: Column) -> None:
+        ids = stored(ids.select("id"), "deletions")
+        self._touch(ids)
         ids.select("id", as_of.alias("deleted_at")).write.mode("append").parquet(f"{self.root}/deletions")
 
+    def _touch(self, changed: DataFrame) -> None:
+        """Keep the uploaded form of the tickets of ``changed`` (id); only batches whose ids they can have are read."""
+        extent = changed.agg(F.min("id").alias("least"), F.max("id").alias("greatest")).first()
+        if extent.least is None:
+            return
+        meeting = self.batches().filter((F.col("first_id") <= extent.greatest) & (F.col("first_id") + F.col("tickets") > extent.least))
+        names = [r.batch for r in meeting.select("batch").distinct().collect()]
+        rows = self.tickets(batches=names).join(changed.select("id").distinct(), "id", "left_semi")
+        rows.select("id", "created_at", *_GROUP).write.mode("append").parquet(f"{self.root}/touched")
+
+    def cube(self) -> DataFrame:
+        """Counts of the present state by hour, status and final labels; no ticket is read. ``exact`` tells
+        tickets of the hour's first instant from the others."""
+        uploaded = self._log("cube", _CUBE).join(self.batches().select("batch").distinct(), "batch", "left_semi")
+        touched = self._log("touched", _TOUCHED).dropDuplicates(["id"])
+        blank = {"reviewer_notes": "string", "reviewed_at": "timestamp_ntz", "updated_at": "timestamp_ntz"}
+        before = touched.withColumns({name: F.lit(None).cast(kind) for name, kind in blank.items()})
+        after = review.apply_decisions(review.without_deleted(before, self._log("deletions", _DELETIONS)),
+                                       self._log("decisions", review.DECISION_SCHEMA))
+        parts = [uploaded.drop("batch"), _counted(before.withColumn("tickets", F.lit(-1))), _counted(after.withColumn("tickets", F.lit(1)))]
+        whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return whole.groupBy("hour", "exact", *_GROUP).agg(F.sum("tickets").alias("tickets")).filter("tickets <> 0")
+
+    def trends(self, as_of: datetime, days: int = 7) -> DataFrame:
+        """All trend items of the present state, from the cube. Where an edge of a window lies inside an hour, the
+        tickets of that hour are read."""
+        edges = [as_of - timedelta(days=n * days) for n in range(3)]
+        cut = sorted({e.replace(minute=0, second=0, microsecond=0) for e in edges if e.minute or e.second or e.microsecond})
+        hours = [F.lit(hour).cast("timestamp_ntz") for hour in cut]
+        rows = self.cube().withColumn("created_at", F.when(F.col("exact"), F.col("hour")).otherwise(F.expr("hour + INTERVAL 30 MINUTES")))
+        rows = rows.select("created_at", "tickets", *_GROUP)
+        if hours:
+            rows = rows.filter(~F.date_trunc("hour", "created_at").cast("timestamp_ntz").isin(hours))
+            state = self.state(cut[0].strftime("%Y-%m"), cut[-1].strftime("%Y-%m"))
+            own = reduce(lambda a, b: a | b, [(F.col("created_at") >= hour) & (F.col("created_at") < hour + F.expr("INTERVAL 1 HOUR")) for hour in hours])
+            rows = rows.unionByName(state.filter(own).select("created_at", F.lit(1).cast("bigint").alias("tickets"), *_GROUP))
+        return analytics.trends(rows, F.lit(as_of).cast("timestamp_ntz"), days, weight="tickets")
+
+
+def _counted(tickets: DataFrame) -> DataFrame:
+    """Sums of ``tickets`` by hour and group."""
+    hour = F.date_trunc("hour", "created_at").cast("timestamp_ntz")
+    return tickets.groupBy(hour.alias("hour"), (hour == F.col("created_at")).alias("exact"), *_GROUP).agg(F.sum("tickets").alias("tickets"))
+
 
 def stream_into(table: TicketTable, requests: DataFrame, name: str, checkpoint: str, as_of: Column,
                 threshold: float = fixed.CONFIDENCE_THRESHOLD) -> StreamingQuery:
