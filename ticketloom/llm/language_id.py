@@ -11,7 +11,7 @@ A text is rejected on either of two scores. Its confidence is how far the best l
 from even odds, 1/K for K languages, towards 1. Its familiarity is the mean log frequency of its subwords
 in the best language's texts, relative to that language's own: text of an unlearned language, or letter
 junk, is unfamiliar wherever the softmax puts it, also with one or two languages. The limits come from the
-texts kept apart, whole and cut short, which executors judge by the trained model, by number of subwords: what ``REACH`` of the right predictions
+texts kept apart and ``JUDGED`` times ``PER_LANGUAGE`` more, whole and cut short, which executors judge by the trained model, by number of subwords: what ``REACH`` of the right predictions
 reach, with room below since the texts are few. ``accept`` is the least confidence besides.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; a text is
@@ -42,6 +42,7 @@ PER_LANGUAGE = 400
 TEXTS = 80_000
 FEWEST = 12
 APART = 6
+JUDGED = 3
 FEW_LANGUAGES = 10_000
 EPOCHS = 6
 RATE = 0.2
@@ -186,11 +187,18 @@ class _Text:
 
 def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: int,
                   max_languages: int | None = None) -> DataFrame:
+    """Rows (_order, _lang, _text) to learn from and (_apart) to keep apart, see ``_drawn``."""
+    return _drawn(df, key, text, lang, per_language, max_languages).filter("_learned").drop("_learned")
+
+
+def _drawn(df: DataFrame, key: str, text: str, lang: str, per_language: int, max_languages: int | None = None) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, chosen by a hash of the key; fewer if
     there were more than ``TEXTS`` in all, but ``FEWEST`` of every language. ``max_languages`` takes
     only the commonest.
 
-    Counts by language come first, so that the scan for texts passes on little more than it needs.
+    These are marked ``_learned``. ``JUDGED`` times as many others, marked ``_apart`` as some of these are, only serve
+    to set the limits: the trained model judges them where they are. Counts by language come first, so that the scan for
+    texts passes on little more than it needs.
     """
     order = F.pmod(F.xxhash64(F.col(key)), F.lit(_HASH_SPACE))
     labelled = df.filter(~held_out(key) & F.col(lang).isNotNull()).select(
@@ -201,18 +209,20 @@ def training_rows(df: DataFrame, key: str, text: str, lang: str, per_language: i
     counts = stored(counts, "languages")
     languages = counts.count()
     per_language = min(per_language, max(FEWEST, TEXTS // max(1, languages)))
-    shares = counts.select("_lang", F.least(F.lit(1.0), F.lit(3.0 * per_language) / F.col("_n")).alias("_share"))
+    shares = counts.select("_lang", F.least(F.lit(1.0), F.lit(3.0 * (1 + JUDGED) * per_language) / F.col("_n")).alias("_share"))
     drawn = labelled.join(F.broadcast(shares) if languages <= FEW_LANGUAGES else shares, "_lang").filter(
         F.col("_order") < F.col("_share") * _HASH_SPACE)
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", F.xxhash64("_text")))
+    learned = F.col("_place") <= per_language
     return drawn.filter(F.col("_text").isNotNull()).withColumn("_place", place).filter(
-        F.col("_place") <= per_language).select("_order", "_lang", "_text", (F.col("_place") % APART == 0).alias("_apart"))
+        F.col("_place") <= (1 + JUDGED) * per_language).select(
+        "_order", "_lang", "_text", (~learned | (F.col("_place") % APART == 0)).alias("_apart"), learned.alias("_learned"))
 
 
 def train(df: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE,
           max_languages: int | None = None, accept: float = ACCEPT) -> Model:
-    rows = stored(training_rows(df, key, text, lang, per_language, max_languages), "training-texts")
-    found = rows.mapInArrow(_features, "_order bigint, _lang string, _apart boolean, buckets binary, counts binary").toArrow()
+    rows = stored(_drawn(df, key, text, lang, per_language, max_languages), "training-texts")
+    found = rows.filter("_learned").drop("_learned").mapInArrow(_features, "_order bigint, _lang string, _apart boolean, buckets binary, counts binary").toArrow()
     found = found.filter(pc.greater(pc.binary_length(found["buckets"]), 0)).sort_by([(c, "ascending") for c in ("_order", "_lang", "buckets", "counts")])
     languages = sorted(set(found["_lang"].to_pylist()))
     if not languages:
