@@ -19,23 +19,29 @@ def _is_pending() -> Column:
     return (F.col("routing_status") == "HUMAN_REVIEW") & ~F.col("is_reviewed")
 
 
-def status_counts() -> dict[str, Column]:
+def status_conditions() -> dict[str, Column]:
     return {
-        "total_tickets": F.count(F.lit(1)),
-        "auto_routed_count": F.count_if(F.col("routing_status") == "AUTO_ROUTED"),
-        "human_review_count": F.count_if(_is_pending()),
-        "resolved_review_count": F.count_if(
-            (F.col("routing_status") == "RESOLVED") | F.col("is_reviewed")),
+        "total_tickets": F.lit(True),
+        "auto_routed_count": F.col("routing_status") == "AUTO_ROUTED",
+        "human_review_count": _is_pending(),
+        "resolved_review_count": (F.col("routing_status") == "RESOLVED") | F.col("is_reviewed"),
     }
 
 
+def status_counts() -> dict[str, Column]:
+    return {name: F.count_if(condition) for name, condition in status_conditions().items()}
+
+
 def _confidence_sum() -> Column:
     """Sum of confidences in ten-thousandths: whole numbers add up alike in any order."""
     return F.sum(F.round(F.col("confidence") * 10000).cast("bigint"))
 
 
-def kpi_counts(tickets: DataFrame) -> DataFrame:
-    return tickets.agg(*[c.alias(n) for n, c in status_counts().items()])
+def kpi_counts(tickets: DataFrame, weight: str | None = None) -> DataFrame:
+    """The status counts as one row. A row counts ``weight`` times, if a column is named."""
+    if weight is None:
+        return tickets.agg(*[c.alias(n) for n, c in status_counts().items()])
+    return tickets.agg(*[F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0)).cast("bigint").alias(n) for n, c in status_conditions().items()])
 
 
 def routing_rate(tickets: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from .tickets import pending
 
+_CONTENT = ["decided_at", "kind", "decided_category", "decided_priority", "decided_department", "notes"]
+LAST_DECISION = ("struct<decided_at: timestamp_ntz, kind: string, decided_category: string, decided_priority: string, "
+                 "decided_department: string, notes: string>")
+
 DECISION_SCHEMA = ("id bigint, kind string, decided_category string, decided_priority string, "
                    "decided_department string, notes string, decided_at timestamp_ntz")
 
@@ -25,10 +29,9 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
     The newest time of each ticket is a partial maximum in a hash table, so a ticket with many
     decisions costs one row per task. Only decisions of that time are compared by content.
     """
-    content = ["decided_at", "kind", "decided_category", "decided_priority", "decided_department", "notes"]
     newest = decisions.groupBy(F.col("id").alias("_id")).agg(F.max("decided_at").alias("_at"))
     last = decisions.join(newest, (F.col("id") == F.col("_id")) & (F.col("decided_at") == F.col("_at")), "left_semi")
-    best = last.groupBy("id").agg(F.max(F.struct(*content)).alias("last"))
+    best = last.groupBy("id").agg(F.max(F.struct(*_CONTENT)).alias("last"))
     return best.select("id", "last.*")
 
 
@@ -38,7 +41,27 @@ def apply_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
     Predicted labels stay. A decision on an unknown ticket has no effect, see ``unknown_tickets``.
     """
     last = latest_decisions(with_default_notes(decisions))
-    joined = tickets.join(last, "id", "left")
+    return _decided(tickets.join(last, "id", "left"), tickets.columns)
+
+
+def fold_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``tickets`` with the latest of their ``last_decision`` and of ``decisions``; the rest as it was uploaded.
+
+    Decisions may come in any order and any number of times: the result is that of all of them at once.
+    """
+    newer = latest_decisions(with_default_notes(decisions)).select("id", F.struct(*_CONTENT).alias("_newer"))
+    joined = tickets.join(newer, "id", "left").withColumn("last_decision", F.greatest("last_decision", "_newer"))
+    return joined.select(*tickets.columns)
+
+
+def present(tickets: DataFrame) -> DataFrame:
+    """Current state of tickets that carry their ``last_decision``, as ``apply_decisions`` gives it."""
+    columns = [c for c in tickets.columns if c != "last_decision"]
+    return _decided(tickets.select(*columns, "last_decision.*"), columns)
+
+
+def _decided(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of tickets beside their latest decision, if any, as it changes them."""
     decided = F.col("decided_at").isNotNull()
 
     def pick(new: str | Column, old: str) -> Column:
@@ -55,7 +78,7 @@ def apply_decisions(tickets: DataFrame, decisions: DataFrame) -> DataFrame:
         "reviewed_at": pick("decided_at", "reviewed_at"),
         "updated_at": pick("decided_at", "updated_at"),
     }
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in tickets.columns])
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in columns])
 
 
 def unknown_tickets(decisions: DataFrame, tickets: DataFrame) -> DataFrame:

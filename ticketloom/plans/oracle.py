@@ -317,6 +317,10 @@ b AS (SELECT *, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY id) AS si
 SELECT {_AS_STATE}, CASE WHEN {_PENDING} THEN 'RESOLVED' ELSE routing_status END AS routing_status,
   is_reviewed OR ({_PENDING}) AS is_reviewed, CASE WHEN {_PENDING} THEN {_q(fixed.PASS_ALL_NOTE)} ELSE reviewer_notes END AS reviewer_notes FROM a
 UNION ALL SELECT {_AS_STATE}, routing_status, false, NULL FROM b WHERE routing_status <> 'HUMAN_REVIEW'"""
+ORACLE["d12_compacted_table"] = ORACLE["d12_ticket_table"]
+ORACLE["d1_snapshot_lookup"] = ORACLE["d1_by_business_id"]
+ORACLE["d2_snapshot_filter"] = ORACLE["d2_faceted_filter"]
+ORACLE["d5_snapshot_queue"] = ORACLE["d5_review_queue"]
 ORACLE["b6_stream_into_table"] = _TO_TRIAGED + f"""SELECT row_number() OVER (ORDER BY id) AS id, ticket_id,
   {_q(fixed.UNKNOWN_CUSTOMER)} AS customer_name, confidence, final_priority, routing_status FROM triaged WHERE length(review) >= 3"""
 ORACLE["b6_stream_without_ids"] = _TO_TRIAGED + """SELECT review, routing_status, count(*) AS tickets, count(*) AS ids
@@ -350,6 +354,7 @@ _COUNTED = ", ".join(
        for g in ("category", "department") for v in _GROUPS[g]])
 ORACLE["e6_summary"] = _CURRENT + f"""SELECT * EXCLUDE (n, s), {_percent('auto_routed_count', 'total_tickets')} AS auto_routing_rate,
   {_AVG} AS avg_confidence FROM (SELECT {_KPI}, {_CONF}, {_COUNTED} FROM cur)"""
+ORACLE["e6_snapshot_summary"] = ORACLE["e6_summary"]
 ORACLE["e7_percentage_change"] = _change("""SELECT o_custkey AS name,
   count(*) FILTER (o_orderdate >= TIMESTAMP '2000-01-01') AS current,
   count(*) FILTER (o_orderdate < TIMESTAMP '1996-01-01') AS previous FROM orders GROUP BY o_custkey"""
@@ -386,6 +391,7 @@ ORACLE["e11_all_trends"] = _CURRENT + _change(" UNION ALL ".join(
 ORACLE["e11_trends_from_cube"] = ORACLE["e11_all_trends"]
 ORACLE["e12_live_kpis"] = _TO_TRIAGED + """SELECT routing_status, final_category, final_priority, final_department,
   count(*) AS tickets FROM triaged GROUP BY ALL"""
+ORACLE["e12_live_review_kpis"] = _CURRENT + f"SELECT {_KPI} FROM cur WHERE id % 13 <> 0"
 
 # --- F ---
 

@@ -15,6 +15,7 @@ from ..operators import (analytics, classifier, evalsets, extract, ingest, metri
                          quality, review, scenario, splits, tickets, triage)
 from ..scratch import fresh_folder, stored
 from ..sources import csv_tickets, records, store, ticket_table
+from ..streaming import reviews as review_streams
 from ..streaming import tickets as streams
 from . import tickets as data
 
@@ -452,6 +453,65 @@ def d12_ticket_table(spark, d):
     return table.state().select("ticket_id", *STATE)
 
 
+@query
+def d12_compacted_table(spark, d):
+    """The history of ``d12_ticket_table`` with a snapshot after each of its steps but the last."""
+    table = ticket_table.TicketTable(spark, fresh_folder(spark, "compacted-table"))
+    uploads = ingest.as_stored(triage.triage(clean(spark, d, named=True)), data.as_of())
+    table.append_batch(uploads.filter(_order_number() % 2 == 0), "first")
+    table.compact()
+    table.decide(_numbered_decisions(spark, d, table).filter("kind = 'resolve'"))
+    table.compact()
+    table.pass_all(data.as_of())
+    table.append_batch(uploads.filter(_order_number() % 2 == 1), "second")
+    table.compact()
+    table.delete_pending(data.as_of())
+    return table.state().select("ticket_id", *STATE)
+
+
+def _numbered_decisions(spark, d, table):
+    """The decisions of the benchmark tables with the ids that a ticket table gave to their tickets."""
+    ids = table.tickets().select(F.col("id").alias("_id"), "ticket_id")
+    named = data.decisions(spark, d).withColumn("ticket_id", F.concat(F.lit("TCK-"), F.col("id").cast("string")))
+    return named.join(ids, "ticket_id").withColumn("id", F.col("_id"))
+
+
+def _snapshot_state(spark, d):
+    """Present tickets from a snapshot of half the tickets and overrides, what was decided since, and a batch since."""
+    table = ticket_table.TicketTable(spark, fresh_folder(spark, "snapshot"))
+    uploads = stored(ingest.as_stored(triage.triage(clean(spark, d, named=True)), F.col("created_at").cast("timestamp_ntz")), "uploads")
+    table.append_batch(uploads.filter(_order_number() % 2 == 0), "even")
+    table.decide(_numbered_decisions(spark, d, table).filter("kind = 'override'"))
+    table.compact()
+    table.decide(_numbered_decisions(spark, d, table).filter("kind <> 'override'"))
+    table.append_batch(uploads.filter(_order_number() % 2 == 1), "odd")
+    table.decide(_numbered_decisions(spark, d, table))
+    return table.state()
+
+
+@query
+def d1_snapshot_lookup(spark, d):
+    found = tickets.by_business_id(_snapshot_state(spark, d), f"TCK-{LOOKUP_ID}")
+    return found.withColumn("id", _order_number()).select(*STATE)
+
+
+@query
+def d2_snapshot_filter(spark, d):
+    rows = _snapshot_state(spark, d).withColumn("id", _order_number())
+    return tickets.faceted(rows, category="Billing", priority="High", department="", routing_status="AUTO_ROUTED").select(*STATE)
+
+
+@query
+def d5_snapshot_queue(spark, d):
+    rows = _snapshot_state(spark, d).withColumn("id", _order_number())
+    return tickets.review_queue(rows).select("id", "escalated", iso("created_at"))
+
+
+@query
+def e6_snapshot_summary(spark, d):
+    return analytics.summary_flat(_snapshot_state(spark, d))
+
+
 def _order_number():
     return F.substring_index("ticket_id", "-", -1).cast("bigint")
 
@@ -613,6 +673,21 @@ def e12_live_kpis(spark, d):
     return streams.latest_counts(spark, f"{sink}/out")
 
 
+@query
+def e12_live_review_kpis(spark, d):
+    """KPIs from a stream of uploads, decisions and deletions (of every 13th ticket), two files of each at a time."""
+    folder = fresh_folder(spark, "live-reviews")
+    events = {"uploads": stored_tickets(spark, d).select("id", *review_streams.GROUP), "decisions": data.decisions(spark, d),
+              "deletions": data.raw_tickets(spark, d).filter("id % 13 = 0").select("id")}
+    arriving = {}
+    for name, rows in events.items():
+        rows.repartition(6).write.parquet(f"{folder}/{name}")
+        arriving[name] = streams.read_ticket_files(spark, f"{folder}/{name}", rows.schema, "*.parquet", files_per_batch=2)
+    stream = review_streams.review_events(arriving["uploads"], arriving["decisions"], arriving["deletions"])
+    review_streams.live_review_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return review_streams.kpis_from_review_counts(review_streams.latest_review_counts(spark, f"{folder}/out"))
+
+
 # --- F. Data quality ----------------------------------------------------------------------
 
 

@@ -10,7 +10,10 @@ Folder layout under the table's root:
 * ``touched/``: tickets with a decision or deletion, as they were uploaded. It is written before the decision, so
   the cube less the touched tickets plus their present state is the cube of the present state at any time.
 * ``refused/batch=<id>/``: rows of a batch that repeated a ticket id, where the batch was to set them aside.
-* ``decisions/`` and ``deletions/``: append-only logs. Repeating an append changes nothing.
+* ``decisions/since=<version>/`` and ``deletions/since=<version>/``: append-only logs, by the snapshot that was the
+  last one when a row was written. Repeating an append changes nothing.
+* ``compacted/v<version>/``: a snapshot (``snapshot``), the tickets with their latest decision, without deleted ones, in
+  buckets by id. ``snapshots/`` has a row per complete snapshot; readers take the newest one and what came after it.
 
 One writer at a time is assumed; readers may come at any time.
 """
@@ -29,7 +32,7 @@ from ..functions import fixed
 from ..operators import analytics, ingest, review
 from ..operators.ordering import number_rows
 from ..scratch import stored
-from . import id_filter
+from . import id_filter, snapshot
 
 _TEXTS = ("ticket_id customer_name contact_number review timestamp predicted_category predicted_priority "
           "predicted_department").split()
@@ -46,6 +49,7 @@ _GROUP_SCHEMA = "routing_status string, " + ", ".join(f"{c} string" for c in _LA
 _CUBE = f"hour timestamp_ntz, exact boolean, {_GROUP_SCHEMA}, tickets bigint, batch string"
 _TOUCHED = f"id bigint, created_at timestamp_ntz, {_GROUP_SCHEMA}"
 _DELETIONS = "id bigint, deleted_at timestamp_ntz"
+_FOLDED = f"{SCHEMA}, last_decision {review.LAST_DECISION}"
 
 
 class DuplicateTickets(ValueError):
@@ -79,9 +83,56 @@ class TicketTable:
         return rows.join(self.batches().select("batch").distinct(), "batch", "left_semi").drop("batch", "created_month")
 
     def state(self, since_month: str | None = None, until_month: str | None = None) -> DataFrame:
-        """Tickets as they are now: the latest decision of each, without deleted ones."""
-        live = review.without_deleted(self.tickets(since_month, until_month), self._log("deletions", _DELETIONS))
-        return review.apply_decisions(live, self._log("decisions", review.DECISION_SCHEMA))
+        """Tickets as they are now: the latest decision of each, without deleted ones.
+
+        Of the whole table this is the newest snapshot with what was logged since, and the batches since. Months are
+        read from the batches, which are stored by month.
+        """
+        if since_month is not None or until_month is not None:
+            live = review.without_deleted(self.tickets(since_month, until_month), self._deletions())
+            return review.apply_decisions(live, self._decisions())
+        return review.present(self._folded(self._newest_snapshot()))
+
+    def _decisions(self, since: int = 0) -> DataFrame:
+        """Decisions written when snapshot ``since`` was there or later."""
+        return self._log("decisions", f"{review.DECISION_SCHEMA}, since int").filter(F.col("since") >= since).drop("since")
+
+    def _deletions(self, since: int = 0) -> DataFrame:
+        return self._log("deletions", f"{_DELETIONS}, since int").filter(F.col("since") >= since).drop("since")
+
+    def _newest_snapshot(self) -> snapshot.Snapshot:
+        newest = self._log("snapshots", snapshot.SCHEMA).orderBy(F.desc("version")).first()
+        return snapshot.Snapshot(*newest) if newest else snapshot.NONE
+
+    def _folded(self, at: snapshot.Snapshot) -> DataFrame:
+        """Every present ticket as uploaded with its ``last_decision``, from snapshot ``at`` and what came after it.
+
+        The snapshot is joined with the logs bucket by bucket, so its rows stay where they are; only the rows of
+        the logs since and the tickets of the batches since are shuffled. A log row may be older than its
+        ticket, so the new tickets are joined with all log rows of their ids.
+        """
+        newer = self.tickets(batches=[r.batch for r in self.batches().filter(F.col("first_id") >= at.below).select("batch").distinct().collect()]
+                             if at.version else None)
+        fresh = review.without_deleted(newer, self._deletions().filter(F.col("id") >= at.below))
+        folded = review.fold_decisions(fresh.withColumn("last_decision", F.lit(None).cast(review.LAST_DECISION)),
+                                       self._decisions().filter(F.col("id") >= at.below))
+        if not at.version:
+            return folded
+        old = review.without_deleted(snapshot.read(self.spark, self.root, at, _FOLDED), self._deletions(at.version))
+        return review.fold_decisions(old, self._decisions(at.version)).unionByName(folded)
+
+    def compact(self, buckets: int | None = None) -> int:
+        """Write the present tickets as the next snapshot and return its version. Readers see no difference.
+
+        ``buckets`` (as many as shuffle partitions unless given) should let a bucket fit a task. A compaction that broke
+        off is not listed and the next one replaces it.
+        """
+        at = self._newest_snapshot()
+        below = self.batches().agg(F.max(F.col("first_id") + F.col("tickets"))).first()[0] or 1
+        made = snapshot.Snapshot(at.version + 1, below, buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        snapshot.write(self._folded(at), self.root, made, _FOLDED)
+        self.spark.createDataFrame([tuple(made)], snapshot.SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
+        return made.version
 
     def refused(self) -> DataFrame:
         """Rows of complete batches that were set aside because their ticket id was taken."""
@@ -151,7 +202,7 @@ class TicketTable:
         names = [part.split()[0] for part in review.DECISION_SCHEMA.split(", ")]
         decisions = stored(decisions.select(*names), "decisions")
         self._touch(decisions)
-        decisions.select(*names).write.mode("append").parquet(f"{self.root}/decisions")
+        decisions.select(*names).write.mode("append").parquet(f"{self.root}/decisions/since={self._newest_snapshot().version}")
 
     def pass_all(self, as_of: Column) -> None:
         self.decide(review.pass_all_decisions(self.state(), as_of))
@@ -165,7 +216,8 @@ class TicketTable:
     def _delete(self, ids: DataFrame, as_of: Column) -> None:
         ids = stored(ids.select("id"), "deletions")
         self._touch(ids)
-        ids.select("id", as_of.alias("deleted_at")).write.mode("append").parquet(f"{self.root}/deletions")
+        ids.select("id", as_of.alias("deleted_at")).write.mode("append").parquet(
+            f"{self.root}/deletions/since={self._newest_snapshot().version}")
 
     def _touch(self, changed: DataFrame) -> None:
         """Keep the uploaded form of the tickets of ``changed`` (id); only batches whose ids they can have are read."""
@@ -184,8 +236,7 @@ class TicketTable:
         touched = self._log("touched", _TOUCHED).dropDuplicates(["id"])
         blank = {"reviewer_notes": "string", "reviewed_at": "timestamp_ntz", "updated_at": "timestamp_ntz"}
         before = touched.withColumns({name: F.lit(None).cast(kind) for name, kind in blank.items()})
-        after = review.apply_decisions(review.without_deleted(before, self._log("deletions", _DELETIONS)),
-                                       self._log("decisions", review.DECISION_SCHEMA))
+        after = review.apply_decisions(review.without_deleted(before, self._deletions()), self._decisions())
         parts = [uploaded.drop("batch"), _counted(before.withColumn("tickets", F.lit(-1))), _counted(after.withColumn("tickets", F.lit(1)))]
         whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
         return whole.groupBy("hour", "exact", *_GROUP).agg(F.sum("tickets").alias("tickets")).filter("tickets <> 0")
