@@ -87,6 +87,22 @@ def test_line_dedup_by_brute_force(spark, seed):
     assert got == line_dedup_by_hand(rows)
 
 
+def test_line_dedup_passes_columns_of_its_own_names_through(spark):
+    rows = [(i, "a line that is long enough to count\nown") for i in range(4)] + [(9, None)]
+    plain = line_dedup.deduplicate(documents(spark, rows), "doc_id", "text").collect()
+    own = {n: F.concat(F.lit(f"{n} "), F.col("doc_id")) for n in ("_words", "_gone", "_DOC", "_row", "_lines", "_row_hash", "__words", "doc", "h2")}
+    marked = documents(spark, rows).withColumns({**own, "n_lines": F.lit("old")})
+    found = line_dedup.deduplicate(marked, "doc_id", "text")
+    assert found.columns == ["doc_id", "text", *own, "kept_text", "n_lines", "n_dropped"]
+    kept = found.collect()
+    assert all(r[n] == f"{n} {r.doc_id}" for r in kept for n in own)
+    brief = lambda rows: sorted((r.doc_id, r.kept_text or "", r.n_lines, r.n_dropped) for r in rows)
+    assert brief(kept) == brief(plain) and sum(r.n_dropped for r in kept) == 3
+    renamed = documents(spark, rows).withColumnsRenamed({"doc_id": "_doc", "text": "_lines"})
+    again = line_dedup.deduplicate(renamed, "_doc", "_lines").withColumnRenamed("_doc", "doc_id")
+    assert brief(again.collect()) == brief(plain)
+
+
 def test_bitmaps_are_sparse_words(spark):
     rows = [(i, "\n".join(["own"] * 130 + ["a line that is long enough to count"])) for i in range(4)]
     found = {r.doc: [(w["index"], w.bits) for w in r.words] for r in line_dedup.keep_bitmaps(documents(spark, rows), "doc_id", "text").collect()}

@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    longest = max((len(c) - len(c.lstrip("_")) for c in taken), default=0)
+    return ["_" * (longest + 1) + name for name in wanted]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, also where ``body`` has lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

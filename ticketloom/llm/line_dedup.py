@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import stored
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, free_names
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -102,22 +102,22 @@ def _dropped_positions(words: Column) -> Column:
 
 def apply_bitmaps(df: DataFrame, key: str, text: str, bitmaps: DataFrame) -> DataFrame:
     """``df`` with the lines its bitmaps keep, the line count before, and the number dropped, in
-    ``kept_text``, ``n_lines`` and ``n_dropped``. A document that keeps everything keeps its text,
-    null included."""
-    marks = bitmaps.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("words").alias("_words"))
-    joined = df.withColumn("_row_hash", row_hash(key, text)).join(
-        marks.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_row_hash") == F.col("_row")), "left")
-    placed = joined.withColumn("_gone", F.when(F.col("_words").isNotNull(), _dropped_positions(F.col("_words"))))
+    ``kept_text``, ``n_lines`` and ``n_dropped``, which replace columns of these names. A document that keeps everything
+    keeps its text, null included. Other columns pass through, whatever their names."""
+    doc, row, words, gone, lines = free_names(df, "doc", "row", "words", "gone", "lines")
+    marks = bitmaps.select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("words").alias(words))
+    joined = df.join(marks.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(doc)) & (row_hash(key, text) == F.col(row)), "left")
+    placed = joined.withColumn(gone, F.when(F.col(words).isNotNull(), _dropped_positions(F.col(words))))
     all_lines = lines_of(F.col(text))
     n_lines = F.size(all_lines)
-    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("_gone"))
-    source = placed.withColumn("_lines", F.when(F.col("_gone").isNotNull(), all_lines))
-    shorter = F.array_join(F.transform(kept, lambda p: F.get(F.col("_lines"), p)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col(gone))
+    source = placed.withColumn(lines, F.when(F.col(gone).isNotNull(), all_lines))
+    shorter = F.array_join(F.transform(kept, lambda p: F.get(F.col(lines), p)), "\n")
     names = [F.col(f"`{c}`") for c in df.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     return source.select(
-        *names, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(shorter).alias("kept_text"),
+        *names, F.when(F.col(gone).isNull(), F.col(text)).otherwise(shorter).alias("kept_text"),
         n_lines.cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"))
+        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_dropped"))
 
 
 def deduplicate(df: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS,
