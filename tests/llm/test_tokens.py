@@ -103,6 +103,28 @@ def test_bounded_best_fit(spark, open_sequences):
     assert check_places(rows, 100) <= (1.7 if open_sequences < 10 else 1.1) * sum(lengths) / 100 + 5
 
 
+def test_a_place_does_not_depend_on_later_pieces(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(1, packing.CAPACITY)) for i in range(3000)]
+    place = lambda n: {r.doc_id: (r.sequence_id, r.offset) for r in packing.pack(
+        spark.createDataFrame(rows[:n], "doc_id long, length long").repartition(5), "length", tokens_per_task=1 << 30).collect()}
+    early, whole = place(1500), place(3000)
+    assert all(whole[i] == place for i, place in early.items())
+
+
+def test_the_bound_binds_at_the_size_of_a_task():
+    rng = random.Random(6)
+    places, closed, total = packing.OpenSequences(packing.CAPACITY, packing.OPEN_SEQUENCES), 0, 0
+    while total < packing.TOKENS_PER_TASK:
+        # A third of short pieces and two thirds over half a sequence, which open one each.
+        length = rng.randint(1, 1000) if rng.random() < 0.33 else rng.randint(2100, packing.CAPACITY)
+        closed += not places.bits >> length and places.open == packing.OPEN_SEQUENCES
+        places.place(length)
+        assert places.open <= packing.OPEN_SEQUENCES
+        total += length
+    assert closed > 100
+
+
 def test_best_fit_takes_the_fullest_that_fits():
     places = packing.OpenSequences(10, 3)
     assert [places.place(n) for n in (6, 8, 3, 2, 5, 1, 10, 5)] == [(0, 0), (1, 0), (0, 6), (1, 8), (2, 0), (0, 9), (3, 0), (2, 5)]

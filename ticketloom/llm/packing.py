@@ -7,9 +7,9 @@ its length, which is the fullest sequence it fits. Where none fits, a new sequen
 places are taken the fullest one closes first.
 
 A packing task needs enough pieces to fill sequences well, and no more: tasks are made for about
-``TOKENS_PER_TASK`` tokens each, so their number follows the input. Inside a task pieces come by
-falling length, so the long ones open sequences and the short ones fill them: this is best-fit decreasing
-per task in place of the online form, and at this task size the bound on open sequences is not reached.
+``TOKENS_PER_TASK`` tokens each, so their number follows the input. Inside a task pieces arrive in order
+of their key, not of their length: packing is online, and a piece is placed before the next one is seen.
+About 1,000 sequences come of such a task and at most ``OPEN_SEQUENCES`` are open at a time, so the bound binds.
 
 Defined cases: a null text is empty and is its closing id alone; only documents longer than the
 capacity are cut; rows that repeat a document are packed each on their own; a null key is a row like
@@ -31,7 +31,7 @@ from . import bpe
 
 CAPACITY = 4096
 CLOSING_ID = 1
-OPEN_SEQUENCES = 4096
+OPEN_SEQUENCES = 256
 TOKENS_PER_TASK = 4_000_000
 
 
@@ -104,11 +104,12 @@ def pack(pieces: DataFrame, length: str, capacity: int = CAPACITY, open_sequence
     spark = pieces.sparkSession
     total = pieces.agg(F.sum(length)).first()[0] or 0
     tasks = max(1, -(-total // tokens_per_task))
-    # Pieces go to tasks by a hash of all they are, so a hot key spreads and a lost task repeats.
+    # Pieces go to tasks by a hash of all they are, so a hot key spreads. They arrive in order of all columns, so
+    # a lost task repeats.
     columns = pieces.columns
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(tasks)).cast("int")
     dealt = pieces.withColumn("_task", spread).repartition(int(tasks), "_task").sortWithinPartitions(
-        "_task", F.desc(length), *[c for c in columns if c != length])
+        "_task", *[F.col(f"`{c}`") for c in columns])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, opened = None, None
