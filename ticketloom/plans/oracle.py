@@ -320,6 +320,8 @@ UNION ALL SELECT {_AS_STATE}, routing_status, false, NULL FROM b WHERE routing_s
 ORACLE["d12_compacted_table"] = ORACLE["d12_ticket_table"]
 ORACLE["d1_snapshot_lookup"] = ORACLE["d1_by_business_id"]
 ORACLE["d2_snapshot_filter"] = ORACLE["d2_faceted_filter"]
+ORACLE["d3_indexed_search"] = ORACLE["d3_keyword_search"]
+ORACLE["d3_indexed_name_search"] = ORACLE["d3_name_search"]
 ORACLE["d5_snapshot_queue"] = ORACLE["d5_review_queue"]
 ORACLE["b6_stream_into_table"] = _TO_TRIAGED + f"""SELECT row_number() OVER (ORDER BY id) AS id, ticket_id,
   {_q(fixed.UNKNOWN_CUSTOMER)} AS customer_name, confidence, final_priority, routing_status FROM triaged WHERE length(review) >= 3"""

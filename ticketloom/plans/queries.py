@@ -14,7 +14,7 @@ from ..functions.numbers import round_half_up
 from ..operators import (analytics, classifier, evalsets, extract, ingest, metrics, neardup, ordering,
                          quality, review, scenario, splits, tickets, triage)
 from ..scratch import fresh_folder, stored
-from ..sources import csv_tickets, records, store, ticket_table
+from ..sources import csv_tickets, records, search_index, store, ticket_table
 from ..streaming import reviews as review_streams
 from ..streaming import tickets as streams
 from . import tickets as data
@@ -512,6 +512,27 @@ def e6_snapshot_summary(spark, d):
     return analytics.summary_flat(_snapshot_state(spark, d))
 
 
+def _indexed_search(spark, d, term):
+    """A search of tickets of which half are in the index, and a batch came after it."""
+    table = ticket_table.TicketTable(spark, fresh_folder(spark, "indexed"))
+    index = search_index.SearchIndex(table)
+    uploads = stored(ingest.as_stored(triage.triage(clean(spark, d, named=True)), F.col("created_at").cast("timestamp_ntz")), "uploads")
+    table.append_batch(uploads.filter(_order_number() % 2 == 0), "even")
+    index.extend()
+    table.append_batch(uploads.filter(_order_number() % 2 == 1), "odd")
+    return index.search(term).select(_order_number().alias("id"), "customer_name")
+
+
+@query
+def d3_indexed_search(spark, d):
+    return _indexed_search(spark, d, SEARCH)
+
+
+@query
+def d3_indexed_name_search(spark, d):
+    return _indexed_search(spark, d, "customer%7")
+
+
 def _order_number():
     return F.substring_index("ticket_id", "-", -1).cast("bigint")
 
