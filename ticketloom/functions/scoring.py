@@ -24,13 +24,14 @@ def first_list_with_hits(lowered: str, rules: list[tuple[str, list[str]]]) -> Co
     """``hits * 16 + list number`` of the first list with a hit; below 16 when none has one.
 
     A fold over the lists, so that lists after the first hit are not searched. ``lowered`` names
-    a column: an expression would be evaluated again for every word.
+    a column. Spark may put the column's own expression in its place, and what stands inside a lambda is
+    evaluated for every word; as the one element of an array it is evaluated once for a row.
     """
     lists = ", ".join(f"named_struct('rank', {rank}, 'words', {_word_array(words)})"
                       for rank, (_, words) in enumerate(rules))
     return F.expr(
-        f"aggregate(array({lists}), 0, (found, entry) -> CASE WHEN found >= {_RANKS} THEN found "
-        f"ELSE size(filter(entry.words, word -> contains({lowered}, word))) * {_RANKS} + entry.rank END)")
+        f"transform(array({lowered}), text -> aggregate(array({lists}), 0, (found, entry) -> CASE WHEN found >= {_RANKS} THEN found "
+        f"ELSE size(filter(entry.words, word -> contains(text, word))) * {_RANKS} + entry.rank END))[0]")
 
 
 def found_label(found: Column, rules: list[tuple[str, list[str]]], fallback: str) -> Column:

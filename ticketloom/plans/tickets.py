@@ -175,12 +175,12 @@ def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded tickets without a customer name: one scan of ``orders``, no join."""
-    return project(balanced(table(spark, sf_dir, "orders")), RAW_COLUMNS)
+    return project(balanced(table(spark, sf_dir, "orders"), keep=True), RAW_COLUMNS)
 
 
 def named_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded tickets with the customer name (null when the customer is unknown)."""
-    orders, customer = balanced(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
+    orders, customer = balanced(table(spark, sf_dir, "orders"), keep=True), table(spark, sf_dir, "customer")
     joined = orders.join(customer.select("c_custkey", "c_name"),
                          orders.o_custkey == customer.c_custkey, "left")
     return project(joined, {**RAW_COLUMNS, "customer_name": "c_name"})
@@ -188,7 +188,7 @@ def named_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gappy_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploaded tickets whose name, contact or time may be missing."""
-    orders, customer = balanced(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
+    orders, customer = balanced(table(spark, sf_dir, "orders"), keep=True), table(spark, sf_dir, "customer")
     joined = orders.join(customer.select("c_custkey", "c_name"),
                          orders.o_custkey == customer.c_custkey, "left")
     return project(joined, {**RAW_COLUMNS, **GAPPY_COLUMNS})
@@ -196,7 +196,7 @@ def gappy_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat labelled records: the eight fields, the metadata, and the numeric id."""
-    orders, customer = balanced(table(spark, sf_dir, "orders")), table(spark, sf_dir, "customer")
+    orders, customer = balanced(table(spark, sf_dir, "orders"), keep=True), table(spark, sf_dir, "customer")
     joined = orders.join(customer.select("c_custkey", "c_name"),
                          orders.o_custkey == customer.c_custkey, "left")
     return project(joined, {**RAW_COLUMNS, "customer_name": "c_name", **METADATA_COLUMNS})

@@ -7,6 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
+# Rows of a task where each row is worth some hundred microseconds.
+TASK_ROWS = 50_000
+_FEW_ROWS = 10_000
+
 
 def append_tickets(tickets: DataFrame, path: str) -> None:
     """Append tickets under their creation month, so that trend windows read only their months.
@@ -38,10 +44,22 @@ def upload_projection(tickets: DataFrame) -> DataFrame:
     return tickets.select(F.col("customer_name").alias("name"), "contact_number", "review", "timestamp")
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a source with fewer splits than cores over all cores; larger sources stay as read.
+def balanced(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Spread the rows of a file source evenly, over all cores and in tasks of at most some ``TASK_ROWS`` rows.
+
+    Triage is bound by text matching. A split of a file can hold millions of short rows, and a row group is read by one
+    split, so the number of splits doesn't tell how the rows lie: they are counted by split, for which parquet reads
+    no column. A source that lies well stays as it is read.
 
-    Triage is bound by text matching, so one small file would otherwise keep one core busy.
+    Spark moves filters, and what they compute, below a plain repartition, back to the few tasks of the scan. With ``keep``
+    the spread rows are written to the checkpoint folder, so that all work on them is spread.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    sizes = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    rows = sizes.rows or 0
+    tasks = max(cores, -(-rows // TASK_ROWS))
+    if not rows or sizes.largest * tasks <= 2 * rows:
+        return df
+    # A few rows are filtered sooner than they are written.
+    return stored(df.repartition(tasks), "balanced") if keep and sizes.largest > _FEW_ROWS else df.repartition(tasks)
