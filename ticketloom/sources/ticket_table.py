@@ -148,8 +148,9 @@ class TicketTable:
         """
         if not self.batches().filter(F.col("batch") == batch).isEmpty():
             return
+        # Stored first: numbering reads its rows twice, and most batches come with their triage still to be done.
         # Numbered in order of upload: batch ids end in a row number without leading zeros beyond four.
-        rows = number_rows(tickets.select(*ingest.STORED), [F.length("ticket_id"), F.col("ticket_id")], "_number")
+        rows = number_rows(stored(tickets.select(*ingest.STORED), "upload"), [F.length("ticket_id"), F.col("ticket_id")], "_number")
         rows = stored(rows, "batch")
         repeated = stored(self._repeated(rows), "repeated")
         if not set_aside:

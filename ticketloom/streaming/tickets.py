@@ -12,16 +12,22 @@ from ..operators.triage import triage
 
 _VERSIONS = 4
 
+# Tasks per core that a micro-batch is spread over: how many rows it has is not known before it is read.
+_SPREAD = 4
+
 
 def read_ticket_files(spark: SparkSession, folder: str, schema, pattern: str | None = None,
                       files_per_batch: int | None = None) -> DataFrame:
-    """Stream of parquet files that arrive in a folder."""
+    """Stream of parquet files that arrive in a folder.
+
+    A file of one row group is read by one task, so each micro-batch is spread over all cores.
+    """
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(folder).repartition(_SPREAD * spark.sparkContext.defaultParallelism)
 
 
 def triage_stream(tickets: DataFrame, sink: str, checkpoint: str,
