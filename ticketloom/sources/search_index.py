@@ -42,20 +42,29 @@ _INDEXED = "batch string"
 
 def grams(text: Column) -> Column:
     """The distinct grams of a text that is lower-cased already; none for null."""
-    letters = F.split(text, "")
-    starts = F.sequence(F.lit(0), F.size(letters) - WIDTH)
-    cut = F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(WIDTH)]))
-    return F.when(F.char_length(text) >= WIDTH, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    def cut(letters: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(letters) - WIDTH)
+        return F.transform(starts, lambda i: F.concat(*[F.get(letters, i + k) for k in range(WIDTH)]))
+
+    # As the one element of an array the letters are split once; inside a lambda they would be for each gram.
+    runs = F.transform(F.array(F.split(text, "")), cut)[0]
+    return F.when(F.char_length(text) >= WIDTH, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
 def _inverted(tickets: DataFrame) -> DataFrame:
-    """(gram, block, places) of the tickets, in ranges of (gram, block), which are also the groups."""
-    lowered = tickets.select("id", *[F.lower(field).alias(field) for field in FIELDS])
-    own = lowered.select("id", F.array_distinct(F.concat(*[grams(F.col(field)) for field in FIELDS])).alias("_grams"))
+    """(gram, block, places) of the tickets, in ranges of (gram, block).
+
+    Tickets are dealt by block, so a list is made where its block lies and only lists move on, not (gram, place) rows.
+    They are stored before, since ranges read their rows twice.
+    """
+    block = F.floor(F.col("id") / BLOCK)
+    dealt = tickets.select("id", block.alias("block"), *[F.lower(field).alias(field) for field in FIELDS]).repartition("block")
+    own = dealt.select("id", "block", F.array_distinct(F.concat(*[grams(F.col(field)) for field in FIELDS])).alias("_grams"))
     place = F.pmod("id", F.lit(BLOCK)).cast("int")
-    rows = own.select(F.floor(F.col("id") / BLOCK).alias("block"), place.alias("_place"), F.explode("_grams").alias("gram"))
-    lists = rows.repartitionByRange("gram", "block").groupBy("gram", "block").agg(F.collect_list("_place").alias("places"))
-    return lists.select("gram", "block", F.array_sort("places").alias("places")).sortWithinPartitions("gram", "block")
+    rows = own.select("block", place.alias("_place"), F.explode("_grams").alias("gram"))
+    lists = rows.groupBy("gram", "block").agg(F.collect_list("_place").alias("places"))
+    lists = stored(lists.select("gram", "block", F.array_sort("places").alias("places")), "grams")
+    return lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
 
 
 class SearchIndex:
