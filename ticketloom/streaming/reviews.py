@@ -1,35 +1,32 @@
 """Live counts that follow reviews: uploads, decisions and deletions in, counts of the present state out.
 
-Each ticket has a small state of its own: its uploaded group, its latest decision, whether it was deleted. An event that
-moves a ticket to another group gives two changes, one withdrawn and one added. The changes of a micro-batch are
-summed and added to the counts of the batch before, so a version of the counts is a few hundred rows however many
-tickets there are.
+Each micro-batch keeps one row for each ticket it has events of, beside the checkpoint: the ticket's uploaded group, its
+latest decision, whether it was deleted. A ticket's state is the fold of its rows, so a batch reads the rows of the
+batches before it for its own tickets only (a scan of narrow rows, a join by id) and compares the state before
+with the state after. An event that moves a ticket to another group gives two changes, one withdrawn and one added. The
+changes of a micro-batch are summed and added to the counts of the batch before, so a version of the counts is a few
+hundred rows however many tickets there are. All of it is built-in columns; no ticket is handled in Python.
 
 Events may come in any order and any number of times: a decision or deletion may be earlier than its ticket, and the
-first upload of an id counts. State lies in partitions by id; for many tickets choose the RocksDB state store
-(``spark.sql.streaming.stateStore.providerClass``), which keeps it on disk.
+first upload of an id counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import analytics
+from ..scratch import stored
 from .tickets import _VERSIONS, latest_counts
 
 GROUP = ["routing_status", "final_category", "final_priority", "final_department", "is_reviewed"]
 _GROUP_SCHEMA = "routing_status string, final_category string, final_priority string, final_department string, is_reviewed boolean"
 _UPLOAD, _DECISION, _DELETION = "upload", "decision", "deletion"
-# What a ticket's state holds: whether it was uploaded and how, the latest decision (time, kind, labels), whether it was deleted.
-_STATE = ("uploaded boolean, routing_status string, category string, priority string, department string, is_reviewed boolean, "
-          "decided_at string, kind string, to_category string, to_priority string, to_department string, deleted boolean")
-_BLANK = (False, *[None] * 10, False)
+# What a batch keeps of a ticket; decisions compare by time, then content, and a missing value comes first.
+_DECIDED = "at string, kind string, category string, priority string, department string"
+_KEPT = f"id bigint, uploaded struct<{_GROUP_SCHEMA}>, decision struct<{_DECIDED}>, deleted boolean, batch bigint"
 
 
 def review_events(uploads: DataFrame, decisions: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -51,45 +48,41 @@ def review_events(uploads: DataFrame, decisions: DataFrame, deletions: DataFrame
             .unionByName(event(deletions, _DELETION, none, [none] * 3, none, none, none)))
 
 
-def _present_group(state: tuple) -> tuple | None:
-    """The group a ticket counts in now; none before its upload and after its deletion."""
-    uploaded, *as_uploaded, decided_at, _, category, priority, department, deleted = state
-    if not uploaded or deleted:
-        return None
-    return ("RESOLVED", category, priority, department, True) if decided_at is not None else tuple(as_uploaded)
-
+def _by_ticket(events: DataFrame, batch: int) -> DataFrame:
+    """One row for each ticket of a batch's events, in the layout of ``_KEPT``."""
+    def of(kind: str, value: Column) -> Column:
+        return F.when(F.col("event") == kind, value)
 
-def _order(decision: tuple) -> tuple:
-    """Decisions by time, then content; a missing value comes first."""
-    return tuple((value is not None, value or "") for value in decision)
+    labels = ["category", "priority", "department"]
+    uploaded = F.struct("routing_status", *[F.col(n).alias(f"final_{n}") for n in labels], "is_reviewed")
+    decision = F.struct(F.col("decided_at").alias("at"), "kind", *labels)
+    return events.groupBy("id").agg(
+        F.min(of(_UPLOAD, uploaded)).alias("uploaded"), F.max(of(_DECISION, decision)).alias("decision"),
+        F.max(F.col("event") == _DELETION).alias("deleted"), F.lit(batch).cast("bigint").alias("batch"))
 
 
-def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = tuple(state.get) if state.exists else _BLANK
-    uploaded, as_uploaded, decision, deleted = known[0], known[1:6], known[6:11], known[11]
-    before = _present_group(known)
-    for frame in frames:
-        columns = [[None if pd.isna(v) else v for v in frame[c]] for c in
-                   ("event", "routing_status", "category", "priority", "department", "is_reviewed", "decided_at", "kind")]
-        for event, status, category, priority, department, reviewed, at, kind in zip(*columns):
-            if event == _DELETION:
-                deleted = True
-            elif event == _DECISION:
-                decision = max(decision, (at, kind, category, priority, department), key=_order)
-            elif not uploaded:
-                uploaded, as_uploaded = True, (status, category, priority, department, None if reviewed is None else bool(reviewed))
-    now = (uploaded, *as_uploaded, *decision, deleted)
-    state.update(now)
-    after = _present_group(now)
-    if before != after:
-        rows = [(*group, change) for group, change in ((before, -1), (after, 1)) if group is not None]
-        yield pd.DataFrame(rows, columns=[*GROUP, "change"]).astype({"is_reviewed": "object"})
+def _present_group(uploaded: Column, decision: Column, deleted: Column) -> Column:
+    """The group a ticket counts in now; null before its upload and after its deletion."""
+    resolved = F.struct(F.lit("RESOLVED").alias(GROUP[0]), *[decision[n].alias(f"final_{n}") for n in ("category", "priority", "department")],
+                        F.lit(True).alias(GROUP[4]))
+    return F.when(uploaded.isNull() | deleted, None).when(decision.isNotNull(), resolved).otherwise(uploaded)
 
 
-def group_changes(events: DataFrame) -> DataFrame:
-    """Stream of (group, change): -1 where a ticket leaves a group, 1 where it arrives."""
-    return events.groupBy("id").applyInPandasWithState(
-        _follow, f"{_GROUP_SCHEMA}, change bigint", _STATE, "append", GroupStateTimeout.NoTimeout)
+def group_changes(kept: DataFrame, known: DataFrame, batch: int) -> DataFrame:
+    """(group, tickets) of a batch: how many more or fewer tickets a group has after it. ``kept`` has the batch's own
+    rows, ``known`` those of the batches before it."""
+    rows = kept.unionByName(known.join(kept.select("id"), "id", "left_semi"))
+    earlier = F.col("batch") < batch
+    first = F.min(F.when(F.col("uploaded").isNotNull(), F.struct("batch", "uploaded")))
+    folded = rows.groupBy("id").agg(
+        first.alias("_first"), F.max("decision").alias("_decision"), F.max("deleted").alias("_deleted"),
+        F.max(F.when(earlier, F.col("decision"))).alias("_decided"), F.coalesce(F.max(earlier & F.col("deleted")), F.lit(False)).alias("_gone"))
+    before = _present_group(F.when(F.col("_first.batch") < batch, F.col("_first.uploaded")), F.col("_decided"), F.col("_gone"))
+    after = _present_group(F.col("_first.uploaded"), F.col("_decision"), F.col("_deleted"))
+    moved = folded.select(before.alias("_before"), after.alias("_after")).filter(~F.col("_before").eqNullSafe(F.col("_after")))
+    sides = F.array(F.struct(F.col("_before").alias("group"), F.lit(-1).alias("change")), F.struct(F.col("_after").alias("group"), F.lit(1).alias("change")))
+    return moved.select(F.explode(sides).alias("_side")).filter("_side.group IS NOT NULL").select("_side.group.*", "_side.change").groupBy(
+        *GROUP).agg(F.sum("change").alias("tickets"))
 
 
 def live_review_stream(events: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
@@ -98,9 +91,12 @@ def live_review_stream(events: DataFrame, sink: str, checkpoint: str) -> Streami
     The version of a batch is that of the batch before plus the batch's changes. A batch that is retried starts from
     the same version and replaces itself.
     """
-    def save(changes: DataFrame, batch: int) -> None:
-        spark = changes.sparkSession
-        counted = changes.groupBy(*GROUP).agg(F.sum("change").alias("tickets"))
+    def save(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        _by_ticket(rows, batch).drop("batch").write.mode("overwrite").parquet(f"{checkpoint}/tickets/batch={batch}")
+        log = spark.read.schema(_KEPT).parquet(f"{checkpoint}/tickets")
+        own, known = (log.filter(F.col("batch") == batch), log.filter(F.col("batch") < batch))
+        counted = stored(group_changes(own, known, batch), "changes")
         if batch:
             earlier = spark.read.parquet(f"{sink}/slot={(batch - 1) % _VERSIONS}").select(*GROUP, "tickets").filter("tickets <> 0")
             counted = counted.unionByName(earlier).groupBy(*GROUP).agg(F.sum("tickets").alias("tickets"))
@@ -111,7 +107,7 @@ def live_review_stream(events: DataFrame, sink: str, checkpoint: str) -> Streami
         version.withColumn("batch", F.lit(batch).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(
             f"{sink}/slot={batch % _VERSIONS}")
 
-    return (group_changes(events).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 
 
