@@ -113,3 +113,30 @@ def test_parities_never_lose_a_pair(spark):
     similar = F.size(F.array_intersect("a", "b")) * 100 >= F.size(F.array_union("a", "b")) * 85
     allowed = neardup._bits_allow(F.col("pa"), F.col("pb"), F.size("a") + F.size("b"), 85)
     assert pairs.filter(similar).count() > 50 and pairs.filter(similar & ~allowed).isEmpty()
+
+
+def test_unlike_texts_of_common_shingles_share_hardly_a_part(spark, monkeypatch):
+    """Each shingle is in many of the texts; parts of several are not, so the lists stay nearly empty."""
+    listed, leaders = [], neardup._leaders
+
+    def counted(postings, count):
+        listed.append(postings.count())
+        return leaders(postings, count)
+
+    monkeypatch.setattr(neardup, "_leaders", counted)
+    texts = spark.range(2000).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(
+        F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(12)).cast("string"))), " ").alias("text"))
+    assert neardup.near_duplicates(texts, "id", "text").isEmpty()
+    assert sum(listed) < 1000
+
+
+def test_links_at_the_limit_of_every_size(spark):
+    """Texts of many sizes with copies that lack the last words, about as many as the limit lets them, over class borders too."""
+    rows = []
+    for size in [*range(1, 60), 61, 62, 63, 92, 93, 139, 140, 141, 200, 400]:
+        text = [f"s{size}x{i}" for i in range(size)]
+        rows += [" ".join(text), *(" ".join(text[:size - cut]) for cut in {1, size * 14 // 100, size * 15 // 100, size * 16 // 100} if 0 < cut < size)]
+    random.Random(4).shuffle(rows)
+    rows = [(i, text, "a") for i, text in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id bigint, text string, bucket string")
+    assert {r.id for r in neardup.near_duplicates(df, "id", "text", "bucket").collect()} == set(greedy_drops(rows))

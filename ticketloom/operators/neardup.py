@@ -1,8 +1,10 @@
 """Exact near-duplicate removal by word-shingle Jaccard similarity.
 
-Candidates come from prefix filtering (Bayardo 2007, Xiao 2008): with shingles in one global
-order, two sets that are similar enough share a shingle among their first few. No true pair is
-missed, unlike with sampled signatures. Rare shingles come first, so most lists are short.
+A set is cut into parts by a hash of its shingles (Arasu 2006), and a part is known by the hash of all its
+shingles. Two sets that are similar enough differ in few shingles, hence in few parts. Prefix filtering
+(Bayardo 2007, Xiao 2008) goes over the parts: in one global order, the two share one among their first few.
+No true pair is missed, unlike with sampled signatures. Unlike texts share single shingles the more often the
+more texts there are, but hardly ever a part of several; rare parts come first, so most lists are short.
 
 Groups of copies may be huge, so pairs inside a group are never all formed:
 
@@ -18,8 +20,11 @@ Tables that several jobs read are written to the checkpoint folder, see ``scratc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +40,12 @@ LEADERS, MORE_LEADERS = 16, 16
 # Parity bits of a set, in 64-bit words.
 _WORDS = 4
 
-# A shingle in more than this share of all shingles is joined by broadcast, see _frequencies.
+# Sizes of sets up to this are known to ``_classes``.
+_LARGEST = 1 << 32
+# Rows whose shingles are cut into parts at once.
+_SLICE = 500
+
+# A part in more than this share of all parts is joined by broadcast, see _shared_parts.
 _HOT_ROWS = 10_000
 
 
@@ -48,24 +58,109 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _hashed_shingles(words: Column) -> Column:
-    """The distinct word shingles of a text as sorted 64-bit hashes; they are never built as text."""
-    width = fixed.SHINGLE_WORDS
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
-    short = F.array(F.xxhash64(F.array_join(words, " ")))
-    return F.array_sort(F.array_distinct(F.when(F.size(words) >= width, windows).otherwise(short)))
-
-
-def shingle_rows(df: DataFrame, key: str, text: str, bucket: Column) -> DataFrame:
-    """id, bucket, shingle set (64-bit hashes, about as long as the text), set size and a 128-bit digest that equal
-    sets share. Two different shingles of a pair of rows share a hash once in some 10^13 pairs."""
+def _differ(sizes, percent: int):
+    """How many elements only one of two similar sets can have, given both sizes together."""
+    return sizes * (100 - percent) // (100 + percent)
+
+
+def _classes(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest set of each class of sizes, and into how many parts the class cuts a set. A set is similar to sets of its own
+    class, the one below and the one above only. One part more than can differ would do; half as many again leave
+    room to put frequent parts last."""
+    starts = [1]
+    while starts[-1] <= _LARGEST:
+        starts.append(max(starts[-1] * 3 // 2, starts[-1] * 100 // percent) + 1)
+    last = np.array(starts[1:]) - 1
+    return np.array(starts), (_differ(2 * last, percent) + 1) * 3 // 2 + 1
+
+
+def _cutter(percent: int) -> Callable:
+    """Turns batches with the hashed words of a text (``_w``) and its hashed bucket (``_b``) into sets of hashed shingles, sorted, with
+    the hashes of a set's parts in its own class of sizes (``own``) and in the one above (``next``), and how many of the
+    rarest parts must be looked at. A class without a similar unequal set is left out.
+
+    Workers get it by value, whether or not they can import this package."""
+    (starts, parts), slice_rows, width = _classes(percent), _SLICE, fixed.SHINGLE_WORDS
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        """Spread 64-bit values evenly (the finalizer of splitmix64)."""
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def chained(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+        """One hash of the ``count`` words from each start on, in their order."""
+        chain = np.full(len(starts), count, dtype=np.uint64)
+        for k in range(count):
+            chain = mixed(chain * np.uint64(0x9E3779B97F4A7C15) + hashes[starts + k])
+        return chain
+
+    def shingles(lengths: np.ndarray, hashes: np.ndarray):
+        """Sizes and elements of the sets; a text of fewer words than a shingle has is one shingle."""
+        firsts = np.cumsum(lengths) - lengths
+        owners, found = [], []
+        for count in range(width):
+            short = np.flatnonzero(lengths == count)
+            owners.append(short)
+            found.append(chained(hashes, firsts[short], count))
+        runs = np.maximum(lengths - width + 1, 0)
+        owner = np.repeat(np.arange(len(lengths)), runs)
+        owners.append(owner)
+        found.append(chained(hashes, np.arange(len(owner)) - (np.cumsum(runs) - runs)[owner] + firsts[owner], width))
+        owner, values = np.concatenate(owners), np.concatenate(found).view(np.int64)
+        order = np.lexsort((values, owner))
+        owner, values = owner[order], values[order]
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+        return np.bincount(owner[new], minlength=len(lengths)), values[new]
+
+    def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
+
+    def cut(sizes: np.ndarray, hashes: np.ndarray, buckets: np.ndarray, step: int):
+        level = np.searchsorted(starts, sizes, side="right") - 1 + step
+        partner = np.minimum(sizes * 100 // percent, starts[level + 1] - 1)
+        differ = (sizes + partner) * (100 - percent) // (100 + percent)
+        wanted = (differ > 0) & (partner >= starts[level])
+        count = np.where(wanted, parts[level], 0)
+        first = np.cumsum(count) - count
+        inside = np.repeat(wanted, sizes)
+        owner, element = np.repeat(np.arange(len(sizes)), sizes)[inside], hashes[inside]
+        part = ((element >> np.uint64(32)) * count[owner].astype(np.uint64)) >> np.uint64(32)
+        sums = np.zeros(count.sum(), dtype=np.uint64)
+        np.add.at(sums, first[owner] + part.astype(np.int64), mixed(element))
+        holder = np.repeat(np.arange(len(sizes)), count)
+        place = (np.arange(len(sums)) - first[holder] + (level[holder] << 32)).astype(np.uint64)
+        tokens = mixed(sums ^ mixed(buckets[holder] ^ mixed(place)))
+        return [pa.array(differ + 1, pa.int32()), lists(count, tokens.view(np.int64))]
+
+    def add(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, slice_rows):
+                some = batch.slice(start, slice_rows)
+                words = some.column("_w")
+                sizes, values = shingles(np.diff(words.offsets.to_numpy()).astype(np.int64), words.flatten().to_numpy().view(np.uint64))
+                buckets, hashes = some.column("_b").to_numpy().view(np.uint64), mixed(values.view(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("id"), some.column("bucket"), lists(sizes, values), pa.array(sizes, pa.int32()),
+                     *cut(sizes, hashes, buckets, 0), *cut(sizes, hashes, buckets, 1)],
+                    names=["id", "bucket", "sh", "n", "own_need", "own", "next_need", "next"])
+
+    return add
+
+
+def shingle_rows(df: DataFrame, key: str, text: str, bucket: Column, percent: int) -> DataFrame:
+    """id, bucket, shingle set (64-bit hashes, about as long as the text), set size, the parts of the set, and a 128-bit digest that
+    equal sets share. Two different shingles of a pair of rows share a hash once in some 10^13 pairs."""
     # Rows without a bucket are a bucket too.
     named = F.coalesce(F.concat(F.lit("="), bucket.cast("string")), F.lit("none"))
     source = balanced(df.select(key, text, named.alias("bucket")))
-    # The words are a projection of their own, so that they are split once.
-    rows = source.select(F.col(key).alias("id"), "bucket", F.coalesce(normalized_words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
-    return rows.withColumn("sh", _hashed_shingles(F.col("_w"))).select(
-        "id", "bucket", "sh", F.size("sh").alias("n"), F.concat(F.hex(F.xxhash64("sh")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "sh"))).alias("digest"))
+    words = F.coalesce(normalized_words(F.col(text)), F.array().cast("array<string>"))
+    rows = source.select(F.col(key).alias("id"), "bucket", F.xxhash64("bucket").alias("_b"), F.transform(words, lambda w: F.xxhash64(w)).alias("_w"))
+    of_id = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_cutter(percent), f"id {of_id}, bucket string, sh array<bigint>, n int, own_need int, own array<bigint>, "
+                           "next_need int, next array<bigint>").withColumn(
+        "digest", F.concat(F.hex(F.xxhash64("sh")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "sh"))))
 
 
 def _first_of_equal_sets(rows: DataFrame) -> DataFrame:
@@ -73,9 +168,18 @@ def _first_of_equal_sets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "digest").agg(F.min("id").alias("id"))
 
 
-def _representatives(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The first row of each set. It is built once and stored, since every later step reads it."""
-    return stored(rows.join(firsts.select("id"), "id", "left_semi").withColumn("bits", _parities("sh")), "reps")
+def _parts(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The parts of the first row of each set, without the sets."""
+    return rows.select("id", "n", "own_need", "own", "next_need", "next").join(firsts.select("id"), "id", "left_semi")
+
+
+def _sets(rows: DataFrame, postings: DataFrame) -> DataFrame:
+    """The sets of rows that have a candidate, stored, since every later step reads them."""
+    return stored(rows.select("id", "bucket", "sh").join(postings.select("id").distinct(), "id", "left_semi").withColumn("bits", _parities("sh")), "sets")
+
+
+def _with_bits(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    return postings.join(sets.select("id", "bucket", "bits"), "id")
 
 
 def _parities(hashes: str) -> Column:
@@ -94,49 +198,51 @@ def _bits_allow(a: Column, b: Column, sizes: Column, percent: int) -> Column:
     return differ * (100 + percent) <= sizes * (100 - percent)
 
 
-def _hashed(reps: DataFrame) -> DataFrame:
-    """One row per shingle."""
-    return reps.select("id", "bucket", "n", F.explode("sh").alias("h"))
+def _part_rows(parts: DataFrame) -> DataFrame:
+    """One row per part of a set: ``h`` is its hash, ``m`` the number of parts in its class."""
+    classes = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"{name}_need").alias("need"), F.col(name).alias("parts"))
+                        for i, name in enumerate(("own", "next"))])
+    each = parts.select("id", "n", F.explode(classes).alias("c"))
+    return each.select("id", "n", "c.step", "c.need", F.size("c.parts").alias("m"), F.explode("c.parts").alias("h"))
 
 
 def _hot_limit(total: int) -> int:
     return max(1000, total // _HOT_ROWS)
 
 
-def _shared_shingles(rows: DataFrame) -> DataFrame:
-    """Shingles that more than one row of a bucket has, with their frequency.
+def _shared_parts(parts: DataFrame, side: str | None) -> DataFrame:
+    """Parts that more than one row has, or rows of both sides, with their frequency.
 
-    A shingle found once cannot lead to a pair and is dropped early. Very frequent shingles would
+    Any other part cannot lead to a pair and is dropped early. Very frequent parts would
     send many rows to one task of the join, so they are joined by broadcast: at most
-    ``_HOT_ROWS`` shingles can exceed their share of the total.
+    ``_HOT_ROWS`` parts can exceed their share of the total.
     """
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    total = parts.agg(F.sum(F.size("own") + F.size("next"))).first()[0] or 0
     limit = _hot_limit(total)
-    frequencies = stored(
-        _hashed(rows).groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "shingles")
-    keys, tokens = ["bucket", "h"], _hashed(rows)
+    rows = _part_rows(parts)
+    counts = [F.count(F.lit(1)).alias("f")] + ([F.min(side).alias("_from"), F.max(side).alias("_to")] if side else [])
+    frequencies = stored(rows.groupBy("h").agg(*counts).filter("_from != _to" if side else "f > 1").select("h", "f"), "shared")
     hot = frequencies.filter(F.col("f") > limit)
     if hot.isEmpty():
-        return tokens.join(frequencies, keys)
+        return rows.join(frequencies, "h")
     hot, cold = F.broadcast(hot), frequencies.filter(F.col("f") <= limit)
-    return tokens.join(hot, keys, "left_anti").join(cold, keys).unionByName(tokens.join(hot, keys))
+    return rows.join(hot, "h", "left_anti").join(cold, "h").unionByName(rows.join(hot, "h"))
 
 
-def _postings(rows: DataFrame, percent: int) -> DataFrame:
-    """(bucket, shingle, id, size, parities) for the prefix of each row.
+def _postings(parts: DataFrame, side: str | None = None) -> DataFrame:
+    """(part, id, size) for the prefix of each row, in each of its two classes; parts of one row (or side) are left out.
 
-    The prefix holds the n - ceil(percent * n) + 1 rarest shingles. Shingles found once come
-    first in that order, so only their number matters.
+    Of two similar sets all but ``need - 1`` parts are equal, so the ``need`` rarest of each hold a common one.
+    Parts of one row come first in that order, so only their number matters.
     """
-    n = F.col("n")
-    length = n - F.floor((n * percent + 99) / 100) + 1
-    per_row = _shared_shingles(rows).groupBy("id").agg(
-        F.first("bucket").alias("bucket"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "h"))).alias("shared"))
-    from_shared = length - (n - F.size("shared"))
+    per_row = _shared_parts(parts, side).groupBy("id", "step").agg(
+        F.first("n").alias("n"), F.first("need").alias("need"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("f", "h"))).alias("shared"))
+    from_shared = F.col("need") - (F.col("m") - F.size("shared"))
     prefix = F.slice("shared", F.lit(1), F.greatest(from_shared, F.lit(0)).cast("int"))
-    with_bits = per_row.join(rows.select("id", "bits"), "id")
-    return with_bits.select("id", "bucket", "n", "bits", F.explode(F.array_distinct(prefix)).alias("e")).select(
-        "bucket", F.col("e.h").alias("h"), "id", "n", "bits")
+    listed = stored(per_row.select("id", "n", F.explode(prefix).alias("e")).select(F.col("e.h").alias("h"), "id", "n"), "prefixes")
+    ends = [F.col(side) if side else F.col("id")]
+    useful = listed.groupBy("h").agg(F.min(*ends).alias("_from"), F.max(*ends).alias("_to")).filter("_from != _to")
+    return stored(listed.join(useful.select("h"), "h", "left_semi"), "prefixes")
 
 
 def _leaders(postings: DataFrame, count: int) -> DataFrame:
@@ -197,9 +303,8 @@ def _settle(edges: DataFrame, sure: DataFrame) -> tuple[DataFrame, DataFrame]:
             reduce(DataFrame.unionByName, dropped, nothing))
 
 
-def _greedy(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Dropped ids among rows with distinct shingle sets, and the prefix postings."""
-    postings = stored(_postings(reps, percent), "postings")
+def _greedy(postings: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Dropped ids among rows with distinct shingle sets."""
     active, count, dropped = postings, LEADERS, []
     while not active.isEmpty():
         leaders = stored(_leaders(active, count), "leaders")
@@ -213,7 +318,7 @@ def _greedy(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         active = stored(active.join(kept.unionByName(hit), "id", "left_anti"), "postings")
         count *= MORE_LEADERS
     nothing = reps.select("id").limit(0)
-    return reduce(DataFrame.unionByName, dropped, nothing), postings
+    return reduce(DataFrame.unionByName, dropped, nothing)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, bucket: str | None = None,
@@ -223,18 +328,19 @@ def near_duplicates(df: DataFrame, key: str, text: str, bucket: str | None = Non
     In order of ``key``, a row is dropped when an earlier kept row of its bucket is similar;
     dropped rows drop nothing. ``key`` must be unique.
     """
-    rows, firsts, dropped, _ = _drop_plan(df, key, text, bucket, percent)
+    rows, firsts, _, dropped, _ = _drop_plan(df, key, text, bucket, percent)
     copies = _copies(rows, firsts)
     return dropped.select("id").unionByName(copies.select("id")).select(F.col("id").alias(key))
 
 
 def _drop_plan(df: DataFrame, key: str, text: str, bucket: str | None, percent: int):
     group = F.col(bucket) if bucket else F.lit("")
-    rows = stored(shingle_rows(df, key, text, group), "rows")
-    firsts = _first_of_equal_sets(rows)
-    reps = _representatives(rows, firsts)
-    dropped, postings = _greedy(reps, percent)
-    return rows, reps, dropped, postings
+    rows = stored(shingle_rows(df, key, text, group, percent), "rows")
+    firsts = stored(_first_of_equal_sets(rows), "firsts")
+    listed = _postings(stored(_parts(rows, firsts), "parts"))
+    sets = _sets(rows, listed)
+    postings = stored(_with_bits(listed, sets), "postings")
+    return rows, firsts, sets, _greedy(postings, sets, percent), postings
 
 
 def _copies(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -259,16 +365,16 @@ def near_duplicate_matches(df: DataFrame, key: str, text: str, bucket: str | Non
 
     These are the pairs the greedy scan finds: one per dropped row, not every pair of a group.
     """
-    rows, reps, dropped, postings = _drop_plan(df, key, text, bucket, percent)
+    rows, firsts, sets, dropped, postings = _drop_plan(df, key, text, bucket, percent)
     dropped = stored(dropped.distinct(), "dropped")
     late = postings.join(dropped, "id", "left_semi")
     early = postings.join(dropped, "id", "left_anti")
     pairs = _candidates(early, late, percent, earlier=True)
-    found = _verified(pairs, reps, reps, percent)
+    found = _verified(pairs, sets, sets, percent)
     first = stored(found.groupBy("id").agg(F.min(F.struct("lead", "jaccard")).alias("m"))
                    .select("id", F.col("m.lead").alias("kept_id"), F.col("m.jaccard").alias("jaccard")),
                    "matches")
-    copies = _copies(rows, reps).join(first.withColumnRenamed("id", "first_id"), "first_id", "left")
+    copies = _copies(rows, firsts).join(first.withColumnRenamed("id", "first_id"), "first_id", "left")
     of_copies = copies.select("id", F.coalesce("kept_id", "first_id").alias("kept_id"),
                               F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
     return first.unionByName(of_copies).select(
@@ -279,19 +385,19 @@ def near_rows(base: DataFrame, other: DataFrame, key: str, text: str,
               percent: int = fixed.SIMILARITY_PERCENT) -> DataFrame:
     """Ids of rows of ``other`` that are similar to any row of ``base``."""
     group = F.lit("")
-    b = stored(shingle_rows(base, key, text, group), "base")
-    o = stored(shingle_rows(other, key, text, group), "other")
-    base_reps = _representatives(b, _first_of_equal_sets(b))
-    firsts = _first_of_equal_sets(o)
-    equal = firsts.join(base_reps.select("bucket", "digest"), ["bucket", "digest"], "left_semi")
-    other_reps = _representatives(o, firsts.join(equal, "id", "left_anti"))
-
-    # One shingle order for both sides; ids of the two sides may coincide, so mark them.
-    marked = [side.withColumn("id", F.struct(F.lit(i).alias("side"), F.col("id").alias("id")))
-              for i, side in enumerate((base_reps, other_reps))]
-    postings = stored(_postings(marked[0].unionByName(marked[1]), percent), "postings")
-    waiting = postings.filter("id.side = 1").withColumn("id", F.col("id.id"))
-    unused = postings.filter("id.side = 0").withColumn("id", F.col("id.id"))
+    b = stored(shingle_rows(base, key, text, group, percent), "base")
+    o = stored(shingle_rows(other, key, text, group, percent), "other")
+    base_firsts, firsts = _first_of_equal_sets(b), _first_of_equal_sets(o)
+    equal = stored(firsts.join(base_firsts.select("bucket", "digest"), ["bucket", "digest"], "left_semi"), "equal")
+    unequal = firsts.join(equal, "id", "left_anti")
+
+    # One order of parts for both sides; ids of the two sides may coincide, so mark them.
+    marked = [_parts(*side).withColumn("id", F.struct(F.lit(i).alias("side"), F.col("id").alias("id")))
+              for i, side in enumerate(((b, base_firsts), (o, unequal)))]
+    listed = _postings(stored(marked[0].unionByName(marked[1]), "parts"), "id.side")
+    unused, waiting = [listed.filter(F.col("id.side") == i).withColumn("id", F.col("id.id")) for i in (0, 1)]
+    base_sets, other_sets = _sets(b, unused), _sets(o, waiting)
+    unused, waiting = stored(_with_bits(unused, base_sets), "unused"), stored(_with_bits(waiting, other_sets), "waiting")
     found, count = [equal.select("id")], LEADERS
     while True:
         lists = waiting.select("bucket", "h").distinct()
@@ -300,7 +406,7 @@ def near_rows(base: DataFrame, other: DataFrame, key: str, text: str,
             break
         leaders = stored(_leaders(unused, count), "leaders")
         pairs = _candidates(leaders, waiting, percent, earlier=False)
-        hit = stored(_verified(pairs, base_reps, other_reps, percent).select("id").distinct(), "near")
+        hit = stored(_verified(pairs, base_sets, other_sets, percent).select("id").distinct(), "near")
         found.append(hit)
         waiting = stored(waiting.join(hit, "id", "left_anti"), "waiting")
         unused = unused.join(leaders.select("bucket", "h", "id"), ["bucket", "h", "id"], "left_anti")
