@@ -79,3 +79,18 @@ def test_very_many_strata(spark):
     assert "SinglePartition" not in found._jdf.queryExecution().toString() and "Window" not in found._jdf.queryExecution().toString()
     rows = 2_000_000 // 3 * 6 + 3
     assert found.agg(F.sum("quota"), F.sum("n")).first()[:] == (ceil(rows * Fraction("0.30")), rows)
+
+
+def test_held_rows_are_cut_into_shingles_once(spark, monkeypatch):
+    """The future set and its pool, then train and all held rows: four passes over texts, whatever parts follow."""
+    passes, rows = [], neardup.shingle_rows
+
+    def counted(*args):
+        passes.append(args)
+        return rows(*args)
+
+    monkeypatch.setattr(neardup, "shingle_rows", counted)
+    df = spark.range(80).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), F.col("id").cast("string")) for i in range(5)]).alias("text"),
+                                F.lit("a").alias("category"), F.lit("b").alias("priority"), F.lit("c").alias("department"))
+    splits.split_dataset(df, "id", "text", 3)
+    assert len(passes) == 4

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.seeded import digest
 from ..scratch import stored
-from .neardup import without_near_rows
+from .neardup import near_rows, without_near_rows
 from .ordering import with_first
 
 # Hex digits of the digest that form a slice: a stratum is counted in 65536 slices.
@@ -134,10 +134,12 @@ def split_dataset(df: DataFrame, key: str, text: str, seed: int,
     train, held = stratified_split(pool, key, str(total), seed, fine, coarse)
     train, held = stored(train, "train"), stored(held, "held")
     validation, test = stratified_split(held, key, within, seed, fine, coarse)
+    # Both parts are of ``held``, so one search finds the rows of both.
+    near = stored(near_rows(train, held, key, text), "near")
     return {
         "train": train,
-        "validation": without_near_rows(train, stored(validation, "validation"), key, text),
-        "test": without_near_rows(train, stored(test, "test"), key, text),
+        "validation": validation.join(near, key, "left_anti"),
+        "test": test.join(near, key, "left_anti"),
         "future_test": future,
     }
 
