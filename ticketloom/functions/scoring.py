@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import batches, fixed
 from .numbers import round_half_up
 from .text import matches
 
@@ -16,22 +16,10 @@ _TWO_POW_64_MOD = (1 << 64) % fixed.JITTER_MODULUS
 _RANKS = 16
 
 
-def _word_array(words: list[str]) -> str:
-    return "array(" + ", ".join(f'"{w}"' for w in words) + ")"
-
-
 def first_list_with_hits(lowered: str, rules: list[tuple[str, list[str]]]) -> Column:
-    """``hits * 16 + list number`` of the first list with a hit; below 16 when none has one.
-
-    A fold over the lists, so that lists after the first hit are not searched. ``lowered`` names
-    a column. Spark may put the column's own expression in its place, and what stands inside a lambda is
-    evaluated for every word; as the one element of an array it is evaluated once for a row.
-    """
-    lists = ", ".join(f"named_struct('rank', {rank}, 'words', {_word_array(words)})"
-                      for rank, (_, words) in enumerate(rules))
-    return F.expr(
-        f"transform(array({lowered}), text -> aggregate(array({lists}), 0, (found, entry) -> CASE WHEN found >= {_RANKS} THEN found "
-        f"ELSE size(filter(entry.words, word -> contains(text, word))) * {_RANKS} + entry.rank END))[0]")
+    """``hits * 16 + list number`` of the first list with a hit; below 16 when none has one. ``lowered`` names a column."""
+    found = batches.first_list([words for _, words in rules], _RANKS)
+    return F.arrow_udf(found, "int")(F.col(lowered))
 
 
 def found_label(found: Column, rules: list[tuple[str, list[str]]], fallback: str) -> Column:
