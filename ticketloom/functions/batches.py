@@ -48,3 +48,36 @@ def first_list(lists: list[list[str]], ranks: int) -> Callable:
         hits, which = first_list_hits(texts, lists)
         return pa.array(hits * ranks + which)
     return numbers
+
+
+def linear(pattern: str) -> str:
+    """The pattern as the matcher reads it: a dot takes line ends, and white space has the vertical tab, as in Java."""
+    return "(?s)" + pattern.replace(r"\s", r"[\t-\r ]")
+
+
+def first_rule(texts: pa.Array, rules: list[str], any_rule: str) -> np.ndarray:
+    """The number of the first rule that is found, from 1; 0 for none. Single rules are tried only where ``any_rule`` is found."""
+    number = np.zeros(len(texts), dtype=np.int32)
+    here = found(texts, any_rule)
+    rows, texts = np.flatnonzero(here), texts.filter(pa.array(here))
+    for i in range(len(rules), 0, -1):
+        number[rows[found(texts, rules[i - 1])]] = i
+    return number
+
+
+def signs(signals: list[str], rules: list[str], any_rule: str, high: str) -> Callable:
+    """Of lower-case ASCII texts: how many signals are found, the number of the first rule, and whether ``high`` is found."""
+    signals, rules, any_rule, high = list(map(linear, signals)), list(map(linear, rules)), linear(any_rule), linear(high)
+
+    def of(texts: pa.Array) -> pa.Array:
+        count = sum((found(texts, pattern).astype(np.int32) for pattern in signals), np.zeros(len(texts), dtype=np.int32))
+        return pa.StructArray.from_arrays(
+            [pa.array(count), pa.array(first_rule(texts, rules, any_rule)), pa.array(found(texts, high))], names=["signals", "rule", "high"])
+    return of
+
+
+def vocabulary(texts: pa.Array) -> pa.Array:
+    """The number of words and of different words of each text; a null text has none."""
+    words = [text.split() for text in texts.fill_null("").to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(map(len, words), pa.int32()), pa.array([len(set(w)) for w in words], pa.int32())],
+                                      names=["total", "distinct"])

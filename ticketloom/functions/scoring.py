@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import batches, fixed
 from .numbers import round_half_up
-from .text import matches
+from .text import any_of, matches
 
 _TWO_POW_64_MOD = (1 << 64) % fixed.JITTER_MODULUS
 
@@ -59,22 +59,24 @@ def length_term(text: Column) -> Column:
     )
 
 
-# Amounts may start with "$" and reference ids may end with "-": no plain word edges there.
-_OTHER_EDGES = {0, 3}
-# Every amount and every phone number holds a digit: a cheap test settles most texts.
-_NEED_DIGIT = {0, 2}
+def signs(folded: Column) -> Column:
+    """What the rules find in a case-folded ASCII text: ``signals``, ``rule`` (the first critical one, from 1) and ``high``."""
+    critical = [pattern for pattern, _ in fixed.CRITICAL_RULES]
+    of = batches.signs(fixed.SIGNAL_PATTERNS, critical, any_of(critical), any_of(fixed.HIGH_RULES))
+    return F.arrow_udf(of, "signals int, rule int, high boolean")(folded)
 
 
-def signal_count(folded: Column, ascii_only: Column) -> Column:
-    """How many of the six signals the text shows."""
+def vocabulary(lowered: Column) -> Column:
+    """``total`` and ``distinct`` words, cut at white space of every kind."""
+    return F.arrow_udf(batches.vocabulary, "total int, distinct int")(lowered)
+
+
+def signal_count(folded: Column, ascii_only: Column, found: Column) -> Column:
+    """How many of the six signals the text shows. ``found`` are its ``signs``."""
     total = F.lit(0)
-    digitless = ascii_only & ~folded.rlike("[0-9]")
-    for number, pattern in enumerate(fixed.SIGNAL_PATTERNS):
-        found = matches(folded, ascii_only, pattern, word_edges=number not in _OTHER_EDGES)
-        if number in _NEED_DIGIT:
-            found = ~digitless & found
-        total = total + found.cast("int")
-    return total
+    for pattern in fixed.SIGNAL_PATTERNS:
+        total = total + matches(folded, pattern).cast("int")
+    return F.when(ascii_only, found["signals"]).otherwise(total)
 
 
 def signal_term(signals: Column) -> Column:
@@ -82,8 +84,8 @@ def signal_term(signals: Column) -> Column:
 
 
 def vocabulary_term(words: Column) -> Column:
-    total = F.size(words)
-    ratio = F.size(F.array_distinct(words)) / F.greatest(total, F.lit(1))
+    total = words["total"]
+    ratio = words["distinct"] / F.greatest(total, F.lit(1))
     bonus = (ratio - F.lit(fixed.VOCABULARY_CENTRE)) * F.lit(fixed.VOCABULARY_WEIGHT)
     return F.when(total >= fixed.VOCABULARY_MIN_WORDS, bonus).otherwise(F.lit(0.0))
 
@@ -103,14 +105,14 @@ def jitter_term(text: Column) -> Column:
     return (share - F.lit(0.5)) * F.lit(fixed.JITTER_WIDTH)
 
 
-def confidence_terms(text: Column, folded: Column, ascii_only: Column, words: Column,
+def confidence_terms(text: Column, folded: Column, ascii_only: Column, found: Column, words: Column,
                      priority: Column, hits: Column) -> dict[str, Column]:
     """The six addends, in the order they are summed."""
     return {
         "base": priority_base(priority),
         "hits": hit_term(hits),
         "length": length_term(text),
-        "signals": signal_term(signal_count(folded, ascii_only)),
+        "signals": signal_term(signal_count(folded, ascii_only, found)),
         "vocabulary": vocabulary_term(words),
         "jitter": jitter_term(text),
     }

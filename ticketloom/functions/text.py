@@ -25,24 +25,9 @@ def fold_case(text: Column) -> Column:
     return F.when(is_ascii(text), plain).otherwise(F.lower(F.translate(text, "İıſK", "iisk")))
 
 
-def _plain_edges(pattern: str) -> str:
-    """Word boundaries as look-arounds, for ASCII text.
-
-    Same result as ``\\b`` where the pattern begins and ends with word characters, and about
-    twice as fast in Java's matcher.
-    """
-    pattern = re.sub(r"(^|\|)\\b", r"\1(?<!\\w)", pattern)
-    return re.sub(r"\\b($|\|)", r"(?!\\w)\1", pattern)
-
-
-def matches(folded: Column, ascii_only: Column, pattern: str, word_edges: bool = True) -> Column:
-    """Pattern search in case-folded text. Unicode classes cost more, so ASCII text skips them.
-
-    ``word_edges`` says that every match begins and ends with a word character.
-    """
-    plain = _plain_edges(pattern) if word_edges else pattern
-    return F.when(ascii_only, folded.rlike("(?s)" + plain)).otherwise(
-        folded.rlike("(?sU)" + pattern))
+def matches(folded: Column, pattern: str) -> Column:
+    """Pattern search in case-folded text of any script. It costs much more than ``batches`` takes for ASCII text."""
+    return folded.rlike("(?sU)" + pattern)
 
 
 def _alternatives(pattern: str) -> list[str]:
@@ -72,14 +57,6 @@ def any_of(patterns: list[str]) -> str:
     return r"\b(?:" + "|".join(parts) + r")\b"
 
 
-def tokens(text: Column) -> Column:
-    """White-space separated parts; no empty parts."""
-    plain = "".join(c for c in fixed.WHITESPACE if c.isascii())
-    parts = F.when(is_ascii(text), F.split(text, f"[{plain}]+")).otherwise(
-        F.split(text, f"[{fixed.WHITESPACE}]+"))
-    return F.array_remove(parts, "")
-
-
 def normalized_words(text: Column) -> Column:
     """Lower-case words of letters and digits; everything else separates."""
     spaced = F.when(is_ascii(text), F.regexp_replace(text, "[^a-zA-Z0-9]+", " ")).otherwise(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring
-from ..functions.text import any_of, fold_case, is_ascii, matches, tokens
+from ..functions.text import any_of, fold_case, is_ascii, matches
 
 OUTPUT = ["predicted_category", "predicted_priority", "predicted_department", "confidence",
           "final_category", "final_priority", "final_department", "routing_status", "escalated",
@@ -16,16 +16,15 @@ OUTPUT = ["predicted_category", "predicted_priority", "predicted_department", "c
 
 
 def with_text_views(df: DataFrame, text: str = "review") -> DataFrame:
-    """Add the forms of the text that the rules read.
+    """Add the forms of the text that the rules read, and what one pass over a batch finds in them.
 
-    Kept as a projection of its own: Spark does not merge projections whose result is used more
+    Kept as projections of their own: Spark does not merge projections whose result is used more
     than once, so each form is computed once per row.
     """
     column = F.col(text)
-    return df.withColumns({"_ascii": is_ascii(column), "_lower": F.lower(column)}).withColumns({
-        "_folded": F.when(F.col("_ascii"), F.col("_lower")).otherwise(fold_case(column)),
-        "_words": tokens(F.col("_lower")),
-    })
+    return df.withColumns({"_ascii": is_ascii(column), "_lower": F.lower(column)}).withColumn(
+        "_folded", F.when(F.col("_ascii"), F.col("_lower")).otherwise(fold_case(column)),
+    ).withColumns({"_signs": scoring.signs(F.col("_folded")), "_words": scoring.vocabulary(F.col("_lower"))})
 
 
 def with_keyword_labels(df: DataFrame, text: str = "review") -> DataFrame:
@@ -46,7 +45,7 @@ def with_keyword_labels(df: DataFrame, text: str = "review") -> DataFrame:
 
 def _terms(text: str) -> dict[str, Column]:
     return scoring.confidence_terms(
-        F.col(text), F.col("_folded"), F.col("_ascii"), F.col("_words"),
+        F.col(text), F.col("_folded"), F.col("_ascii"), F.col("_signs"), F.col("_words"),
         F.col("predicted_priority"), F.col("matched_keywords"))
 
 
@@ -61,21 +60,23 @@ def with_confidence_terms(df: DataFrame, text: str = "review") -> DataFrame:
     return df.withColumns({f"term_{name}": column for name, column in _terms(text).items()})
 
 
-def escalation_reason(folded: Column, ascii_only: Column) -> Column:
-    """Reason of the first critical rule that matches, else null.
+def escalation_reason(folded: Column, ascii_only: Column, signs: Column) -> Column:
+    """Reason of the first critical rule that matches, else null. ``signs`` has its number for an ASCII text.
 
     One combined search settles the common case, a ticket that no rule matches.
     """
     rules = fixed.CRITICAL_RULES
     reason = None
     for pattern, text in rules:
-        hit = matches(folded, ascii_only, pattern)
+        hit = matches(folded, pattern)
         reason = F.when(hit, text) if reason is None else reason.when(hit, text)
-    return F.when(matches(folded, ascii_only, any_of([p for p, _ in rules])), reason)
+    reasons = F.array(F.lit(None).cast("string"), *[F.lit(text) for _, text in rules])
+    return F.when(ascii_only, F.element_at(reasons, signs["rule"] + 1)).otherwise(
+        F.when(matches(folded, any_of([p for p, _ in rules])), reason))
 
 
-def needs_high(folded: Column, ascii_only: Column) -> Column:
-    return matches(folded, ascii_only, any_of(fixed.HIGH_RULES))
+def needs_high(folded: Column, ascii_only: Column, signs: Column) -> Column:
+    return F.when(ascii_only, signs["high"]).otherwise(matches(folded, any_of(fixed.HIGH_RULES)))
 
 
 def corrected_department(category: Column, department: Column) -> Column:
@@ -100,9 +101,9 @@ def with_safety(df: DataFrame, threshold: float = fixed.CONFIDENCE_THRESHOLD) ->
 
     Needs the columns of ``with_text_views``.
     """
-    text, ascii_only, predicted = F.col("_folded"), F.col("_ascii"), F.col("predicted_priority")
-    raised = ~predicted.isin("High", "Critical") & needs_high(text, ascii_only)
-    df = df.withColumn("escalation_reason", escalation_reason(text, ascii_only))
+    views, predicted = [F.col(c) for c in ("_folded", "_ascii", "_signs")], F.col("predicted_priority")
+    raised = ~predicted.isin("High", "Critical") & needs_high(*views)
+    df = df.withColumn("escalation_reason", escalation_reason(*views))
     df = df.withColumns({
         "escalated": F.col("escalation_reason").isNotNull(),
         "final_category": F.col("predicted_category"),

@@ -271,7 +271,7 @@ def c6_label_extraction(spark, d):
 
 @query
 def c7_critical_escalation(spark, d):
-    reason = triage.escalation_reason(F.col("_folded"), F.col("_ascii"))
+    reason = triage.escalation_reason(F.col("_folded"), F.col("_ascii"), F.col("_signs"))
     return text_views(spark, d).select("id", reason.alias("escalation_reason")).withColumn(
         "escalated", F.col("escalation_reason").isNotNull())
 
