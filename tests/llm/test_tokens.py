@@ -1,9 +1,11 @@
 """BPE and packing against the tokenizers library, by round trip and by recounting."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -48,6 +50,51 @@ def test_numbers_round_trip():
     assert bpe.numbers_of(np.zeros(0, np.uint8)).tolist() == []
 
 
+def frequent_of(words):
+    words = [*bpe.MARKS, *words]
+    return bpe.FrequentWords(words, bpe.encode_words(tokenizer_path(), words))
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_coded_runs_give_the_ids_of_the_library(library, monkeypatch, at_once):
+    monkeypatch.setattr(bpe, "_BYTES_AT_ONCE", at_once)
+    monkeypatch.setattr(bpe, "_IDS_AT_ONCE", at_once)
+    texts = [*ODD, "zz Yy. yy, ZZ x zz. <|endoftext|>, Zz", *(" ".join(f"w{i % 7}{j}." for j in range(i)) for i in range(200))]
+    frequent = frequent_of(["the", "a", "zz", *(f"w{i}" for i in range(300))])
+    codes, found = [], []
+    for run in bpe.text_runs(pa.RecordBatch.from_arrays([pa.array(texts)], names=["_text"])):
+        coder = bpe.Coder(frequent, run.column("_text"))
+        codes.append(coder.code())
+        own = [[] for _ in range(run.num_rows)]
+        for text, place, word in zip(*map(list, coder.others())):
+            own[text].insert(0, {"place": place, "word_ids": bpe.encode_words(tokenizer_path(), [word.as_py()])[0]})
+        found += [words or None for words in own]
+    found = pa.array(found, pa.list_(pa.struct([("place", pa.int32()), ("word_ids", pa.binary())])))
+    united = [ids for _, run in bpe._look_up(pa.concat_arrays(codes), found, frequent) for ids in run.to_pylist()]
+    assert united == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def calls_of(work):
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return len(calls)
+
+
+def test_python_does_not_handle_word_by_word():
+    # Calls made from Python for 40 texts; with ten times the words, half of them frequent, there are as many.
+    def calls(words):
+        texts = [" ".join(f"W{i % (2 * words)}{mark}" for i in range(k, k + words) for mark in ("", ".")) for k in range(40)]
+        frequent, column = frequent_of([f"w{i}" for i in range(words)]), pa.array(texts)
+        bpe.Coder(frequent, column).code()  # what is set up once
+        return calls_of(lambda: (bpe.Coder(frequent, column).code(), bpe.Coder(frequent, column).others()))
+
+    assert calls(1000) <= calls(100) + 20
+
+
 def test_encoder_forgets_and_stays_right(library, monkeypatch):
     monkeypatch.setattr(bpe, "_WORDS_KEPT", 4)
     texts = [t for t in ODD if t and len(t) < 100]

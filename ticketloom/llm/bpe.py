@@ -23,13 +23,13 @@ named columns are read.
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +39,10 @@ FREQUENT = 600_000
 SAMPLE_TEXTS = 32_000
 LONGEST_FREQUENT = 64
 _WORDS_KEPT = 1_000_000
-_FORMS_KEPT = 400_000
+_BYTES_AT_ONCE = 1 << 22
+_IDS_AT_ONCE = 1 << 19
 MARKS = (".", ",")
-_LETTERS = frozenset(c for c in map(chr, range(65, 256)) if c.isalpha())
+_MARKED = "[" + "".join(c for c in map(chr, range(65, 256)) if c.isalpha()) + "][.,]\\z"
 
 
 @lru_cache(maxsize=2)
@@ -59,6 +60,23 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").replace("\n", " ").split(" ")
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """As ``words_of``, for a column."""
+    return pc.split_pattern(pc.replace_substring(texts.cast(pa.string()).fill_null(""), "\n", " "), " ")
+
+
+def strings(words: pa.Array) -> list[str]:
+    """As ``to_pylist``, several times faster."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a binary column in a row, and where each begins and the last ends."""
+    values = values.cast(pa.binary())
+    upto = np.frombuffer(values.buffers()[1] or b"\0" * 4, dtype=np.int32)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[upto[0]:upto[-1]], upto - upto[0]
+
+
 def encode_words(path: str, words: list[str]) -> list[bytes]:
     """The ids of each word, little-endian and unsigned, 32 bits each."""
     encoded = tokenizer(path).encode_batch_fast(words, add_special_tokens=False)
@@ -92,12 +110,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def parts(word: str) -> tuple[str, str]:
-    """A word that has the same ids up to its last mark, and that mark (or nothing)."""
-    if "<|" in word:  # may be a special token, which case tells from plain text
-        return word, ""
-    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") and word[-2:-1] in _LETTERS else (word, "")
-    return (base.lower() if base.isascii() else base), tail
+def parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """For each word, one that has the same ids up to its last mark, and that mark: 1 and 2 as in ``MARKS``, or 0."""
+    plain = pc.invert(pc.match_substring(words, "<|"))  # else it may be a special token, which case tells from plain text
+    marked = pc.and_(plain, pc.match_substring_regex(words, _MARKED))
+    base = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+    base = pc.if_else(pc.and_(plain, pc.string_is_ascii(base)), pc.ascii_lower(base), base)
+    comma = pc.ends_with(words, MARKS[1]).to_numpy(zero_copy_only=False)
+    return base, np.where(marked.to_numpy(zero_copy_only=False), 1 + comma, 0)
 
 
 def number_bytes(number: int) -> bytes:
@@ -118,12 +138,32 @@ def number_bytes(number: int) -> bytes:
 
 def numbers_of(data: np.ndarray) -> np.ndarray:
     """The numbers that ``number_bytes`` wrote, from an array of bytes."""
-    if not len(data):
-        return np.zeros(0, dtype=np.int64)
-    last = data < 128
-    starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(data)]))))
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    numbers, sizes = (data[starts] & 127).astype(np.int64), ends - starts
+    for k in range(1, sizes.max(initial=0) + 1):
+        longer = np.flatnonzero(sizes >= k)
+        numbers[longer] |= (data[starts[longer] + k] & 127).astype(np.int64) << (7 * k)
+    return numbers
+
+
+def coded_numbers(numbers: np.ndarray, marks: np.ndarray, mark_bytes: list[bytes]) -> pa.Array:
+    """For each number ``number_bytes`` of it, and the bytes of its mark behind them."""
+    sizes = np.ones(len(numbers), dtype=np.int64)
+    for k in range(1, int(numbers.max(initial=0)).bit_length() // 7 + 1):
+        sizes += numbers >= 1 << (7 * k)
+    ends = np.cumsum(sizes + np.array([len(x) for x in mark_bytes])[marks])
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    data = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
+    for k in range(sizes.max(initial=0)):
+        longer = np.flatnonzero(sizes > k)
+        data[starts[longer] + k] = (numbers[longer] >> (7 * k) & 127) | np.where(sizes[longer] > k + 1, 128, 0)
+    for mark, written in enumerate(mark_bytes):
+        at = np.flatnonzero(marks == mark)
+        for k, byte in enumerate(written):
+            data[starts[at] + sizes[at] + k] = byte
+    return pa.BinaryArray.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)),
+                                                                   pa.py_buffer(data)])
 
 
 class FrequentWords:
@@ -136,61 +176,81 @@ class FrequentWords:
         hashes = self._hashes(words)
         self.order = np.argsort(hashes, kind="stable")
         self.sorted = hashes[self.order]
-        self.marks = {"": b"", **{mark: number_bytes(words.index(mark)) for mark in MARKS}}
+        self.marks = [b"", *(number_bytes(words.index(mark)) for mark in MARKS)]
 
     @staticmethod
     def _hashes(words: list[str]) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
-    def ranks(self, words: list[str]) -> list[int]:
+    def ranks(self, words: pa.Array) -> np.ndarray:
         """The rank of each word, -1 for others. Words that share a hash are told apart by the words."""
-        if not words:
-            return []
-        hashes = self._hashes(words)
+        hashes = self._hashes(strings(words))
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         found = np.where(self.sorted[at] == hashes, self.order[at], 0)
-        names = self.words.take(pa.array(found)).to_pylist()
-        return [rank if name == word else -1 for rank, name, word in zip(found.tolist(), names, words)]
+        same = pc.equal(self.words.take(pa.array(found)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, found, -1)
 
 
 class Coder:
     """Texts as numbers of words: their rank among the frequent ones, and behind those the place of a
-    word among the text's other words, in sorted order. Forms that were looked up are remembered."""
-
-    def __init__(self, frequent: FrequentWords):
-        self.frequent, self.forms = frequent, {"": b""}
-
-    def _read(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, tuple[str, str]]]:
-        """The words of each text, and base and mark of the forms that are not frequent."""
-        if len(self.forms) > _FORMS_KEPT:
-            self.forms = {"": b""}
-        split = [words_of(text) for text in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.forms))
-        cut = list(map(parts, new))
-        others = {}
-        for form, (base, tail), rank in zip(new, cut, self.frequent.ranks([base for base, _ in cut])):
-            if rank < 0:
-                others[form] = base, tail
-            else:
-                self.forms[form] = number_bytes(rank) + self.frequent.marks[tail]
-        return split, others
-
-    def others(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text that are not frequent, sorted."""
-        split, others = self._read(texts)
-        return [sorted({others[form][0] for form in others.keys() & set(words)}) for words in split]
-
-    def code(self, texts: list[str | None]) -> list[bytes]:
-        split, others = self._read(texts)
-        coded, beyond = [], len(self.frequent.words)
-        for words in split:
-            own = {form: others[form] for form in others.keys() & set(words)}
-            place = {base: i for i, base in enumerate(sorted({base for base, _ in own.values()}))}
-            self.forms.update((form, number_bytes(beyond + place[base]) + self.frequent.marks[tail]) for form, (base, tail) in own.items())
-            coded.append(b"".join(map(self.forms.__getitem__, words)))
-            for form in own:
-                del self.forms[form]
-        return coded
+    word among the text's other words, in sorted order. The texts of a run are read together: each of their
+    distinct words is looked up once, and what is done for every word is done in columns."""
+
+    def __init__(self, frequent: FrequentWords, texts: pa.Array):
+        split = split_words(texts)
+        words = split.flatten().dictionary_encode()
+        base, marks = parts(words.dictionary)
+        ranks = frequent.ranks(base)
+        empty = pc.equal(words.dictionary, "").to_numpy(zero_copy_only=False)
+        self.bounds = split.offsets.to_numpy()
+        self.number = words.indices.to_numpy()
+        #: Where the other words stand, and the distinct ones among them in sorted order.
+        beyond = np.flatnonzero((ranks < 0) & ~empty)
+        bases = base.take(pa.array(beyond)).dictionary_encode()
+        order = pc.array_sort_indices(bases.dictionary)
+        self.base = bases.dictionary.take(order)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        in_order = np.full(len(base), -1, dtype=np.int64)
+        in_order[beyond] = place[bases.indices.to_numpy()]
+        word = in_order[self.number]
+        self.at = np.flatnonzero(word >= 0)
+        #: A pair for each text and other word in it, in order of both, and its place in its text.
+        text = np.searchsorted(self.bounds, self.at, side="right") - 1
+        pairs, self.pair = np.unique(text * max(len(self.base), 1) + word[self.at], return_inverse=True)
+        self.text, self.word = np.divmod(pairs, max(len(self.base), 1))
+        self.place = np.arange(len(pairs)) - np.searchsorted(self.text, self.text)
+        self.frequent, self.ranks, self.marks, self.empty = frequent, ranks, marks, empty
+
+    def others(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The words that are not frequent, each once for each text it is in: number of the text, place, word."""
+        return self.text, self.place, self.base.take(pa.array(self.word))
+
+    def code(self) -> pa.Array:
+        mark_bytes = self.frequent.marks
+        codes = coded_numbers(np.maximum(self.ranks, 0), self.marks, mark_bytes)
+        codes = pc.if_else(pa.array(self.empty), pa.scalar(b"", pa.binary()), codes)
+        others = coded_numbers(len(self.frequent.words) + self.place[self.pair], self.marks[self.number[self.at]], mark_bytes)
+        of_word = self.number.astype(np.int64)
+        of_word[self.at] = len(codes) + np.arange(len(self.at))
+        written = pa.concat_arrays([codes, others]).take(pa.array(of_word))
+        data, upto = bytes_of(written)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(self.bounds) - 1, [None, pa.py_buffer(upto[self.bounds]), pa.py_buffer(data)])
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows whose sizes sum up to ``most``, or that are one larger row."""
+    upto, start = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + most, side="right")) - 1)
+        yield start, end - start
+        start = end
+
+
+def text_runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts are of bounded size together."""
+    for start, rows in runs(pc.binary_length(batch.column("_text")).fill_null(0).to_numpy(), _BYTES_AT_ONCE):
+        yield batch.slice(start, rows)
 
 
 def in_slices(texts: pa.Array, characters: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
@@ -213,19 +273,16 @@ def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, run in in_slices(batch.column("_text")):
-                forms = Counter(chain.from_iterable(map(words_of, run)))
-                counted = Counter()
-                for word, n in forms.items():
-                    base = parts(word)[0]
-                    if 0 < len(base) <= LONGEST_FREQUENT:
-                        counted[base] += n
-                yield pa.RecordBatch.from_arrays([pa.array(counted.keys(), pa.string()), pa.array(counted.values(), pa.int64())],
-                                                 names=["word", "n"])
+            for run in text_runs(batch):
+                forms = pc.value_counts(split_words(run.column("_text")).flatten())
+                bases = pa.table({"word": parts(forms.field("values"))[0], "n": forms.field("counts")})
+                length = pc.utf8_length(bases.column("word"))
+                kept = bases.filter(pc.and_(pc.greater(length, 0), pc.less_equal(length, LONGEST_FREQUENT)))
+                yield from kept.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = pa.array(encode_words(path, batch.column("word").to_pylist()), pa.binary())
+            ids = pa.array(encode_words(path, strings(batch.column("word"))), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], names=["word", "n", "ids"])
 
     share = min(1.0, texts / max(df.count(), 1))
@@ -237,23 +294,28 @@ def frequent_words(df: DataFrame, text: str, path: str, most: int = FREQUENT, te
     return FrequentWords(list(words), list(words.values()))
 
 
-def _look_up(codes: list[bytes], places: list[np.ndarray], other_ids: list[list[bytes]], table: np.ndarray,
-             starts: np.ndarray) -> pa.ListArray:
-    """The ids of coded texts. ``starts`` bounds each frequent word's ids in ``table``."""
-    numbers = [numbers_of(np.frombuffer(data, dtype=np.uint8)) for data in codes]
-    frequent = len(starts) - 1
+def _look_up(codes: pa.Array, found: pa.Array, frequent: FrequentWords) -> Iterator[tuple[int, pa.ListArray]]:
+    """The ids of coded texts, in runs of bounded size with the place of the first one. ``found`` has places
+    and ids of each text's other words."""
+    data, codes_upto = bytes_of(codes)
+    numbers = numbers_of(data)
+    words_upto = np.concatenate(([0], np.cumsum(data < 128)))[codes_upto]
     # The texts' other words follow the table, text after text.
-    ordered = [[ids[i] for i in np.argsort(at)] for at, ids in zip(places, other_ids)]
-    sizes = np.array([len(ids) // 4 for row in ordered for ids in row], dtype=np.int64)
-    flat = np.concatenate((table, np.frombuffer(b"".join(ids for row in ordered for ids in row), dtype="<i4")))
-    bounds = np.concatenate((starts, starts[-1] + np.cumsum(sizes)))
-    first = np.cumsum([0, *(len(row) for row in ordered)])
-    words = np.concatenate([np.where(n < frequent, n, n + at) for n, at in zip(numbers, first)])
+    others, flat = pc.list_value_length(found).fill_null(0).to_numpy(), found.flatten()
+    ordered = np.lexsort((flat.field("place").to_numpy(), np.repeat(np.arange(len(others)), others)))
+    own, own_upto = bytes_of(flat.field("word_ids").take(pa.array(ordered)))
+    table = np.concatenate((frequent.table, own.view("<i4")))
+    bounds = np.concatenate((frequent.starts, frequent.starts[-1] + own_upto[1:] // 4))
+    first = np.cumsum([0, *others])[:-1]
+    words = np.where(numbers < len(frequent.words), numbers, numbers + np.repeat(first, np.diff(words_upto)))
     lengths = bounds[words + 1] - bounds[words]
-    ends = np.cumsum(lengths)
-    ids = flat[np.repeat(bounds[words] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-    upto = np.concatenate(([0], ends))[np.cumsum([0, *(len(n) for n in numbers)])]
-    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
+    ids_upto = np.concatenate(([0], np.cumsum(lengths)))
+    for start, some in runs(np.diff(ids_upto[words_upto]), _IDS_AT_ONCE):
+        part = slice(words_upto[start], words_upto[start + some])
+        upto = ids_upto[part.start:part.stop + 1] - ids_upto[part.start]
+        ids = table[np.repeat(bounds[words[part]] - upto[:-1], lengths[part]) + np.arange(upto[-1])]
+        of_text = upto[words_upto[start:start + some + 1] - part.start]
+        yield start, pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT) -> DataFrame:
@@ -264,28 +326,22 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
                      F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(frequent.value)
         for batch in batches:
-            names = batch.column("_row").to_pylist()
-            for start, texts in in_slices(batch.column("_text")):
-                found = coder.others(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[start + i] for i, some in enumerate(found) for _ in some], pa.int64()),
-                     pa.array([place for some in found for place in range(len(some))], pa.int32()),
-                     pa.array([word for some in found for word in some], pa.string())], names=["row", "place", "word"])
+            for run in text_runs(batch):
+                of, place, words = Coder(frequent.value, run.column("_text")).others()
+                yield pa.RecordBatch.from_arrays([run.column("_row").take(pa.array(of)), pa.array(place, pa.int32()), words],
+                                                 names=["row", "place", "word"])
 
     def each_word_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_ids = None, b""
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = [w for i, w in enumerate(words) if w != (words[i - 1] if i else last)]
-            fresh = iter(encode_words(path, new))
-            ids = []
-            for word in words:
-                if word != last:
-                    last, last_ids = word, next(fresh)
-                ids.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("place"), pa.array(ids, pa.binary())],
+            words = batch.column("word").dictionary_encode()
+            distinct = strings(words.dictionary)
+            known = [last_ids] if distinct[:1] == [last] else []  # words are sorted, so only the first can be known
+            ids = known + encode_words(path, distinct[len(known):])
+            if distinct:
+                last, last_ids = distinct[-1], ids[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("place"), pa.array(ids, pa.binary()).take(words.indices)],
                                              names=["row", "place", "word_ids"])
 
     listed = rows.select("_row", "_text").mapInArrow(others, "row bigint, place int, word string")
@@ -296,22 +352,17 @@ def encode(df: DataFrame, key: str, text: str, path: str, most: int = FREQUENT)
         F.collect_list(F.struct("place", "word_ids")).alias("_found"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(frequent.value)
         for batch in batches:
-            for start, texts in in_slices(batch.column("_text")):
-                part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("_key"), part.column("_row"), pa.array(coder.code(texts), pa.binary())],
+            for run in text_runs(batch):
+                yield pa.RecordBatch.from_arrays([run.column("_key"), run.column("_row"), Coder(frequent.value, run.column("_text")).code()],
                                                  names=["_key", "_row", "_code"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            found = batch.column("_found").fill_null([])
-            flat = found.flatten()
-            bounds = np.cumsum([0, *found.value_lengths().to_pylist()])
-            places, ids = flat.field("place").to_numpy(), flat.field("word_ids").to_pylist()
-            united = _look_up(batch.column("_code").to_pylist(), [places[s:e] for s, e in zip(bounds, bounds[1:])],
-                              [ids[s:e] for s, e in zip(bounds, bounds[1:])], frequent.value.table, frequent.value.starts)
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), united], names=[key, "ids"])
+        for batch in batches:
+            for first, rows in runs(pc.binary_length(batch.column("_code")).to_numpy(), _IDS_AT_ONCE):
+                run = batch.slice(first, rows)
+                for start, united in _look_up(run.column("_code"), run.column("_found"), frequent.value):
+                    yield pa.RecordBatch.from_arrays([run.column("_key").slice(start, len(united)), united], names=[key, "ids"])
 
     key_type = df.schema[key].dataType
     coded = rows.mapInArrow(code, T.StructType([T.StructField("_key", key_type), T.StructField("_row", T.LongType()),
@@ -335,15 +386,19 @@ def decode(df: DataFrame, key: str, ids: str, path: str, keep: tuple[str, ...] =
     The tokenizer has no decoder of its own, so this is what its decode returns."""
 
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = piece_table(path)
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            texts = []
-            for one in batch.column(ids):
-                numbers = one.values.drop_null().to_numpy() if one.is_valid else np.zeros(0, np.int64)
-                inside = numbers[(numbers >= 0) & (numbers < len(pieces))].tolist()
-                texts.append(" ".join(filter(None, map(pieces.__getitem__, inside))))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (key, *keep)] + [pa.array(texts, pa.string())],
-                                             names=[key, *keep, "decoded"])
+        known = piece_table(path)
+        pieces = pa.array([piece or None for piece in known], pa.string())
+        has_piece = pieces.is_valid().to_numpy(zero_copy_only=False)
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(ids)).fill_null(0).to_numpy()
+            for start, some in runs(sizes, _IDS_AT_ONCE):
+                run = batch.slice(start, some)
+                numbers = run.column(ids).flatten().fill_null(-1).to_numpy()
+                inside = (numbers >= 0) & (numbers < len(pieces))
+                inside[inside] = has_piece[numbers[inside]]
+                upto = np.concatenate(([0], np.cumsum(inside)))[np.concatenate(([0], np.cumsum(sizes[start:start + some])))]
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pieces.take(pa.array(numbers[inside]))), " ")
+                yield pa.RecordBatch.from_arrays([run.column(c) for c in (key, *keep)] + [texts], names=[key, *keep, "decoded"])
 
     fields = [df.schema[c] for c in (key, *keep)]
     return df.select(key, *[c for c in keep if c != ids], ids).mapInArrow(
