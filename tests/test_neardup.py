@@ -140,3 +140,30 @@ def test_links_at_the_limit_of_every_size(spark):
     rows = [(i, text, "a") for i, text in enumerate(rows)]
     df = spark.createDataFrame(rows, "id bigint, text string, bucket string")
     assert {r.id for r in neardup.near_duplicates(df, "id", "text", "bucket").collect()} == set(greedy_drops(rows))
+
+
+ODD = ["", " ", None, "İstanbul ve İzmir", "i̇stanbul ve izmir", "ΣΑΣ Σας σας", "straße STRASSE ẞ", "١٢٣ ४५६ x²", "áb c­ad", "日本語 テキスト",
+       "😀 smile 😀", "K elvin Å ngstrom", "ǅ ǆ Ǆ", "one-two_three.four", "a" * 5000 + " b", "﻿one two", "x\x00y\x1cz"]
+
+
+def test_words_cut_in_batches_are_those_of_the_columns(spark):
+    """Every character in a text of its own and beside letters, and texts of odd scripts: as many shingles, and equal sets where
+    the columns have equal ones."""
+    single = [chr(c) for c in range(0x3400) if not 0xD800 <= c <= 0xDFFF] + [chr(c) for c in range(0x1F100, 0x1F200)]
+    rows = [(i, t) for i, t in enumerate([*ODD, *single, *(f"a{c}b {c} d e" for c in single)])]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    cut = {r.id: (r.n, bytes(r.digest)) for r in neardup.shingle_rows(df, "id", "text", F.lit(""), 85).select("id", "n", "digest").collect()}
+    sets = df.withColumn("w", F.coalesce(tx.normalized_words(F.col("text")), F.array().cast("array<string>"))).select("id", tx.shingles(F.col("w")).alias("s"))
+    want = {r.id: frozenset(r.s) for r in sets.collect()}
+    assert all(cut[i][0] == len(s) for i, s in want.items())
+    assert len({(s, cut[i][1]) for i, s in want.items()}) == len(set(want.values())) == len({d for _, d in cut.values()})
+
+
+@pytest.mark.parametrize("what", ["_SLICE_BYTES", "_MOST_BITS", "FEW"])
+def test_bounds_change_no_result(spark, rows, monkeypatch, what):
+    """Slices of a text or a few words, a bitmap that lets everything pass, keys that are not broadcast."""
+    monkeypatch.setattr(neardup.sieve if what == "FEW" else neardup, what, {"_SLICE_BYTES": 7, "_MOST_BITS": 1, "FEW": 2}[what])
+    df = spark.createDataFrame(rows, "id bigint, text string, bucket string")
+    expected = greedy_drops(rows)
+    got = neardup.near_duplicate_matches(df, "id", "text", "bucket").collect()
+    assert {r.dropped_id: r.kept_id for r in got} == expected and len(got) == len(expected)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
 
+_KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of every kind, not only blanks."""
@@ -64,6 +67,21 @@ def normalized_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
+def kept_characters(spark: SparkSession) -> tuple[np.ndarray, np.ndarray]:
+    """The characters that ``normalized_words`` keeps, as code points, and what each becomes there, as a number: its code
+    point, or one beyond all code points where it becomes several characters. Spark itself is asked, once in an application,
+    since other Unicode tables may be of another version."""
+    application = spark.sparkContext.applicationId
+    if application not in _KEPT:
+        points = spark.range(0x110000).filter(~F.col("id").between(0xD800, 0xDFFF)).select(
+            "id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("char"))
+        kept = points.select("id", F.get(normalized_words(F.col("char")), F.lit(0)).alias("word")).filter("word is not null").toArrow()
+        words = kept.column("word").to_pylist()
+        several = {word: 0x110000 + i for i, word in enumerate(sorted({w for w in words if len(w) > 1}))}
+        _KEPT[application] = (kept.column("id").to_numpy(), np.array([several.get(w) or ord(w) for w in words], dtype=np.int64))
+    return _KEPT[application]
+
+
 def shingles(words: Column, width: int = fixed.SHINGLE_WORDS) -> Column:
     """Distinct runs of ``width`` words; a shorter text is one shingle, even when empty.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.seeded import digest
-from ..scratch import stored
+from ..scratch import passing, stored
+from . import sieve
 from .neardup import near_rows, without_near_rows
 from .ordering import with_first
 
@@ -116,32 +117,32 @@ def stratified_split(df: DataFrame, key: str, share: str, seed: int,
     coarse = F.col("category") if coarse is None else coarse
     _, stratum = choose_strata(df, share, fine, coarse)
     ids = stored(stratified_test_ids(df, key, stratum, share, seed), "test")
-    return df.join(ids, key, "left_anti"), df.join(ids, key, "left_semi")
+    return sieve.without(df, ids, key), sieve.only(df, ids, key)
 
 
 def split_dataset(df: DataFrame, key: str, text: str, seed: int,
                   fine: Column | None = None, coarse: Column | None = None) -> dict[str, DataFrame]:
-    """train, validation, test and future_test.
+    """train, validation, test and future_test, each stored.
 
     The future set is carved out first and the pool loses rows close to it; validation and test
     then lose rows close to train. Validation and test are not compared with each other.
     """
     total = Fraction(fixed.VALIDATION_SHARE) + Fraction(fixed.TEST_SHARE)
     within = str(Fraction(fixed.TEST_SHARE) / total)
-    pool, future = stratified_split(df, key, fixed.FUTURE_SHARE, seed, fine, coarse)
-    future = stored(future, "future")
-    pool = stored(without_near_rows(future, pool, key, text), "pool")
-    train, held = stratified_split(pool, key, str(total), seed, fine, coarse)
-    train, held = stored(train, "train"), stored(held, "held")
-    validation, test = stratified_split(held, key, within, seed, fine, coarse)
-    # Both parts are of ``held``, so one search finds the rows of both.
-    near = stored(near_rows(train, held, key, text), "near")
-    return {
-        "train": train,
-        "validation": validation.join(near, key, "left_anti"),
-        "test": test.join(near, key, "left_anti"),
-        "future_test": future,
-    }
+    with passing(df.sparkSession) as keep:
+        # A text lies in two tables at most: the pool goes once train and the held rows are stored.
+        with passing(df.sparkSession) as hand_on:
+            pool, future = stratified_split(df, key, fixed.FUTURE_SHARE, seed, fine, coarse)
+            future, pool = hand_on(stored(future, "future")), stored(pool, "pool")
+            pool = without_near_rows(future, pool, key, text)
+            train, held = stratified_split(pool, key, str(total), seed, fine, coarse)
+            train, held = hand_on(stored(train, "train")), hand_on(stored(held, "held"))
+        validation, test = stratified_split(held, key, within, seed, fine, coarse)
+        # Both parts are of ``held``, so one search finds the rows of both.
+        near = near_rows(train, held, key, text)
+        parts = {"train": train, "validation": stored(sieve.without(validation, near, key), "validation"),
+                 "test": stored(sieve.without(test, near, key), "test"), "future_test": future}
+        return {name: keep(part) for name, part in parts.items()}
 
 
 def split_sizes(parts: dict[str, DataFrame]) -> DataFrame:
