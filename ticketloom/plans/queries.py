@@ -896,8 +896,7 @@ def g4_split_sizes(spark, d):
 def g4_split_invariants(spark, d):
     """One row: the size of the future set, and what must be zero of the other parts."""
     docs = documents(spark, d).select("doc_id", "text", "lang", "source")
-    parts = {name: stored(part, name) for name, part in splits.split_dataset(
-        docs, "doc_id", "text", SEED, _document_strata(), F.col("lang")).items()}
+    parts = splits.split_dataset(docs, "doc_id", "text", SEED, _document_strata(), F.col("lang"))
     held = parts["validation"].unionByName(parts["test"])
     rest = parts["train"].unionByName(held)
     every = rest.unionByName(parts["future_test"])
