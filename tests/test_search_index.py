@@ -108,3 +108,44 @@ def test_a_common_gram_has_bounded_rows(spark, monkeypatch):
                                       F.col("id").cast("string").alias("ticket_id"))
     lists = search_index._inverted(rows).filter("gram = 'sam'").orderBy("block").collect()
     assert [len(r.places) for r in lists] == [15, 16, 16, 16, 16, 16, 5] and lists[0].places == list(range(1, 16))
+
+
+def lowered(spark, n):
+    rng = random.Random(9)
+    rows = [(i * 7 % 1000, *(t and t.lower() for t in (rng.choice(texts(rng, 3)), None if i % 5 == 0 else rng.choice(texts(rng, 3)), f"T-{i}"))) for i in range(n)]
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 11_000)))
+    return spark.createDataFrame([*rows, (1500, wide, "ab", "😀é"), (1501, wide[::-1] + "abc", None, None)], "id bigint, review string, customer_name string, ticket_id string")
+
+
+@pytest.mark.parametrize("slice_bytes", [1 << 21, 50])
+def test_lists_are_those_of_single_grams(spark, monkeypatch, slice_bytes):
+    """Grams that are cut batch by batch, over alphabets of any size, are those of the columns, each ticket once in a list."""
+    monkeypatch.setattr(search_index, "BLOCK", 64)
+    monkeypatch.setattr(search_index, "_SLICE_BYTES", slice_bytes)
+    rows = lowered(spark, 300)
+    single = F.array_distinct(F.concat(*[search_index.grams(F.lower(f)) for f in search_index.FIELDS]))
+    want = rows.select("id", F.explode(single).alias("gram")).groupBy("gram", F.floor(F.col("id") / 64).alias("block")).agg(
+        F.array_sort(F.collect_list((F.col("id") % 64).cast("int"))).alias("places"))
+    got = search_index._inverted(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert dict(got.dtypes) == {"gram": "string", "block": "bigint", "places": "array<int>"}
+
+
+def test_no_row_for_each_gram_of_a_ticket(spark, monkeypatch):
+    """What is stored has a row for each gram and slice, cut in as many tasks as there are blocks."""
+    lists, tasks = [], []
+
+    def watched(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        tasks.append("Generate" not in plan and "MapInArrow" in plan)
+        table = stored(df, label)
+        lists.append(table.count())
+        return table
+
+    stored = search_index.stored
+    monkeypatch.setattr(search_index, "stored", watched)
+    rows = spark.range(500).select("id", F.lit("the same words in every ticket").alias("review"), F.lit(None).cast("string").alias("customer_name"),
+                                   F.lit("T-1").alias("ticket_id"))
+    found = search_index._inverted(rows).collect()
+    assert tasks == [True] and lists == [len(found)] and all(r.places == list(range(500)) for r in found)
+    assert search_index._inverted(rows.limit(0)).isEmpty()

@@ -19,6 +19,11 @@ is read and then refused. Deleted tickets stay in the index and are gone from th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +35,9 @@ BLOCK = 1 << 15
 WIDTH = 3
 FIELDS = ("review", "customer_name", "ticket_id")
 
+# Bytes of text, unless one ticket has more, whose grams are listed at once.
+_SLICE_BYTES = 1 << 21
+
 # As many of a pattern's grams are intersected, the rarest ones; others would only refuse a few tickets earlier.
 PROBES = 4
 
@@ -51,20 +59,81 @@ def grams(text: Column) -> Column:
     return F.when(F.char_length(text) >= WIDTH, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def _lister() -> Callable:
+    """Turns batches of tickets (``id``, lower-cased fields) into (gram, block, places) with the distinct grams of a slice of them, as
+    ``grams`` cuts them. A gram is a number, its characters' places in the alphabet of the slice, and is sorted together with its ticket's.
+
+    Workers get it by value, whether or not they can import this package."""
+    size, width, fields, slice_bytes = BLOCK, WIDTH, FIELDS, _SLICE_BYTES
+
+    def slices(batch: pa.RecordBatch):
+        lengths = [pc.fill_null(pc.binary_length(batch.column(f)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+        upto, start = np.cumsum(sum(lengths)), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + slice_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+    def listed(tickets: pa.RecordBatch) -> pa.RecordBatch:
+        ids = tickets.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, rank = ids[order], np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        texts = [(t or b"").decode("utf-8", "replace") for f in fields for t in tickets.column(f).cast(pa.binary()).to_pylist()]
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        seen = np.zeros(0x110000, dtype=bool)
+        seen[chars] = True
+        alphabet = np.flatnonzero(seen)
+        place = np.zeros(0x110000, dtype=np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        letters = place[chars]
+        counts = np.maximum(lengths - width + 1, 0)
+        # Grams begin at each character of a text but the last ones.
+        starts = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        code = letters[starts]
+        for k in range(1, width):
+            code = code * len(alphabet) + letters[starts + k]
+        known = None
+        if len(alphabet) ** width > 1 << 40:
+            # Of a large alphabet, such as that of Chinese, the grams that there are get numbers.
+            known, code = np.unique(code, return_inverse=True)
+        shift = len(ids).bit_length()
+        pairs = np.sort((code << shift) | np.repeat(np.tile(rank, len(fields)), counts))
+        pairs = pairs[np.concatenate([np.ones(min(len(pairs), 1), dtype=bool), pairs[1:] != pairs[:-1]])]
+        code, owner = pairs >> shift, ids[pairs & ((1 << shift) - 1)]
+        block = owner // size
+        new = np.ones(len(pairs), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        code = code[first] if known is None else known[code[first]]
+        points = [alphabet[code // len(alphabet) ** k % len(alphabet)] for k in reversed(range(width))] if len(first) else []
+        whole = np.stack(points, axis=1).astype("<u4").tobytes().decode("utf-32-le") if points else ""
+        names = [whole[i:i + width] for i in range(0, len(whole), width)]
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(pairs)), pa.int32()), pa.array(owner % size, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(block[first], pa.int64()), places], names=["gram", "block", "places"])
+
+    def add(batches):
+        for batch in batches:
+            for some in slices(batch):
+                yield listed(some)
+
+    return add
+
+
 def _inverted(tickets: DataFrame) -> DataFrame:
     """(gram, block, places) of the tickets, in ranges of (gram, block).
 
     Tickets are dealt by block, so a list is made where its block lies and only lists move on, not (gram, place) rows.
-    They are stored before, since ranges read their rows twice.
+    They are stored before, since ranges read their rows twice. A block's lists of several slices meet in its range.
     """
-    block = F.floor(F.col("id") / BLOCK)
-    dealt = tickets.select("id", block.alias("block"), *[F.lower(field).alias(field) for field in FIELDS]).repartition("block")
-    own = dealt.select("id", "block", F.array_distinct(F.concat(*[grams(F.col(field)) for field in FIELDS])).alias("_grams"))
-    place = F.pmod("id", F.lit(BLOCK)).cast("int")
-    rows = own.select("block", place.alias("_place"), F.explode("_grams").alias("gram"))
-    lists = rows.groupBy("gram", "block").agg(F.collect_list("_place").alias("places"))
-    lists = stored(lists.select("gram", "block", F.array_sort("places").alias("places")), "grams")
-    return lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
+    spark = tickets.sparkSession
+    # Cutting is the work here, and texts are few bytes: not so few tasks as these would fill.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    dealt = tickets.select("id", *[F.lower(field).alias(field) for field in FIELDS]).repartition(tasks, F.floor(F.col("id") / BLOCK))
+    lists = stored(dealt.mapInArrow(_lister(), "gram string, block bigint, places array<int>"), "grams")
+    whole = lists.repartitionByRange("gram", "block").groupBy("gram", "block").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    return whole.sortWithinPartitions("gram", "block")
 
 
 class SearchIndex:
